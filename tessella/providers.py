@@ -13,6 +13,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, FloatType, StringType, StructField, StructType
 
 from .functions.vectors import hashed_embedding
 
@@ -84,6 +85,11 @@ class TableWebSearch:
         return self.results.get(query, [])[:limit]
 
 
+def _with(df: DataFrame, name: str, kind: DataType) -> StructType:
+    """The frame's schema and one more column."""
+    return StructType([*df.schema.fields, StructField(name, kind)])
+
+
 def completed(df: DataFrame, llm: LLMProvider, prompt: str = "prompt", batch: int = 10) -> DataFrame:
     """``df`` with a column ``answer``, asked in batches; a null answer becomes ''.
 
@@ -98,7 +104,7 @@ def completed(df: DataFrame, llm: LLMProvider, prompt: str = "prompt", batch: in
                 answers += retried(llm.complete, frame[prompt].iloc[i : i + batch].tolist())
             yield frame[names].assign(answer=[a or "" for a in answers])
 
-    return df.mapInPandas(run, df.schema.add("answer", "string"))
+    return df.mapInPandas(run, _with(df, "answer", StringType()))
 
 
 def embedded(df: DataFrame, provider: EmbeddingProvider | None = None, dim: int = 64, batch: int = 50) -> DataFrame:
@@ -113,7 +119,7 @@ def embedded(df: DataFrame, provider: EmbeddingProvider | None = None, dim: int
                 vectors += retried(provider.embed, frame["text"].iloc[i : i + batch].tolist())
             yield frame.assign(embedding=vectors)
 
-    return df.mapInPandas(run, df.schema.add("embedding", "array<float>"))
+    return df.mapInPandas(run, _with(df, "embedding", ArrayType(FloatType())))
 
 
 def searched(df: DataFrame, provider: WebSearchProvider, limit: int = 5, scope: str | None = None, query: str = "query") -> DataFrame:

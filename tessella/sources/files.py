@@ -167,7 +167,7 @@ def read_directory(spark: SparkSession, folder: str, extensions: tuple[str, ...]
     more = F.create_map(*[F.lit(str(x)) for kv in (metadata or {}).items() for x in kv]).cast("map<string,string>")
     base = F.create_map(F.lit("source"), F.col("path"), F.lit("filename"), name)
     kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.array(*[F.lit(k) for k in metadata]), k)) if metadata else base
-    rows = files.select(F.col("path").alias("doc_key"), F.decode("content", "UTF-8").alias("text"), F.map_concat(kept, more).alias("metadata"))
+    rows = files.select(F.col("path").alias("doc_key"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.map_concat(kept, more).alias("metadata"))
     return rows.where(T.not_blank(F.col("text"))).orderBy("doc_key")
 
 

@@ -60,6 +60,24 @@ def text_hash() -> Column:
     return F.xxhash64(F.col("text"))
 
 
+def id_and_text(docs: DataFrame) -> list[Column]:
+    """The two columns that operators read, in their fixed types."""
+    return [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")]
+
+
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and th, the hash that tells texts with one id apart."""
+    return docs.select(*id_and_text(docs)).withColumn("th", text_hash())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a side for broadcast if its counted rows are within the bound."""
     return F.broadcast(df) if rows <= bound else df

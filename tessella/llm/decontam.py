@@ -189,7 +189,7 @@ def shards(items: DataFrame, least: float, shard_items: int) -> list:
     Token statistics are those of all items, whatever the shard.
     """
     spark = items.sparkSession
-    split = items.where("item_id is not null and text is not null").select("item_id", "text").withColumn("t", _tokens("text"))
+    split = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("t", _tokens("text"))
     split = C.keep(split.where("size(t) > 0"), C.scratch(spark))
     whole = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).first()
     count = -(-whole.n // shard_items)
@@ -241,7 +241,7 @@ def find_leaks(
     """
     out = docs.sparkSession.createDataFrame([], _LEAK)
     for shared in shards(items, least, shard_items):
-        out = out.union(docs.select("doc_id", "text").mapInArrow(_find(shared, overlap), _LEAK))
+        out = out.union(docs.select(*C.id_and_text(docs)).mapInArrow(_find(shared, overlap), _LEAK))
     return out
 
 

@@ -194,7 +194,7 @@ def scan_licenses(
     template's words may differ. A null text counts as empty; repeated rows get equal results;
     further columns are ignored; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select(*C.id_and_text(docs)).mapInArrow(
         _scan(dict(templates or TEMPLATES), least_reduction, tolerance, tries),
         f"doc_id long, n_blocks long, licenses string, found array<struct<{_FOUND}>>",
     )

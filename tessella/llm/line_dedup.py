@@ -103,7 +103,7 @@ def dedup_units(
     """
     spark = docs.sparkSession
     folder = C.scratch(spark)
-    source = docs.select("doc_id", "text", C.text_hash().alias("th"))
+    source = C.hashed_texts(docs)
     units = source.mapInArrow(_explode(unit, min_words), "doc_id long, th long, start long, digest binary")
     units = C.keep(units, f"{folder}/units")
     first = units.groupBy("digest").agg(

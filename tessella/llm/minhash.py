@@ -161,7 +161,7 @@ class _Verifier:
         ends = alive.select(F.col("a").alias("key")).union(alive.select("b")).distinct()
         ends = C.keep(ends.join(self.classes.select("key", "rep"), "key").select("key", "rep.*"), at + "e")
         need = C.small(ends, ends.count(), self.bound)
-        docs = self.docs.select("doc_id", "text", C.text_hash().alias("th")).alias("d")
+        docs = C.hashed_texts(self.docs).alias("d")
         found = docs.join(need.alias("e"), F.expr("d.th = e.th and d.doc_id <=> e.doc_id"))
         sets = found.select("e.key", "d.text").mapInArrow(_sets(self.k), "key binary, sh binary")
         sets = C.keep(sets.dropDuplicates(["key"]), at + "s")
@@ -195,7 +195,7 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     folder = C.scratch(spark)
-    source = docs.select("doc_id", "text", C.text_hash().alias("th"))
+    source = C.hashed_texts(docs)
     rows = C.keep(
         source.mapInArrow(_scan(k), "doc_id long, th long, key binary, n_shingles long, bands array<long>"),
         f"{folder}/rows",
@@ -215,7 +215,7 @@ def near_duplicates(
         "key", "n", F.xxhash64("i", "h").alias("h")
     )
     hot = bands.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    buckets = C.keep(bands.join(hot, "h"), f"{folder}/buckets")
+    buckets = C.keep(bands.join(C.keep(hot, f"{folder}/hot"), "h"), f"{folder}/buckets")
     verify = _Verifier(spark, docs, rows, classes, k, percent, miss, folder, broadcast_rows)
     links, groups = [], None
     left = buckets.select("h", "key", "n", F.col("key").alias("component"))
@@ -281,8 +281,9 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **options)
     bound = options.get("broadcast_rows", C.BROADCAST_ROWS)
     found = C.keep(near_duplicates(docs, k, percent, **options), C.scratch(spark))
     gone = found.where(~F.col("kept")).select("doc_id", "th").distinct()
-    same = F.expr("d.__th = g.th and d.doc_id <=> g.doc_id")
-    marked = docs.withColumn("__th", C.text_hash())
+    mark = C.fresh(docs, "th")
+    same = F.expr(f"d.{mark} = g.th and d.doc_id <=> g.doc_id")
+    marked = docs.withColumn(mark, C.text_hash())
     rest = marked.alias("d").join(C.small(gone, gone.count(), bound).alias("g"), same, "left_anti")
     grouped = found.where("kept and group is not null")
     repeated = grouped.groupBy("doc_id", "group").agg(F.count(F.lit(1)).alias("c"), F.min("th").alias("first"))
@@ -291,6 +292,6 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **options)
         others = grouped.join(repeated, ["doc_id", "group"]).where("th <> first").select("doc_id", "th").distinct()
         rest = rest.alias("d").join(others.alias("g"), same, "left_anti")
         once = repeated.select("doc_id", F.col("first").alias("th")).alias("g")
-        single = rest.alias("d").join(once, same, "left_semi").dropDuplicates(["doc_id", "__th"])
+        single = rest.alias("d").join(once, same, "left_semi").dropDuplicates(["doc_id", mark])
         rest = rest.alias("d").join(once, same, "left_anti").union(single)
-    return rest.drop("__th")
+    return rest.drop(mark)

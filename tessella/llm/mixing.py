@@ -67,7 +67,7 @@ def mix_sources(
 
     Returns the columns of docs and copy (1, 2, ...) and order_key (a double in [0, 1); ascending
     within every partition). Rows that share a doc_id get the same count. A null doc_id counts as
-    ''. Columns of docs named copy, order_key or __* are not allowed. The rates are broadcast up to
+    ''. Columns of docs with the names copy and order_key are replaced. The rates are broadcast up to
     ``broadcast_rows`` sources; beyond, rates are joined over 64 salts of each source. An empty
     table gives no rows.
     """
@@ -75,19 +75,24 @@ def mix_sources(
     found = C.keep(rates(docs, weights), C.scratch(spark)).withColumn("__cdf", poisson_cdf(F.col("rate")))
     found = found.select(F.col("source").alias("__source"), "__cdf")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    marked = docs.withColumn("__key", F.coalesce("source", F.lit("")))
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.coalesce("source", F.lit("")).alias("__key"),
+        ident.alias("__id"),
+    )
     if found.count() <= broadcast_rows:
         joined = marked.join(F.broadcast(found), F.expr("__key = __source"))
     else:
-        marked = marked.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+        marked = marked.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(64)))
         salted = found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(63))))
         joined = marked.join(salted, F.expr("__key = __source and __salt = __part"))
-    u = uniform(F.lit(str(seed)), ident)
+    u = uniform(F.lit(str(seed)), F.col("__id"))
     count = F.aggregate("__cdf", F.lit(0), lambda n, c: n + F.when(c <= u, 1).otherwise(0))
     copies = joined.withColumn("__n", count).where("__n > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    copies = copies.withColumn("order_key", uniform(F.lit(str(seed)), ident, F.col("copy").cast("string")))
-    copies = copies.select(*[F.col(f"`{c}`") for c in docs.columns], "copy", "order_key")
+    copies = copies.withColumn("order_key", uniform(F.lit(str(seed)), F.col("__id"), F.col("copy").cast("string")))
+    own = [F.col(f"__row.`{c}`") for c in docs.columns if c.lower() not in ("copy", "order_key")]
+    copies = copies.select(*own, "copy", "order_key")
     return copies.repartition(F.xxhash64("order_key", F.lit(seed))).sortWithinPartitions("order_key")
 
 

@@ -214,7 +214,7 @@ def near_embeddings(
     """
     spark = vectors.sparkSession
     folder = C.scratch(spark)
-    rows = vectors.select("vec_id", "embedding", "label", F.xxhash64("label").alias("cell")).mapInArrow(
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label", F.xxhash64("label").alias("cell")).mapInArrow(
         _prepare, "vec_id long, cell long, key binary, dim int, vector binary"
     )
     rows = C.keep(rows, f"{folder}/rows")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 KINDS = ("assign", "access", "hex", "account", "bare", "endpoint")
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -121,7 +123,7 @@ def scan_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
     code points, by start and then kind. A null text counts as empty; repeated rows get equal
     results; further columns are ignored; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select(*C.id_and_text(docs)).mapInArrow(
         _scan(scope),
         "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string",
     )

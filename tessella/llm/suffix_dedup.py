@@ -289,10 +289,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 128, broadcast_r
     bytes that start anywhere else too. ``q`` is a power of two below ``length``."""
     spark = docs.sparkSession
     folder = C.scratch(spark)
-    source = docs.select("doc_id", "text", C.text_hash().alias("th"))
+    source = C.hashed_texts(docs)
     runs = C.keep(source.mapInArrow(_find_runs(length, q), _RUN), f"{folder}/runs")
     hot = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    met = C.keep(runs.join(hot, "bucket").select(*runs.columns), f"{folder}/met")
+    met = C.keep(runs.join(C.keep(hot, f"{folder}/hot"), "bucket").select(*runs.columns), f"{folder}/met")
     C.drop(spark, f"{folder}/runs")
     groups = met.groupBy("bucket", "ident").agg(
         F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "first", "more", "ahead")).alias("one")
@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 128, broadcast_r
     cells = C.keep(cells, f"{folder}/cells")
     common = cells.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("done").alias("all_done"))
     common = common.where("c > 1 and not all_done").select("core")
-    left = cells.join(common, "core").groupBy("doc_id", "th", "first").agg(F.collect_list("cell").alias("cells"))
+    left = cells.join(C.keep(common, f"{folder}/common"), "core").groupBy("doc_id", "th", "first").agg(F.collect_list("cell").alias("cells"))
     ident = ["doc_id", "th", "first"]
     left = left.select(*(F.col(c).alias("_" + c) for c in ident), "cells")
     strings = context.join(left, F.expr("th = _th and first = _first and doc_id <=> _doc_id")).select(
@@ -332,6 +332,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 128, broadcast_r
     strings = strings.mapInArrow(_strings(length, q), "doc_id long, th long, done boolean, start long, ident long")
     strings = C.keep(strings, f"{folder}/strings")
     twice = strings.groupBy("ident").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ident")
+    twice = C.keep(twice, f"{folder}/twice")
     single = strings.where("not done").join(twice, "ident").select(
         "doc_id", "th", F.col("start").alias("a"), (F.col("start") + length).alias("b")
     )
@@ -351,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, q: int = 128, broadcast_r
     spark = docs.sparkSession
     spans = C.keep(repeated_spans(docs, length, q, broadcast_rows), C.scratch(spark))
     n = spans.agg(F.sum(F.size("spans")).alias("n")).first().n or 0
-    source = docs.select("doc_id", "text", C.text_hash().alias("th")).alias("d")
+    source = C.hashed_texts(docs).alias("d")
     joined = source.join(
         C.small(spans, n, broadcast_rows).alias("s"), F.expr("d.th = s.th and d.doc_id <=> s.doc_id"), "left"
     )

@@ -210,7 +210,7 @@ _LEAK = "doc_id long, item_id long, score double, question_overlap double, answe
 def _find(shared, overlap: float):
     def run(batches):
         index = shared.value
-        for batch in batches:
+        for batch in C.slices(batches):
             rows: list[int] = []
             found: list[tuple] = []
             for i, text in enumerate(C.texts_as_bytes(batch.column(1))):

@@ -31,7 +31,7 @@ def units_of(text: bytes, unit: str = "line", min_words: int = 8) -> list[tuple[
 
 def _explode(unit: str, min_words: int):
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             texts = C.texts_as_bytes(batch.column(1))
             index, starts, digests = [], [], []
             for i, text in enumerate(texts):
@@ -73,7 +73,7 @@ def cut(text: bytes, starts: list[int] | None, unit: str, min_words: int) -> tup
 
 def _cut(unit: str, min_words: int):
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             n, spans, kept = [], [], []
             for text, starts in zip(C.texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 count, gone, rest = cut(text, starts, unit, min_words)

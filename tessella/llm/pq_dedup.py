@@ -91,7 +91,7 @@ class Index:
 
 def _prepare(batches):
     """Key, double bytes and dimension of the vectors that can link."""
-    for batch in batches:
+    for batch in C.slices(batches):
         keys, data, dims = [], [], []
         for v, label in zip(batch.column(1).to_pylist(), batch.column(2).is_valid().to_pylist(), strict=True):
             x = None
@@ -115,7 +115,7 @@ def _matrix(column) -> np.ndarray:
 def _assign(shared, probes: int):
     def run(batches):
         indexes = shared.value
-        for batch in batches:
+        for batch in C.slices(batches):
             dims = batch.column(3).to_numpy()
             n = batch.num_rows
             lists, probed, codes, errors = np.zeros(n, np.int32), [None] * n, [None] * n, np.zeros(n)
@@ -160,7 +160,7 @@ def _search(shared, least: float):
 
     def run(batches):
         indexes = shared.value
-        for batch in batches:
+        for batch in C.slices(batches, 4):
             for dim, at, queries, members in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 index = indexes[dim]
                 x = np.frombuffer(b"".join(q["vector"] for q in queries), np.float64).reshape(len(queries), -1)

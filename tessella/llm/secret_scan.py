@@ -97,7 +97,7 @@ def joined(spans: list[Span]) -> str:
 
 def _scan(scope: int):
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             columns: list[list] = [[], [], [], [], []]
             for text in batch.column(1).to_pylist():
                 base, every = spans_of(text or "", scope)

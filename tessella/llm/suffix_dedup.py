@@ -126,7 +126,7 @@ def pieces_of(texts: list[bytes], length: int):
 
 def _find_runs(length: int, q: int):
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             for data, where in pieces_of(C.texts_as_bytes(batch.column(1)), length):
                 starts = np.array([w[2] for w in where] + [len(data)])
                 ends = np.repeat(starts[1:], np.diff(starts))
@@ -151,7 +151,7 @@ def _contexts(length: int):
     """The bytes of every run that a text is asked for."""
 
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             columns: list[list] = [[], [], [], [], []]
             index = []
             for i, (text, asked) in enumerate(
@@ -188,7 +188,7 @@ def _cells(length: int, q: int):
     """Core identifiers of the cells of each run; a cell is named by its distance to the anchor."""
 
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             ahead, bucket = batch.column("ahead").to_numpy(), batch.column("bucket").to_numpy().view(np.uint64)
             for rows, starts, ids in _groups(batch, length, q):
                 row, cell, ident = [], [], []
@@ -216,7 +216,7 @@ def _strings(length: int, q: int):
     """Identifiers of the single strings of the cells asked for."""
 
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             ahead, cells = batch.column("ahead").to_numpy(), batch.column("cells").to_pylist()
             for rows, starts, ids in _groups(batch, length, q):
                 row, offset, where = [], [], []
@@ -251,7 +251,7 @@ def merged(spans) -> list[tuple[int, int]]:
 
 def _merge(batches):
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    for batch in batches:
+    for batch in C.slices(batches):
         spans = [
             [{"a": a, "b": b} for a, b in merged((x["a"], x["b"]) for x in some)] for some in batch.column(2).to_pylist()
         ]
@@ -261,7 +261,7 @@ def _merge(batches):
 
 
 def _apply(batches):
-    for batch in batches:
+    for batch in C.slices(batches):
         size, gone, count, digest = [], [], [], []
         for text, spans in zip(C.texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             at, kept, removed = 0, hashlib.sha256(), 0

@@ -41,20 +41,19 @@ TEMPLATES: dict[str, str] = {
 }
 
 _CUE = re.compile(
-    rb"licen[cs]|copyright|all rights reserved|public domain|permission (?:is hereby|to use)|redistribution|warrant|spdx",
+    rb"licen[cs]|copyright|all\s+rights\s+reserved|public\s+domain|permission\s+(?:is\s+hereby|to\s+use)|redistribution|warrant|spdx",
     re.I,
 )
 _SPACE = re.compile(rb"\s")
 #: Bytes of context before a cue and after it, and the length at which a block is divided.
-BEFORE, AFTER, BLOCK = 160, 700, 4000
+BEFORE, AFTER, BLOCK = 400, 700, 4000
 
 
 def blocks_of(text: bytes) -> list[tuple[int, int]]:
     """Byte ranges around licensing words; near ones are merged, long ones go on in an overlapping block."""
     out: list[list[int]] = []
     for m in _CUE.finditer(text):
-        line = text.rfind(b"\n", max(0, m.start() - BEFORE), m.start()) + 1
-        start = line or max(0, m.start() - BEFORE)
+        start = max(0, m.start() - BEFORE)
         end = min(len(text), m.end() + AFTER)
         if out and start <= out[-1][1] and end - out[-1][0] <= BLOCK:
             out[-1][1] = end
@@ -163,7 +162,7 @@ def _scan(*args):
                  ("lacking", pa.string()), ("extra", pa.string())]
             )
         )
-        for batch in batches:
+        for batch in C.slices(batches):
             n, found = [], []
             for text in C.texts_as_bytes(batch.column(1)):
                 blocks, hits = scanner.scan(text)

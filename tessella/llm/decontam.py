@@ -31,7 +31,8 @@ _TABLE = bytes(
     i if i >= 128 or chr(i).isdigit() or chr(i).islower() else i + 32 if chr(i).isupper() else 32 for i in range(256)
 )
 _ANSWER = re.compile(r"(?:\banswer|\n\s*a)\s*:\s*", re.I)
-BLOCK = 8
+#: Items in a block, and bytes of text that are looked through at once.
+BLOCK, GROUP = 4, 200_000
 K1, B = 1.2, 0.75
 
 
@@ -61,7 +62,8 @@ class Postings:
     items: list[int] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     highest: float = 0.0
-    blocks: list[float] = field(default_factory=list)  # highest weight of each BLOCK items
+    blocks: list[int] = field(default_factory=list)  # the blocks of BLOCK items that the list has items in
+    maxima: list[float] = field(default_factory=list)  # the highest weight in each
 
 
 class Index:
@@ -69,7 +71,9 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n: int, mean: float, least: float):
         self.least = least
-        self.items = [(i, *split_item(t)) for i, t in items]
+        # Like items stand together, so that block maxima are near their items' weights.
+        parts = [(i, *split_item(t)) for i, t in items]
+        self.items = sorted(parts, key=lambda x: (sorted(set(x[1] + x[2]), key=lambda t: (-df[t], t))[:6], x[0]))
         self.longest = max([len(q) + len(a) for _, q, a in self.items], default=0)
         self.terms: dict[bytes, Postings] = {}
         for at, (_, question, answer) in enumerate(self.items):
@@ -86,20 +90,30 @@ class Index:
                 p.weights.append(w / own)
         for p in self.terms.values():
             p.highest = max(p.weights)
-            p.blocks = [max(p.weights[i : i + BLOCK]) for i in range(0, len(p.weights), BLOCK)]
+            first = [i for i in range(len(p.items)) if i == 0 or p.items[i] // BLOCK != p.items[i - 1] // BLOCK]
+            p.blocks = [p.items[i] // BLOCK for i in first]
+            p.maxima = [max(p.weights[i:j]) for i, j in zip(first, [*first[1:], len(p.items)], strict=True)]
         self.number = {t: i for i, t in enumerate(self.terms)}
-        self.bounds = np.array([p.highest for p in self.terms.values()] + [0.0])
-
-    def search(self, terms: list[bytes]) -> list[tuple[int, float]]:
-        """All items with a score of at least ``least`` for the distinct ``terms``: (position, score)."""
-        lists = [[p, 0] for p in (self.terms.get(t) for t in terms) if p]
+        lists = list(self.terms.values())
+        self.bounds = np.array([p.highest for p in lists])
+        self.pointer = np.cumsum([0] + [len(p.blocks) for p in lists])
+        self.block_of = np.array([b for p in lists for b in p.blocks], dtype=np.int64)
+        self.block_max = np.array([m for p in lists for m in p.maxima])
+
+    def search(self, terms: list[bytes], low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+        """All items from ``low`` to before ``high`` that score ``least`` or more: (position, score).
+
+        Document-at-a-time WAND over the lists of the distinct ``terms``, with block maxima.
+        """
+        high = len(self.items) if high is None else high
         slack = self.least - 1e-9
+        lists = [[p, bisect_left(p.items, low)] for p in (self.terms.get(t) for t in terms) if p]
         out = []
         while True:
-            lists = [x for x in lists if x[1] < len(x[0].items)]
+            lists = [x for x in lists if x[1] < len(x[0].items) and x[0].items[x[1]] < high]
             lists.sort(key=lambda x: x[0].items[x[1]])
             total, pivot = 0.0, None
-            for i, (p, at) in enumerate(lists):
+            for i, (p, _) in enumerate(lists):
                 total += p.highest
                 if total >= slack:
                     pivot = i
@@ -109,11 +123,11 @@ class Index:
             item = lists[pivot][0].items[lists[pivot][1]]
             while pivot + 1 < len(lists) and lists[pivot + 1][0].items[lists[pivot + 1][1]] == item:
                 pivot += 1
-            bound = 0.0
-            for p, at in lists[: pivot + 1]:
-                here = bisect_left(p.items, item, at)
-                if here < len(p.items):
-                    bound += p.blocks[here // BLOCK]
+            block, bound = item // BLOCK, 0.0
+            for p, _ in lists[: pivot + 1]:
+                here = bisect_left(p.blocks, block)
+                if here < len(p.blocks) and p.blocks[here] == block:
+                    bound += p.maxima[here]
             if bound >= slack:
                 score = 0.0
                 for x in lists[: pivot + 1]:
@@ -123,13 +137,10 @@ class Index:
                         x[1] += 1
                 if score >= slack:
                     out.append((item, score))
-            else:
-                # No item before the end of the nearest block, or the next list, can do better.
-                stop = lists[pivot + 1][0].items[lists[pivot + 1][1]] if pivot + 1 < len(lists) else len(self.items)
-                for p, at in lists[: pivot + 1]:
-                    here = bisect_left(p.items, item, at)
-                    if here < len(p.items):
-                        stop = min(stop, p.items[min(len(p.items), (here // BLOCK + 1) * BLOCK) - 1] + 1)
+            else:  # nothing before the block's end or the next list can do better
+                stop = (block + 1) * BLOCK
+                if pivot + 1 < len(lists):
+                    stop = min(stop, lists[pivot + 1][0].items[lists[pivot + 1][1]])
                 for x in lists[: pivot + 1]:
                     x[1] = bisect_left(x[0].items, max(stop, item + 1), x[1])
 
@@ -145,34 +156,54 @@ class Index:
         cut = len(question)
         return (float(found[:cut].mean()) if cut else 1.0), (float(found[cut:].mean()) if len(want) > cut else 1.0)
 
-    def leaks(self, text: bytes, overlap: float) -> list[tuple[int, float, float, float]]:
-        """Items in a text: (item id, best score, question overlap, answer overlap)."""
-        if not self.items:
-            return []
-        words = tokens_of(text)
-        get, last = self.number.get, len(self.number)
-        ids = np.fromiter([get(w, last) for w in words], dtype=np.int64, count=len(words))
-        known = np.flatnonzero(ids < last)
-        if not len(known):
-            return []
-        bounds = self.bounds[ids]
-        step = max(1, self.longest)
-        total = np.concatenate(([0.0], np.cumsum(bounds)))
-        starts = np.arange(0, max(1, len(words) - step), step)
-        ends = np.minimum(starts + 2 * step, len(words))
-        best: dict[int, tuple[int, float, float, float]] = {}
-        for k in np.flatnonzero(total[ends] - total[starts] >= self.least - 1e-9):
-            a, b = starts[k], ends[k]
-            distinct = np.unique(ids[a:b])
-            if self.bounds[distinct].sum() < self.least - 1e-9:
-                continue
-            passage = words[a:b]
-            for at, score in self.search(list(dict.fromkeys(w for w in passage if w in self.terms))):
-                item = self.items[at][0]
-                question, answer = self.overlap(at, passage)
+    def leaks(self, texts: list[bytes], overlap: float) -> list[list[tuple[int, float, float, float]]]:
+        """Items in each text: (item id, best score, question overlap, answer overlap)."""
+        out: list[list] = []
+        some: list[bytes] = []
+        for text in texts:
+            some.append(text)
+            if sum(map(len, some)) > GROUP:
+                out += self._leaks(some, overlap)
+                some = []
+        return out + (self._leaks(some, overlap) if some else [])
+
+    def _leaks(self, texts: list[bytes], overlap: float) -> list[list[tuple[int, float, float, float]]]:
+        """Passage k of a text holds the words from k x step to (k + 2) x step, step being the longest item."""
+        words = [tokens_of(t) for t in texts]
+        if not self.items or not any(words):
+            return [[] for _ in texts]
+        get, size, step, slack = self.number.get, len(self.number), max(1, self.longest), self.least - 1e-9
+        sizes = np.array([len(w) for w in words])
+        ids = np.array([get(w, size) for ws in words for w in ws], dtype=np.int64)
+        firsts = np.cumsum(np.concatenate(([0], sizes // step + 1)))  # of each text's passages
+        place = (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // step
+        known = ids < size
+        ids, place, home = ids[known], place[known], np.repeat(firsts[:-1], sizes)[known]
+        code = (home + place) * size + ids
+        code = np.unique(np.concatenate((code, code[place > 0] - size)))
+        passage, term = code // size, code % size
+        # The bounds of whole lists, then those of blocks: only blocks that can reach the threshold are searched.
+        good = np.bincount(passage, self.bounds[term], firsts[-1]) >= slack
+        passage, term = passage[good[passage]], term[good[passage]]
+        count = self.pointer[term + 1] - self.pointer[term]
+        at = np.arange(count.sum()) + np.repeat(self.pointer[term] - (np.cumsum(count) - count), count)
+        blocks = -(-len(self.items) // BLOCK)
+        cell, where = np.unique(np.repeat(passage, count) * blocks + self.block_of[at], return_inverse=True) if blocks > 64 else (None, np.repeat(passage, count) * blocks + self.block_of[at])
+        bound = np.bincount(where, self.block_max[at])
+        hits = np.flatnonzero(bound >= slack)
+        hits = hits if cell is None else cell[hits]
+        best: list[dict[int, tuple]] = [{} for _ in texts]
+        for p, block in zip((hits // blocks).tolist(), (hits % blocks).tolist(), strict=True):
+            text = int(np.searchsorted(firsts, p, side="right")) - 1
+            begin = (p - int(firsts[text])) * step
+            part = words[text][begin : begin + 2 * step]
+            terms = list(dict.fromkeys(w for w in part if w in self.terms))
+            for item, score in self.search(terms, block * BLOCK, (block + 1) * BLOCK):
+                question, answer = self.overlap(item, part)
                 if question >= overlap and answer >= overlap:
-                    best[at] = max(best.get(at, (item, -1.0, 0.0, 0.0)), (item, score, question, answer), key=lambda x: x[1:])
-        return [best[at] for at in sorted(best)]
+                    found = (self.items[item][0], score, question, answer)
+                    best[text][item] = max(best[text].get(item, found), found, key=lambda x: x[1:])
+        return [[b[item] for item in sorted(b)] for b in best]
 
 
 def _tokens(column: str) -> Column:
@@ -213,8 +244,7 @@ def _find(shared, overlap: float):
         for batch in C.slices(batches):
             rows: list[int] = []
             found: list[tuple] = []
-            for i, text in enumerate(C.texts_as_bytes(batch.column(1))):
-                hits = index.leaks(text, overlap)
+            for i, hits in enumerate(index.leaks(C.texts_as_bytes(batch.column(1)), overlap)):
                 rows += [i] * len(hits)
                 found += hits
             columns = list(zip(*found, strict=True)) or [(), (), (), ()]
@@ -228,7 +258,7 @@ def _find(shared, overlap: float):
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.8, shard_items: int = 5_000
+    docs: DataFrame, items: DataFrame, least: float = 0.6, overlap: float = 0.8, shard_items: int = 5_000
 ) -> DataFrame:
     """Pairs of ``docs`` (doc_id, text) and the ``items`` (item_id, text) that they give away.
 
@@ -245,13 +275,14 @@ def find_leaks(
     return out
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.8, shard_items: int = 5_000) -> DataFrame:
+def remove_leaks(docs: DataFrame, items: DataFrame, least: float = 0.6, overlap: float = 0.8, shard_items: int = 5_000) -> DataFrame:
     """The rows of ``docs`` that give no item away, columns unchanged."""
 
     def clean_under(shared):
         @F.pandas_udf("boolean")
         def clean(text: pd.Series) -> pd.Series:
-            return pd.Series([not shared.value.leaks((x or "").encode("utf-8", "replace"), overlap) for x in text], dtype=bool)
+            raw = [(x or "").encode("utf-8", "replace") for x in text]
+            return pd.Series([not hits for hits in shared.value.leaks(raw, overlap)], dtype=bool)
 
         return clean
 

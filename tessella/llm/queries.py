@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     class_lm,
@@ -11,6 +12,7 @@ from . import (
     line_dedup,
     minhash,
     mixing,
+    oracle,
     pq_dedup,
     quality,
     secret_scan,
@@ -46,7 +48,9 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_units(table(spark, sf_dir, "documents"))
+    found = line_dedup.dedup_units(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.withColumn("spans", spans)
 
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +73,10 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op5_mix": mixing.MIX_SQL, "op10_embeddings": pq_dedup.LINKS_SQL}
+ORACLE_SQL = {
+    "op4_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op5_mix": mixing.MIX_SQL,
+    "op6_substrings": oracle.SUBSTRINGS,
+    "op7_lines": oracle.LINES,
+    "op10_embeddings": pq_dedup.LINKS_SQL,
+}

@@ -228,12 +228,6 @@ def test_components(spark):
 # 5
 
 
-def test_mix_sql(spark):
-    got = queries.op5_mix(spark, SF)
-    columns = got.columns
-    assert sorted(map(repr, sql(mixing.MIX_SQL).select(*columns).fetchall())) == sorted(repr(tuple(r)) for r in got.collect())
-
-
 def test_mix_weights(spark):
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"))
     for bound in (100_000, 0):
@@ -463,11 +457,6 @@ def test_leaks_verification(spark, docs):
 # 10
 
 
-def test_embeddings_sql(spark):
-    got = queries.op10_embeddings(spark, SF)
-    assert sorted(sql(pq_dedup.LINKS_SQL).select(*got.columns).fetchall()) == sorted(map(tuple, got.collect()))
-
-
 def near_vectors(n=1500, dim=24, seed=9):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n // 3, dim))
@@ -506,6 +495,17 @@ def test_embeddings_odd(spark):
     assert pq_dedup.near_embeddings(frame.limit(0)).count() == 0
 
 
+# SQL
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    want = sql(queries.ORACLE_SQL[name])
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(repr, want.select(*got.columns).fetchall())) == sorted(repr(tuple(r)) for r in got.collect())
+
+
 # Pipeline
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import requirements as R
 from ..operators import search as S
+from ..operators import verdicts as V
 from ..providers import EmbeddingProvider, LLMProvider, ReplayLLM, WebSearchProvider, searched
 from ..sinks import report
 from ..sources import files, pages
@@ -135,6 +136,18 @@ def verdicts_from_json(reports: DataFrame, column: str = "report") -> DataFrame:
     return v.withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>")))
 
 
+def reports_to_json(verdicts: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """One JSON report for each document (document_name, report): metrics, summary and verdicts in order of id."""
+    columns = [c for c in verdicts.columns if c != "document_name"]
+    ordered = F.array_sort(F.collect_list(F.struct("requirement_id", *[c for c in columns if c != "requirement_id"])))
+    m = V.metrics(verdicts).join(verdicts.groupBy("document_name").agg(ordered.alias("verdicts")), "document_name")
+    if summaries is not None:
+        m = m.join(summaries.select("document_name", "summary"), "document_name", "left")
+    else:
+        m = m.withColumn("summary", F.lit(""))
+    return m.select("document_name", F.to_json(F.struct(*m.columns)).alias("report"))
+
+
 def settings_from_json(text: str) -> dict:
     """Settings of a request; what isn't a JSON object raises ValueError."""
     found = json.loads(text or "{}")

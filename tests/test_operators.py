@@ -7,7 +7,7 @@ from tessella.config import EngineConfig
 from tessella.operators import requirements as R
 from tessella.operators import search as S
 from tessella.operators import verdicts as V
-from tessella.plans.engine import Engine, download_name, requirements_from_json, settings_from_json, verdicts_from_json
+from tessella.plans.engine import Engine, download_name, reports_to_json, requirements_from_json, settings_from_json, verdicts_from_json
 from tessella.plans.kb import KnowledgeBase
 from tessella.providers import RuleLLM, TableFetcher, TableWebSearch, retried
 from tessella.sinks import report
@@ -219,6 +219,8 @@ def test_json_forms(spark):
     frame = spark.createDataFrame([('{"document_name": "d", "verdicts": [{"requirement_id": 1}]}',)], "report string")
     r = verdicts_from_json(frame).first()
     assert (r.verdict, r.category, r.confidence, r.source_urls) == ("needs_clarification", "other", 0.0, [])
+    back = verdicts_from_json(reports_to_json(verdicts(spark, "match", "partial"))).orderBy("requirement_id").collect()
+    assert [(r.document_name, r.requirement_id, r.verdict, r.confidence) for r in back] == [("d", 1, "match", 0.5), ("d", 2, "partial", 0.5)]
     with pytest.raises(ValueError):
         settings_from_json("[1]")
     with pytest.raises(ValueError):

@@ -42,3 +42,13 @@ def repeats(rows,L=400):
         kept=bytes(x for j,x in enumerate(b) if not cov[j])
         out[i]=(len(b),len(b)-len(kept),runs,hashlib.sha256(kept).hexdigest())
     return out
+
+
+def awkward():
+    """Null ids and texts, blanks, repeats, ties, a long text."""
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
+    shared = " ".join(f"common{i}" for i in range(120))
+    return [
+        (1, None), (2, ""), (3, " \n\t "), (4, shared), (4, shared), (5, shared + " tail"), (6, long), (None, shared),
+        (None, None), (7, "one"), (8, "one"), (9, "é世\U0001f600 " * 60), (10, "a" * 3000), (11, "no two three"),
+    ]

@@ -1,4 +1,5 @@
 import pytest
+from brute import awkward
 
 TEXT = "doc_id long, text string, lang string, source string, n_chars long, th string, key string, score string"
 
@@ -14,16 +15,6 @@ def docs(spark):
     return make
 
 
-def awkward():
-    """Null ids and texts, blanks, repeats, ties, a long text."""
-    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
-    shared = " ".join(f"common{i}" for i in range(120))
-    return [
-        (1, None), (2, ""), (3, " \n\t "), (4, shared), (4, shared), (5, shared + " tail"), (6, long), (None, shared),
-        (None, None), (7, "one"), (8, "one"), (9, "é世\U0001f600 " * 60), (10, "a" * 3000), (11, "no two three"),
-    ]
-
-
 @pytest.fixture
 def odd(docs):
     return docs(*awkward())

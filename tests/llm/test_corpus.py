@@ -12,7 +12,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
-from conftest import awkward
+from brute import awkward
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

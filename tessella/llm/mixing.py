@@ -50,11 +50,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
         weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("source")), F.lit(0.0))
     else:
         weight = F.lit(0.0)
-    sizes = sizes.withColumn("w", weight)
-    total = sizes.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n")).otherwise(0.0)
-    # The totals are one row by construction.
-    return sizes.join(F.broadcast(total)).select("source", "n", rate.alias("rate"))
+    sizes = C.keep(sizes.withColumn("w", weight), C.scratch(docs.sparkSession))
+    total = sizes.agg(F.sum("n").cast("double").alias("n"), F.sum("w").alias("w")).first()
+    if not total.w:
+        return sizes.select("source", "n", F.lit(0.0).alias("rate"))
+    return sizes.select("source", "n", (F.col("w") / total.w * total.n / F.col("n")).alias("rate"))
 
 
 def mix_sources(
@@ -71,8 +71,7 @@ def mix_sources(
     ``broadcast_rows`` sources; beyond, rates are joined over 64 salts of each source. An empty
     table gives no rows.
     """
-    spark = docs.sparkSession
-    found = C.keep(rates(docs, weights), C.scratch(spark)).withColumn("__cdf", poisson_cdf(F.col("rate")))
+    found = rates(docs, weights).withColumn("__cdf", poisson_cdf(F.col("rate")))
     found = found.select(F.col("source").alias("__source"), "__cdf")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     marked = docs.select(

@@ -76,7 +76,7 @@ def plausible(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarra
 
 def _scan(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             keys, sizes, bands = [], [], []
             for text in C.texts_as_bytes(batch.column(1)):
                 words = C.words_of(text)
@@ -99,7 +99,7 @@ def _scan(k: int):
 
 def _sets(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             out = []
             for text in C.texts_as_bytes(batch.column(1)):
                 words = C.words_of(text)
@@ -116,9 +116,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 def _sequential(threshold: float, miss: float):
     def run(batches):
         least = least_matches(threshold, miss)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in C.slices(batches):
             good = plausible(_signatures(batch.column(2)), _signatures(batch.column(3)), least)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(pa.array(good)) for i in (0, 1)], names=["a", "b"]
@@ -129,7 +127,7 @@ def _sequential(threshold: float, miss: float):
 
 def _confirm(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in C.slices(batches, 200):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -176,12 +174,25 @@ class _Verifier:
         return links
 
 
+def _spread(labels: DataFrame, links: DataFrame, hops: int = 3) -> DataFrame:
+    """Labels (key, component) after each took the least one of its neighbours, ``hops`` times.
+
+    A label is always a class of the same component, so equal labels prove that a pair needs no test.
+    """
+    both = links.select("a", "b").union(links.select("b", "a"))
+    for _ in range(hops):
+        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        labels = labels.join(near.withColumnRenamed("a", "key"), "key", "left")
+        labels = labels.select("key", F.least("component", "near").alias("component"))
+    return labels
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
     percent: int = 80,
-    miss: float = 1e-6,
-    star_rounds: int = 4,
+    miss: float = 1e-5,
+    star_rounds: int = 2,
     full_below: int = 32,
     broadcast_rows: int = C.BROADCAST_ROWS,
 ) -> DataFrame:
@@ -212,19 +223,24 @@ def near_duplicates(
     )
     classes = C.keep(classes, f"{folder}/classes")
     bands = classes.select("key", "n", F.posexplode("bands").alias("i", "h")).select(
-        "key", "n", F.xxhash64("i", "h").alias("h")
+        "key", "n", "i", F.xxhash64("i", "h").alias("h")
     )
-    hot = bands.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    hot = bands.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = C.keep(bands.join(C.keep(hot, f"{folder}/hot"), "h"), f"{folder}/buckets")
+    # The text that others were made from shares bands with all of them, they with each other only some.
+    central = buckets.groupBy("key").agg(F.sum("c").alias("met"))
+    buckets = C.keep(buckets.drop("c").join(C.keep(central, f"{folder}/central"), "key"), f"{folder}/candidates")
     verify = _Verifier(spark, docs, rows, classes, k, percent, miss, folder, broadcast_rows)
-    links, groups = [], None
-    left = buckets.select("h", "key", "n", F.col("key").alias("component"))
+    links = []
+    left = buckets.select("h", "key", "n", "i", "met", F.col("key").alias("component"))
     for step in range(star_rounds + 1):
+        # The first centre is the member with the most neighbours, later ones are drawn by hash.
+        order = F.struct("met", "key") if step == 0 else F.struct(F.xxhash64("key", F.lit(step)), "key")
         spread = left.groupBy("h").agg(
             F.count(F.lit(1)).alias("c"),
             F.min("component").alias("low"),
             F.max("component").alias("high"),
-            F.min_by(F.struct("key", "n", "component"), F.xxhash64("key", F.lit(step))).alias("o"),
+            F.max_by(F.struct("key", "n", "component"), order).alias("o"),
         )
         spread = spread.where("low <> high")
         most = spread.agg(F.max("c")).first()[0]
@@ -232,8 +248,17 @@ def near_duplicates(
             break
         last = step == star_rounds or most < full_below
         if last:
-            side = left.join(spread.select("h"), "h")
-            pairs = side.alias("x").join(side.alias("o"), "h").where("x.key < o.key")
+            side = left.join(C.keep(spread.select("h"), f"{folder}/open"), "h")
+            side = C.keep(side.join(classes.select("key", "bands"), "key"), f"{folder}/side")
+            # A pair counts in the first of the bands that it shares.
+            same = "zip_with(slice(x.bands, 1, x.i), slice(o.bands, 1, x.i), (p, q) -> p = q)"
+            earlier = f"exists({same}, z -> z)"
+            pairs = side.alias("x").join(side.alias("o"), "h").where("x.key < o.key").where(f"not {earlier}")
+            # All minima are compared at once here, so that hopeless pairs never leave the join.
+            lane = "if((shiftright(z, {}) & 65535) = 0, 1, 0)"
+            lanes = " + ".join(lane.format(16 * i) for i in range(ROWS))
+            equal = f"aggregate(zip_with(x.bands, o.bands, (p, q) -> p ^ q), 0, (t, z) -> t + {lanes})"
+            pairs = pairs.where(f"{equal} >= {least_matches(percent / 100, miss)[-1]}")
         else:
             pairs = left.alias("x").join(spread.select("h", "o"), "h").where("x.key <> o.key")
         pairs = (
@@ -243,18 +268,17 @@ def near_duplicates(
             .distinct()
         )
         links.append(verify(pairs))
+        if last:
+            break
+        labels = C.keep(_spread(left.select("key", "component").distinct(), links[-1]), f"{folder}/labels{step}")
+        left = left.drop("component").join(labels, "key")
+        left = C.keep(left.select("h", "key", "n", "i", "met", "component"), f"{folder}/left{step}")
+    groups = None
+    if links:
         edges = links[0]
         for more in links[1:]:
             edges = edges.union(more)
-        groups = C.components(spark, edges, f"{folder}/g{step}")
-        if last:
-            break
-        left = C.keep(
-            buckets.join(groups.withColumnRenamed("node", "key"), "key", "left").select(
-                "h", "key", "n", F.coalesce("component", "key").alias("component")
-            ),
-            f"{folder}/left{step}",
-        )
+        groups = C.components(spark, edges, f"{folder}/groups")
     if groups is not None:
         classes = classes.join(groups.withColumnRenamed("node", "key"), "key", "left")
         classes = classes.select("key", "first", F.coalesce("component", "key").alias("component"))

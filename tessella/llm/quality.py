@@ -61,7 +61,7 @@ def features(text: str | None) -> list[float]:
 
 def _expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Standardised features and steps at the sample's quantiles, for effects that aren't linear."""
-    steps = (x[:, :, None] > cuts[None]).reshape(len(x), -1).astype(float)
+    steps = (x[:, :, None] > cuts[None]).reshape(len(x), cuts.size).astype(float)
     return np.hstack([np.clip((x - mean) / scale, -5, 5), steps])
 
 

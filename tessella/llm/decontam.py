@@ -145,15 +145,19 @@ class Index:
                     x[1] = bisect_left(x[0].items, max(stop, item + 1), x[1])
 
     def overlap(self, at: int, passage: list[bytes]) -> tuple[float, float]:
-        """Shares of question and answer that stand in the passage in order, in runs of three words or more."""
+        """Shares of question and answer that stand in the passage in order, in runs of three words or more.
+
+        A question or answer of fewer words is a run by itself: a marker such as 'Answer:' may stand between the two.
+        """
         _, question, answer = self.items[at]
         want = question + answer
         found = np.zeros(len(want), dtype=bool)
-        short = min(3, len(want))
+        cut, short = len(question), min(3, len(want))
         for m in SequenceMatcher(None, want, passage, autojunk=False).get_matching_blocks():
-            if m.size >= short:
-                found[m.a : m.a + m.size] = True
-        cut = len(question)
+            for low, high in ((0, cut), (cut, len(want))):
+                a, b = max(m.a, low), min(m.a + m.size, high)
+                if a < b and (m.size >= short or b - a >= min(3, high - low)):
+                    found[a:b] = True
         return (float(found[:cut].mean()) if cut else 1.0), (float(found[cut:].mean()) if len(want) > cut else 1.0)
 
     def leaks(self, texts: list[bytes], overlap: float) -> list[list[tuple[int, float, float, float]]]:

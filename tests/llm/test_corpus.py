@@ -454,6 +454,27 @@ def test_leaks_verification(spark, docs):
     assert decontam.find_leaks(rows, items.limit(0)).count() == 0 and decontam.find_leaks(empty(docs), items).count() == 0
 
 
+def test_leaks_own_text():
+    """Every item leaks in its own verbatim text, with its marker and whatever the length of its answer, across passage ends too."""
+    texts = [
+        "What is the capital city of the French Republic? Answer: Paris",
+        "Question: who painted the ceiling of the chapel?\nA: Michelangelo Buonarroti",
+        "Which of the four northern rivers is the longest one? ANSWER : b",
+        "Name it. Answer: the old stone bridge over the river",
+        "How many moons has the fourth planet? two",
+        "When did the two crowns unite for the first time? Answer: in March 1603",
+    ]
+    sets = [set(q + a) for q, a in map(decontam.split_item, texts)]
+    df = Counter(t for s in sets for t in s)
+    index = decontam.Index(list(enumerate(texts)), df, len(texts), 10.0, 0.6)
+    for i, t in enumerate(texts):
+        for pad in range(2 * index.longest):
+            found = index.leaks([("pad " * pad + t + " pad" * 40).encode()], 0.8)[0]
+            assert [(h[0], h[2], h[3]) for h in found] == [(i, 1.0, 1.0)]
+    asked = texts[0].replace("Paris", "unknown").encode()
+    assert index.leaks([asked], 0.8) == [[]]  # the question alone is no leak
+
+
 # 10
 
 

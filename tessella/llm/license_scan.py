@@ -1,7 +1,7 @@
 """License scan by conditional compression.
 
 Blocks of text around licensing words are compressed alone and with each template as raw
-zstandard dictionary; the relative size reductions rank the templates. The best ones are
+zstandard dictionary; the relative size reductions rank the templates. All that reduce enough are
 confirmed on the exact wording: the words that differ between template and block are listed, and
 only few of them may, none a version, a code or a name.
 """
@@ -103,8 +103,8 @@ def differences(template: str, block: str) -> tuple[list[str], list[str], bool]:
 class Scanner:
     """Ranks templates for blocks; equal blocks are judged once per worker."""
 
-    def __init__(self, templates: dict[str, str], least: float, tolerance: float, tries: int):
-        self.templates, self.least, self.tolerance, self.tries = templates, least, tolerance, tries
+    def __init__(self, templates: dict[str, str], least: float, tolerance: float):
+        self.templates, self.least, self.tolerance = templates, least, tolerance
         self.plain = zstandard.ZstdCompressor(level=9)
         self.with_template = {
             name: zstandard.ZstdCompressor(
@@ -130,7 +130,7 @@ class Scanner:
         """Confirmed templates of a block: (name, reduction, lacking words, extra words)."""
         out = []
         text = block.decode("utf-8", "replace")
-        for reduction, name in self.rank(block)[: self.tries]:
+        for reduction, name in self.rank(block):
             if reduction < self.least:
                 break
             lacking, extra, telling = differences(self.templates[name], text)
@@ -182,18 +182,17 @@ def scan_licenses(
     templates: dict[str, str] | None = None,
     least_reduction: float = 0.3,
     tolerance: float = 0.1,
-    tries: int = 6,
 ) -> DataFrame:
     """Finds license wordings in ``docs`` (doc_id, text), whole texts.
 
     Returns a row per document: doc_id, n_blocks (candidate blocks), licenses (confirmed names, in
     alphabetical order, comma-joined) and found (license, start and end of the block in UTF-8
-    bytes, reduction, lacking and extra words). The ``tries`` best templates of each block with a
-    reduction of at least ``least_reduction`` are compared word by word; up to ``tolerance`` of a
+    bytes, reduction, lacking and extra words). All templates with a reduction of at least
+    ``least_reduction`` for a block are compared with it word by word; up to ``tolerance`` of a
     template's words may differ. A null text counts as empty; repeated rows get equal results;
     further columns are ignored; an empty table gives no rows.
     """
     return docs.select(*C.id_and_text(docs)).mapInArrow(
-        _scan(dict(templates or TEMPLATES), least_reduction, tolerance, tries),
+        _scan(dict(templates or TEMPLATES), least_reduction, tolerance),
         f"doc_id long, n_blocks long, licenses string, found array<struct<{_FOUND}>>",
     )

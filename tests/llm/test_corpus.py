@@ -89,6 +89,14 @@ def test_licenses(docs):
     assert b"MIT" in text[got[5].found[1].start : got[5].found[1].end]
 
 
+def test_licenses_many_in_a_block():
+    """A list of third-party notices within one block: templates that raise each other take no place from the others."""
+    names = ["MPL-2.0", "GPL-2.0", "CC-BY-4.0", "CC0-1.0", "Apache-2.0"]
+    text = "\n".join(license_scan.TEMPLATES[n] for n in names).encode()
+    blocks, found = license_scan.Scanner(license_scan.TEMPLATES, least=0.3, tolerance=0.1).scan(text)
+    assert blocks == 1 and {x["license"] for x in found} == set(names)
+
+
 def test_licenses_odd(odd, docs):
     assert [r.n_blocks for r in license_scan.scan_licenses(odd).collect()] == [0] * len(awkward())
     assert license_scan.scan_licenses(empty(docs)).count() == 0

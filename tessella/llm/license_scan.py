@@ -1,8 +1,8 @@
 """License scan by conditional compression.
 
 Blocks of text around licensing words are compressed alone and with each template as raw
-zstandard dictionary; the relative size reductions rank the templates. All that reduce enough are
-confirmed on the exact wording: the words that differ between template and block are listed, and
+zstandard dictionary; the relative size reductions rank the templates. The exact wording alone
+decides, for every template: the words that differ between template and block are listed, and
 only few of them may, none a version, a code or a name.
 """
 
@@ -103,8 +103,11 @@ def differences(template: str, block: str) -> tuple[list[str], list[str], bool]:
 class Scanner:
     """Ranks templates for blocks; equal blocks are judged once per worker."""
 
-    def __init__(self, templates: dict[str, str], least: float, tolerance: float):
-        self.templates, self.least, self.tolerance = templates, least, tolerance
+    def __init__(self, templates: dict[str, str], tolerance: float):
+        self.templates, self.tolerance = templates, tolerance
+        self.sizes = {name: len(text.split()) for name, text in templates.items()}
+        self.wanted = {name: [w.lower() for w in _words(text)] for name, text in templates.items()}
+        self.telling = {name: {w.lower() for w in _words(text) if _telling(w)} for name, text in templates.items()}
         self.plain = zstandard.ZstdCompressor(level=9)
         self.with_template = {
             name: zstandard.ZstdCompressor(
@@ -126,16 +129,20 @@ class Scanner:
             key=lambda x: (-x[0], x[1]),
         )
 
+    def possible(self, name: str, have: set[str]) -> bool:
+        """Whether ``have``, a block's words, leaves the template a chance: words that stand nowhere in it are lacking."""
+        return self.telling[name] <= have and sum(w not in have for w in self.wanted[name]) <= self.tolerance * self.sizes[name]
+
     def _judge(self, block: bytes) -> list[tuple[str, float, str, str]]:
         """Confirmed templates of a block: (name, reduction, lacking words, extra words)."""
         out = []
         text = block.decode("utf-8", "replace")
+        have = {w.lower() for w in _words(text)}
         for reduction, name in self.rank(block):
-            if reduction < self.least:
-                break
+            if not self.possible(name, have):
+                continue
             lacking, extra, telling = differences(self.templates[name], text)
-            size = len(self.templates[name].split())
-            if not telling and len(lacking) + len(extra) <= self.tolerance * size:
+            if not telling and len(lacking) + len(extra) <= self.tolerance * self.sizes[name]:
                 out.append((name, reduction, " ".join(lacking), " ".join(extra)))
         return out
 
@@ -180,19 +187,18 @@ def _scan(*args):
 def scan_licenses(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
-    least_reduction: float = 0.3,
     tolerance: float = 0.1,
 ) -> DataFrame:
     """Finds license wordings in ``docs`` (doc_id, text), whole texts.
 
     Returns a row per document: doc_id, n_blocks (candidate blocks), licenses (confirmed names, in
     alphabetical order, comma-joined) and found (license, start and end of the block in UTF-8
-    bytes, reduction, lacking and extra words). All templates with a reduction of at least
-    ``least_reduction`` for a block are compared with it word by word; up to ``tolerance`` of a
+    bytes, reduction, lacking and extra words). Whatever their reductions, all templates are
+    compared with a block word by word unless its words rule them out; up to ``tolerance`` of a
     template's words may differ. A null text counts as empty; repeated rows get equal results;
     further columns are ignored; an empty table gives no rows.
     """
     return docs.select(*C.id_and_text(docs)).mapInArrow(
-        _scan(dict(templates or TEMPLATES), least_reduction, tolerance),
+        _scan(dict(templates or TEMPLATES), tolerance),
         f"doc_id long, n_blocks long, licenses string, found array<struct<{_FOUND}>>",
     )

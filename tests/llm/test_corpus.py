@@ -93,10 +93,22 @@ def test_licenses_many_in_a_block():
     """A list of third-party notices within one block: templates that raise each other take no place from the others."""
     names = ["MPL-2.0", "GPL-2.0", "CC-BY-4.0", "CC0-1.0", "Apache-2.0"]
     text = "\n".join(license_scan.TEMPLATES[n] for n in names).encode()
-    blocks, found = license_scan.Scanner(license_scan.TEMPLATES, least=0.3, tolerance=0.1).scan(text)
+    blocks, found = license_scan.Scanner(license_scan.TEMPLATES, tolerance=0.1).scan(text)
     assert blocks == 1 and {x["license"] for x in found} == set(names)
 
 
+def test_licenses_short_in_long_blocks(docs):
+    """An exact notice counts in prose and beside others, however little its template reduces the block."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(n))
+    rows = [(i, f"{prose(200)} {license_scan.TEMPLATES[n]} {prose(300)}") for i, n in enumerate(license_scan.TEMPLATES)]
+    rows += [(100, "\n".join(license_scan.TEMPLATES.values())), (101, prose(50) + " all rights are reserved " + prose(50))]
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(docs(*rows)).collect()}
+    for i, n in enumerate(license_scan.TEMPLATES):
+        assert n in got[i].split(",")
+    assert set(got[100].split(",")) == set(license_scan.TEMPLATES) and got[101] == ""
+
+
 def test_licenses_odd(odd, docs):
     assert [r.n_blocks for r in license_scan.scan_licenses(odd).collect()] == [0] * len(awkward())
     assert license_scan.scan_licenses(empty(docs)).count() == 0

@@ -3,15 +3,18 @@
 Every word of the training rows is counted. The most frequent words are types of their own and
 all others share types by their last two bytes; bigrams of types are counted over all training
 rows, and exchange clustering moves types between classes while the likelihood of the class
-bigrams grows. A text's probability is the product over its tokens of the smoothed transition
-between classes and of the word's smoothed share in its class. Counts of words outside the
-bounded table of frequent ones reach the texts by a join.
+bigrams grows. Then every other word of the training rows is counted by the classes before and
+after it, and gets the class under which its own tokens are likeliest. A text's probability is the
+product over its tokens of the smoothed transition between classes and of the word's smoothed share
+in its class. Classes and counts of words outside the bounded table of frequent ones reach the
+texts by a join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Types of rare words, by their last two bytes.
+#: Types of rare words, by their last two bytes, before they get their own classes.
 GROUPS = 63
+#: Words and contexts that a worker counts before it gives them out.
+WINDOW_WORDS, WINDOW_CONTEXTS = 400_000, 4_000_000
 
 
 def group_of(word: bytes) -> int:
@@ -97,19 +102,65 @@ def _count_bigrams(shared, own: int):
     return run
 
 
-def _count_kinds(shared, own: int):
-    """Words and tokens of each type in the table of all words."""
+def _count_contexts(shared, own: int, of: np.ndarray):
+    """Classes before and after each word without a type of its own: (word, contexts).
+
+    A context is 2^32 times its code (the class before, or k and the class after) and its count, in 8 bytes.
+    """
 
     def run(batches):
         words, types = shared.value
-        index = {w: i for i, w in enumerate(words)}
-        n, c = np.zeros(own + GROUPS + 1, np.int64), np.zeros(own + GROUPS + 1, np.int64)
+        index, end, k = {w: i for i, w in enumerate(words)}, own + GROUPS, int(of[-1]) + 1
+        local: dict[bytes, int] = {}
+        parts: list[np.ndarray] = []
+
+        def out():
+            code, n = np.unique(np.concatenate(parts), return_counts=True)
+            word = code // (2 * k)
+            packed = (code % (2 * k) << 32) + n
+            offsets = np.searchsorted(word, np.arange(len(local) + 1)).astype(np.int32) * 8
+            contexts = pa.BinaryArray.from_buffers(pa.binary(), len(local), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(packed)])
+            return pa.RecordBatch.from_arrays([pa.array(list(local), pa.binary()), contexts], names=["word", "contexts"])
+
+        held = 0
         for batch in C.slices(batches):
-            kinds = _ids(batch.column(0).to_pylist(), index, types, own)[1]
-            n += np.bincount(kinds, minlength=len(n))
-            np.add.at(c, kinds, batch.column(1).to_numpy())
-        at = np.arange(len(n))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n), pa.array(c)], names=["kind", "n", "c"])
+            for text in C.texts_as_bytes(batch.column(0)):
+                tokens = C.words_of(text)
+                ids, kinds, _ = _ids(tokens, index, types, own)
+                at = np.flatnonzero((ids < 0) | (ids >= own))
+                if not len(at):
+                    continue
+                path = of[np.concatenate(([end], kinds, [end]))]
+                base = np.array([local.setdefault(tokens[i], len(local)) for i in at], dtype=np.int64) * (2 * k)
+                parts += [base + path[at], base + k + path[at + 2]]
+                held += 2 * len(at)
+                if len(local) > WINDOW_WORDS or held > WINDOW_CONTEXTS:
+                    yield out()
+                    local, parts, held = {}, [], 0
+        if parts:
+            yield out()
+
+    return run
+
+
+def _assign(likely: np.ndarray, share: np.ndarray):
+    """The class under which a word's contexts are likeliest, of (word, list of contexts); ties go to the lowest."""
+
+    def run(batches):
+        size = len(likely)
+        for batch in C.slices(batches, 5000):
+            lists = batch.column(1)
+            flat = lists.flatten()
+            offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] // 8
+            packed = np.frombuffer(flat.buffers()[2], np.int64, offsets[-1])[offsets[0] :]
+            per_row = np.add.reduceat(np.diff(offsets), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())[:-1])))
+            row = np.repeat(np.arange(len(lists)), per_row)
+            found = np.bincount(row * size + (packed >> 32), packed & 0xFFFFFFFF, len(lists) * size).reshape(-1, size)
+            c = found[:, size // 2 :].sum(axis=1)
+            best = np.argmax(np.round(found @ likely - c[:, None] * share, 6), axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(c.astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "c", "class"]
+            )
 
     return run
 
@@ -118,11 +169,11 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int, sweeps: int | None = None) -> np.ndarray:
     """Classes of types by exchange clustering; the last type, the end, keeps the last class for itself.
 
     Each type moves to the class that gives the class bigrams the highest likelihood, until a sweep
-    moves none. Ties go to the lowest class, so equal counts give equal classes.
+    moves none or ``sweeps`` are done. Ties go to the lowest class, so equal counts give equal classes.
     """
     size = len(bigrams)
     mass = bigrams.sum(axis=0) + bigrams.sum(axis=1)
@@ -136,7 +187,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
     counts = bigrams.astype(float)
     out_of, into = counts @ onehot, counts.T @ onehot  # from each type to the classes; from the classes to each type
     grid = onehot.T @ out_of
-    for _ in range(sweeps):
+    for _ in count() if sweeps is None else range(sweeps):
         moved = 0
         for w in order:
             if not mass[w]:
@@ -171,20 +222,27 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
     return of
 
 
+def smoothed(grid: np.ndarray) -> np.ndarray:
+    """Transitions between classes (log10, from row to column)."""
+    prior, strength = (grid.sum(axis=0) + 1) / (grid.sum() + len(grid)), 10.0
+    return np.log10((grid + strength * prior) / (grid.sum(axis=1, keepdims=True) + strength))
+
+
 @dataclass(frozen=True)
-class ClassModel:
-    """Transitions between classes (log10, from row to column) and what emissions divide by (log10, by type)."""
+class Clustering:
+    """Classes of types by exchange, all words of the training rows with theirs, and those that workers hold."""
 
     types: Types
     of: np.ndarray
-    step: np.ndarray
-    divisor: np.ndarray
+    lexicon: DataFrame
+    least: int | None
+    held: tuple[list[bytes], np.ndarray, np.ndarray]
     train_tokens: int
     train_words: int
     train_rows: int
 
 
-def fit(docs: DataFrame, vocabulary: DataFrame, own: int, frequent: int, classes: int) -> ClassModel:
+def cluster(docs: DataFrame, vocabulary: DataFrame, own: int, frequent: int, classes: int, folder: str) -> Clustering:
     """Counts over all rows of ``docs`` (text); ``vocabulary`` (word, c) counts its words.
 
     The driver gets at most ``frequent`` words and (own + 64)^2 bigram counts.
@@ -203,59 +261,109 @@ def fit(docs: DataFrame, vocabulary: DataFrame, own: int, frequent: int, classes
     top = vocabulary.where(F.col("c") >= least).toArrow() if least is not None else None
     pairs = sorted(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0])) if top else []
     types = Types([w for w, _ in pairs], np.array([c for _, c in pairs], dtype=np.int64), min(own, len(pairs)))
-    kinds = types.of_words()
-    shared = spark.sparkContext.broadcast((types.words, kinds))
+    shared = spark.sparkContext.broadcast((types.words, types.of_words()))
     size = types.size
     found = docs.select("text").mapInArrow(_count_bigrams(shared, types.own), "code long, c long")
     found = found.groupBy("code").agg(F.sum("c").alias("c")).toArrow()
     bigrams = np.zeros(size * size, dtype=np.int64)
     bigrams[found["code"].to_numpy()] = found["c"].to_numpy()
     bigrams = bigrams.reshape(size, size)
-    by_kind = vocabulary.mapInArrow(_count_kinds(shared, types.own), "kind long, n long, c long")
-    by_kind = by_kind.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).toArrow()
-    words, emitted = np.zeros(size), np.zeros(size)
-    words[by_kind["kind"].to_numpy()] = by_kind["n"].to_numpy()
-    emitted[by_kind["kind"].to_numpy()] = by_kind["c"].to_numpy()
-    words[-1], emitted[-1] = n_rows > 0, n_rows
     of = exchange(bigrams, min(classes, size - 1))
-    k = of[-1] + 1
-    in_class, tokens_of = np.bincount(of, words, k), np.bincount(of, emitted, k)
+    k = int(of[-1]) + 1
     onehot = np.zeros((size, k))
     onehot[np.arange(size), of] = 1
     grid = onehot.T @ bigrams @ onehot
-    prior = (grid.sum(axis=0) + 1) / (grid.sum() + k)
-    strength = 10.0
-    step = np.log10((grid + strength * prior) / (grid.sum(axis=1, keepdims=True) + strength))
-    divisor = np.log10(tokens_of + in_class + 1)[of]
-    return ClassModel(types, of, step, divisor, int(tokens + n_rows), int(total + (n_rows > 0)), n_rows)
-
+    step = smoothed(grid)
+    likely = np.vstack((step, step.T))[:, :-1]  # of a class before, of a class after; no word shares the end's class
+    contexts = docs.select("text").mapInArrow(_count_contexts(shared, types.own, of), "word binary, contexts binary")
+    contexts = contexts.groupBy("word").agg(F.collect_list("contexts").alias("contexts"))
+    kind = "word binary, c long, class int"
+    lexicon = contexts.mapInArrow(_assign(likely, np.log10(grid.sum(axis=0) + 1)[:-1]), kind)
+    mine = [(w, int(types.counts[i]), int(of[i])) for i, w in enumerate(types.words[: types.own])]
+    lexicon = C.keep(lexicon.union(spark.createDataFrame(mine, kind)), f"{folder}/lexicon")
+    held = lexicon.where(F.col("c") >= least).toArrow() if least is not None else None
+    held = (held["word"].to_pylist(), held["c"].to_numpy(), held["class"].to_numpy()) if held else ([], np.zeros(0, np.int64), np.zeros(0, np.int32))
+    return Clustering(types, of, lexicon, least, held, int(tokens + n_rows), int(total + (n_rows > 0)), n_rows)
+
+
+def _encode(shared, k: int, end_log: float, known_end: int):
+    """Texts as classes of held words, k for others, which are listed with their order."""
 
-def _score(shared, model_parts):
     def run(batches):
-        words, kinds_of = shared.value
-        index = {w: i for i, w in enumerate(words)}
-        own, logs, of, step, divisor, end_log, known_end = model_parts.value
-        end = own + GROUPS
+        words, counts, classes = shared.value
+        index, logs = {w: i for i, w in enumerate(words)}, np.log10(counts + 1.0)
+        kinds = np.append(classes, k).astype(np.min_scalar_type(k))  # the last one for words not held
         for batch in C.slices(batches):
-            columns: list[list] = [[], [], [], [], [], []]
+            columns: list[list] = [[], [], [], [], []]
             for text in C.texts_as_bytes(batch.column(1)):
                 tokens = C.words_of(text)
-                ids, kinds, rare = _ids(tokens, index, kinds_of, own)
-                path = of[np.concatenate(([end], kinds, [end]))]
-                common = logs[ids[ids >= 0]].sum() + end_log if len(logs) else end_log
-                few = Counter([tokens[i] for i in rare])
+                ids = np.fromiter([index.get(w, -1) for w in tokens], dtype=np.int64, count=len(tokens))
+                rare = np.flatnonzero(ids < 0)
                 columns[0].append(len(tokens) + 1)
                 columns[1].append(len(tokens) - len(rare) + known_end)
-                columns[2].append(common)
-                columns[3].append(step[path[:-1], path[1:]].sum() - divisor[kinds].sum() - divisor[end])
-                columns[4].append(list(few))
-                columns[5].append(list(few.values()))
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+                columns[2].append(logs[ids[ids >= 0]].sum() + end_log)
+                columns[3].append(kinds[ids].tobytes())
+                columns[4].append([tokens[i] for i in rare])
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3),
-                 *(pa.array(x, t) for x, t in zip(columns, types, strict=True))],
-                names=["doc_id", "held_out", "uid", "n_tokens", "n_known", "logs", "rest", "rare", "times"],
-            )
+                [batch.column(0), batch.column(2), batch.column(3), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))],
+                names=["doc_id", "held_out", "uid", "n_tokens", "n_known", "logs", "path", "rare"],
+            )
+
+    return run
+
+
+def _fill(k: int, fallback: np.ndarray):
+    """Puts the classes of words not held into the texts; unseen words get their last bytes' class."""
+
+    def run(batches):
+        kind = np.min_scalar_type(k)
+        for batch in C.slices(batches):
+            known, logs, paths = [], [], []
+            rows = (batch.column(i).to_pylist() for i in range(3, 8))
+            for n, log, path, rare, found in zip(*rows, strict=True):
+                if rare:
+                    path = np.frombuffer(path, kind).copy()
+                    mine = fallback[[group_of(w) for w in rare]]
+                    for x in found or ():
+                        mine[x["at"]] = x["class"]
+                    path[path == k] = mine
+                    n, log, path = n + len(found or ()), log + sum(np.log10(x["c"] + 1.0) for x in found or ()), path.tobytes()
+                known.append(n)
+                logs.append(log)
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(paths, pa.binary())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "path"],
+            )
+
+    return run
+
+
+def _paths(column: pa.Array, k: int):
+    """Each text's classes with the end, k - 1, before and after."""
+    for path in column.to_pylist():
+        yield np.concatenate(([k - 1], np.frombuffer(path, np.min_scalar_type(k)).astype(np.int64), [k - 1]))
+
+
+def _count_steps(k: int):
+    def run(batches):
+        total = np.zeros(k * k, dtype=np.int64)
+        for batch in C.slices(batches):
+            for path in _paths(batch.column(0), k):
+                total += np.bincount(path[:-1] * k + path[1:], minlength=k * k)
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "c"])
+
+    return run
+
+
+def _score(step: np.ndarray, divisor: np.ndarray):
+    def run(batches):
+        for batch in C.slices(batches):
+            rest = [step[p[:-1], p[1:]].sum() - divisor[p[1:]].sum() for p in _paths(batch.column(5), len(step))]
+            columns = [*(batch.column(i) for i in range(5)), pa.array(rest, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "rest"])
 
     return run
 
@@ -265,8 +373,8 @@ def score_texts(docs: DataFrame, own: int = 960, frequent: int = 200_000, classe
 
     Returns a row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10,
     add-one unigram) and score (log10 probability under the class model). ``own`` words get types of
-    their own, at most ``frequent`` are held by every worker (ties in count are all in or all out),
-    ``classes`` is the number of word classes. A null text counts as empty: only the end token. A
+    their own for the exchange, all others a class by their own contexts; at most ``frequent`` are held
+    by every worker (ties in count are all in or all out), ``classes`` is the number of word classes. A null text counts as empty: only the end token. A
     null doc_id counts as ''. Repeated rows are counted and scored each; further columns are
     ignored; an empty table gives no rows. Without training rows every count is 0.
     """
@@ -275,35 +383,45 @@ def score_texts(docs: DataFrame, own: int = 960, frequent: int = 200_000, classe
     train = docs.where(C.held_out_remainder(7) != 2).select("text")
     vocabulary = train.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     vocabulary = C.keep(vocabulary, f"{folder}/words")
-    model = fit(train, vocabulary, own, frequent, classes)
-    shared = spark.sparkContext.broadcast((model.types.words, model.types.of_words()))
-    parts = (
-        model.types.own, np.log10(model.types.counts + 1.0), model.of, model.step, model.divisor,
-        float(np.log10(model.train_rows + 1.0)), int(model.train_rows > 0),
-    )
+    model = cluster(train, vocabulary, own, frequent, classes, folder)
+    k = int(model.of[-1]) + 1
     source = docs.select(
         *C.id_and_text(docs), (C.held_out_remainder(7) == 2).alias("held_out"), F.monotonically_increasing_id().alias("uid")
     )
-    scored = source.mapInArrow(
-        _score(shared, spark.sparkContext.broadcast(parts)),
-        "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, logs double, rest double, "
-        "rare array<binary>, times array<int>",
+    encoded = source.mapInArrow(
+        _encode(spark.sparkContext.broadcast(model.held), k, float(np.log10(model.train_rows + 1.0)), int(model.train_rows > 0)),
+        "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, logs double, path binary, rare array<binary>",
+    )
+    encoded = C.keep(encoded, f"{folder}/encoded")  # from here on uid names a row
+    rare = encoded.select("uid", F.posexplode("rare").alias("at", "word"))
+    beyond = model.lexicon if model.least is None else model.lexicon.where(F.col("c") < model.least)
+    found = rare.join(beyond, "word").groupBy("uid").agg(F.collect_list(F.struct("at", "class", "c")).alias("found"))
+    filled = encoded.join(found, "uid", "left")
+    filled = filled.select("doc_id", "held_out", "n_tokens", "n_known", "logs", "path", "rare", "found")
+    filled = filled.mapInArrow(
+        _fill(k, model.of[model.types.own : model.types.end]),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, path binary",
     )
-    scored = C.keep(scored, f"{folder}/scored")  # from here on uid names a row
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-    rare = rare.select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    found = rare.join(vocabulary, "word").groupBy("uid").agg(
-        F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs")
+    filled = C.keep(filled, f"{folder}/filled")
+    steps = filled.where("not held_out").select("path").mapInArrow(_count_steps(k), "code long, c long")
+    steps = steps.groupBy("code").agg(F.sum("c").alias("c")).toArrow()
+    grid = np.zeros(k * k)
+    grid[steps["code"].to_numpy()] = steps["c"].to_numpy()
+    emitted = np.zeros(k)
+    for r in model.lexicon.groupBy("class").agg((F.sum("c") + F.count(F.lit(1))).alias("n")).collect():
+        emitted[r["class"]] = r.n
+    emitted[-1] = model.train_rows + (model.train_rows > 0)
+    out = filled.mapInArrow(
+        _score(smoothed(grid.reshape(k, k)), np.log10(emitted + 1)),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, rest double",
     )
-    out = scored.drop("rare", "times").join(found, "uid", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     below = float(np.log10(model.train_tokens + model.train_words + 1.0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * below).alias("base_score"),
-        (logs + F.col("rest")).alias("score"),
+        (F.col("logs") - F.col("n_tokens") * below).alias("base_score"),
+        (F.col("logs") + F.col("rest")).alias("score"),
     )

@@ -416,6 +416,32 @@ def test_lm_is_a_distribution():
             assert likelihood(moved) <= best + 1e-6
 
 
+def test_lm_classes_of_all_words(spark, docs):
+    """Words outside the types get the classes of words used alike, whatever their last bytes; held by workers or not."""
+    rng = random.Random(12)
+    kinds = [[f"{a}{i}{rng.choice('xyzuvw')}" for i in range(60)] for a in "pqr"]
+    rows = [(i, " ".join(rng.choice(kinds[j % 3][:3] if rng.random() < 0.7 else kinds[j % 3]) for j in range(30))) for i in range(300)]
+    frame = docs(*rows)
+    train = frame.where(common.held_out_remainder(7) != 2).select("text")
+    words = Counter(w for r in train.collect() for w in r.text.split())
+    vocabulary = spark.createDataFrame([(w.encode(), n) for w, n in words.items()], "word binary, c long")
+    seen = []
+    for frequent in (9, 1000):
+        found = class_lm.cluster(train, vocabulary, 9, frequent, 3, common.scratch(spark))
+        got = {bytes(r.word).decode(): r for r in found.lexicon.collect()}
+        assert {w: r.c for w, r in got.items()} == words
+        best = [Counter(got[w]["class"] for w in ws if w in got).most_common(1)[0] for ws in kinds]
+        assert len({c for c, _ in best}) == 3 and sum(n for _, n in best) >= 0.95 * len(words)
+        seen.append({r.doc_id: round(r.score, 6) for r in class_lm.score_texts(frame, 9, frequent, 3).collect()})
+    assert seen[0] == seen[1]
+
+
+def test_exchange_ends_when_nothing_moves():
+    bigrams = np.random.default_rng(1).poisson(0.3, (300, 300))
+    of = class_lm.exchange(bigrams, 12)
+    assert (of == class_lm.exchange(bigrams, 12, sweeps=1000)).all() and (of != class_lm.exchange(bigrams, 12, sweeps=6)).any()
+
+
 def test_lm_odd(odd, docs):
     rows = class_lm.score_texts(odd).collect()
     assert len(rows) == len(awkward()) and all(math.isfinite(r.score) and r.score < 0 for r in rows)

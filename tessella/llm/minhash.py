@@ -5,7 +5,8 @@
    same words collapse into one class, so groups of copies cost nothing afterwards.
 2. Classes that share a band are candidates. A star joins each bucket to one centre per round, so
    a bucket of m classes makes m - 1 pairs; buckets whose members are already in one component
-   are done. What remains is paired in full, but only across components.
+   are done. In what remains every two components are compared: small buckets as pairs, larger
+   ones tile by tile in memory, which gives a forest of links and never a row for each pair.
 3. A pair is compared 16 minima at a time and dropped as soon as the posterior probability of a
    similarity of at least the threshold (uniform prior) falls below ``miss``.
 4. Survivors are confirmed on their full shingle sets; links are joined to components.
@@ -156,13 +157,7 @@ class _Verifier:
             .select("a", "b", "ba", "bb")
         )
         alive = C.keep(joined.mapInArrow(_sequential(self.percent / 100, self.miss), "a binary, b binary"), at + "p")
-        ends = alive.select(F.col("a").alias("key")).union(alive.select("b")).distinct()
-        ends = C.keep(ends.join(self.classes.select("key", "rep"), "key").select("key", "rep.*"), at + "e")
-        need = C.small(ends, ends.count(), self.bound)
-        docs = C.hashed_texts(self.docs).alias("d")
-        found = docs.join(need.alias("e"), F.expr("d.th = e.th and d.doc_id <=> e.doc_id"))
-        sets = found.select("e.key", "d.text").mapInArrow(_sets(self.k), "key binary, sh binary")
-        sets = C.keep(sets.dropDuplicates(["key"]), at + "s")
+        sets = self.sets(alive.select(F.col("a").alias("key")).union(alive.select("b")).distinct(), at)
         full = (
             alive.join(sets.select(F.col("key").alias("a"), F.col("sh").alias("sa")), "a")
             .join(sets.select(F.col("key").alias("b"), F.col("sh").alias("sb")), "b")
@@ -173,6 +168,15 @@ class _Verifier:
             C.drop(self.spark, at + x)
         return links
 
+    def sets(self, keys: DataFrame, at: str) -> DataFrame:
+        """The shingle sets (key, sh) of classes, from the texts that stand for them."""
+        ends = C.keep(keys.join(self.classes.select("key", "rep"), "key").select("key", "rep.*"), at + "e")
+        need = C.small(ends, ends.count(), self.bound)
+        docs = C.hashed_texts(self.docs).alias("d")
+        found = docs.join(need.alias("e"), F.expr("d.th = e.th and d.doc_id <=> e.doc_id"))
+        sets = found.select("e.key", "d.text").mapInArrow(_sets(self.k), "key binary, sh binary")
+        return C.keep(sets.dropDuplicates(["key"]), at + "s")
+
 
 def _spread(labels: DataFrame, links: DataFrame, hops: int = 3) -> DataFrame:
     """Labels (key, component) after each took the least one of its neighbours, ``hops`` times.
@@ -187,6 +191,106 @@ def _spread(labels: DataFrame, links: DataFrame, hops: int = 3) -> DataFrame:
     return labels
 
 
+def _plausible_sizes(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of x and o in different components, by sizes similar enough."""
+    return (
+        pairs.where("x.component <> o.component")
+        .where(f"100 * least(x.n, o.n) >= {percent} * greatest(x.n, o.n)")
+        .select(F.least("x.key", "o.key").alias("a"), F.greatest("x.key", "o.key").alias("b"))
+        .distinct()
+    )
+
+
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with others, a few million elements at a time."""
+    out = np.zeros(len(others), dtype=np.int64)
+    sizes = np.cumsum([0] + [len(x) for x in others])
+    at = 0
+    while at < len(others):
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + (1 << 21), side="right")) - 1)
+        flat = np.concatenate(others[at:end])
+        found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        out[at:end] = np.add.reduceat(found, sizes[at:end] - sizes[at])
+        at = end
+    return out
+
+
+def compare_tiles(rows: pa.Table, percent: int, miss: float) -> list[tuple[bytes, bytes]]:
+    """Links between the members of two tiles of a bucket (of one, if both are the same).
+
+    ``rows`` has key, component, i (the bucket's band), n, bands, sh and tile, t1, t2. Each pair of
+    different components takes the sequential test; survivors that share no earlier band (there they
+    are compared too) are confirmed on their sets. Linked components merge at once, so a forest of
+    links comes out, whatever the number of pairs.
+    """
+    least = least_matches(percent / 100, miss)
+    rows = rows.sort_by("key")
+    keys, tiles = rows["key"].to_pylist(), rows["tile"].to_numpy()
+    labels = np.unique(np.array(rows["component"].to_pylist(), dtype=object), return_inverse=True)[1]
+    sizes, band = rows["n"].to_numpy(), rows["i"].to_numpy()
+    bands = rows["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), BANDS)
+    minima = np.ascontiguousarray(bands).view(np.uint16)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["sh"].to_pylist()]
+    t1, t2 = rows["t1"][0].as_py(), rows["t2"][0].as_py()
+    theirs = np.flatnonzero(tiles == t2)
+    links = []
+    for x in np.flatnonzero(tiles == t1).tolist():
+        y = theirs[theirs > x] if t1 == t2 else theirs
+        y = y[(labels[y] != labels[x]) & (100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x]))]
+        equal = np.zeros(len(y), dtype=np.int64)
+        for step, need in enumerate(least):
+            part = slice(step * STEP, (step + 1) * STEP)
+            equal += (minima[y, part] == minima[x, part]).sum(axis=1)
+            y, equal = y[equal >= need], equal[equal >= need]
+        y = y[~(bands[y, : band[x]] == bands[x, : band[x]]).any(axis=1)]
+        both = _shared(sets[x], [sets[j] for j in y])
+        for j in y[100 * both >= percent * (sizes[x] + sizes[y] - both)].tolist():
+            if labels[j] != labels[x]:
+                links.append((keys[x], keys[j]))
+                labels[labels == labels[j]] = labels[x]
+    return links
+
+
+def _tiles(percent: int, miss: float):
+    def run(rows: pa.Table) -> pa.Table:
+        links = compare_tiles(rows, percent, miss)
+        return pa.table({name: pa.array([x[i] for x in links], pa.binary()) for i, name in enumerate("ab")})
+
+    return run
+
+
+def _across(verify: _Verifier, left: DataFrame, spread: DataFrame, step: int, pairs_upto: int, tile: int) -> list[DataFrame]:
+    """Links between the components that are left in the open buckets.
+
+    Buckets of up to ``pairs_upto`` classes give rows of pairs, fewer than that for each member.
+    Larger ones are dealt to tiles of about ``tile`` classes (and 64 times as many KB of sets);
+    every two tiles meet in one task, which compares their members in memory and returns a forest.
+    """
+    spark, folder, percent = verify.spark, verify.folder, verify.percent
+    side = left.join(C.keep(spread.select("h", "c"), f"{folder}/open"), "h")
+    side = C.keep(side.join(verify.classes.select("key", "bands"), "key"), f"{folder}/side")
+    few = side.where(F.col("c") <= pairs_upto)
+    same = "zip_with(slice(x.bands, 1, x.i), slice(o.bands, 1, x.i), (p, q) -> p = q)"
+    pairs = few.alias("x").join(few.alias("o"), "h").where("x.key < o.key").where(f"not exists({same}, z -> z)")
+    links = [verify(_plausible_sizes(pairs, percent))]
+    many = side.where(F.col("c") > pairs_upto)
+    if many.isEmpty():
+        return links
+    sets = verify.sets(many.select("key").distinct(), f"{folder}/many")
+    sizes = many.groupBy("h").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("n") / (tile * 8192))).cast("int").alias("tiles")
+    )
+    sizes = C.keep(sizes, f"{folder}/sizes")
+    dealt = many.join(sizes, "h").withColumn("tile", F.pmod(F.xxhash64("key", F.lit(step)), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select(
+        "h", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile",
+        "key", "component", "i", "n", "bands",
+    )
+    met = dealt.join(sets, "key").groupBy("h", "t1", "t2").applyInArrow(_tiles(percent, verify.miss), "a binary, b binary")
+    return [*links, C.keep(met.distinct(), f"{folder}/forest")]
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -194,6 +298,8 @@ def near_duplicates(
     miss: float = 1e-5,
     star_rounds: int = 2,
     full_below: int = 32,
+    pairs_upto: int = 8,
+    tile: int = 2048,
     broadcast_rows: int = C.BROADCAST_ROWS,
 ) -> DataFrame:
     """Groups ``docs`` (doc_id, text) by k-word shingle sets with Jaccard similarity >= percent/100.
@@ -202,14 +308,16 @@ def near_duplicates(
     (the component's own key, null if it has none) and kept. Further columns are ignored. Null and
     blank texts and rows without doc_id link with nothing: their component_id is their doc_id.
     Repeated rows are copies of each other like any others. An empty table gives no rows.
-    Star rounds go on while a bucket has ``full_below`` rows or more.
+    Star rounds go on while a bucket has ``full_below`` rows or more; ``pairs_upto`` and ``tile`` say
+    how what is left is compared, never whether.
     """
     spark = docs.sparkSession
-    folder = C.scratch(spark)
+    kept = C.scratch(spark)
+    folder = f"{kept}/work"
     source = C.hashed_texts(docs)
     rows = C.keep(
         source.mapInArrow(_scan(k), "doc_id long, th long, key binary, n_shingles long, bands array<long>"),
-        f"{folder}/rows",
+        f"{kept}/rows",
     )
     classes = (
         rows.where("key is not null and doc_id is not null")
@@ -246,30 +354,11 @@ def near_duplicates(
         most = spread.agg(F.max("c")).first()[0]
         if most is None:
             break
-        last = step == star_rounds or most < full_below
-        if last:
-            side = left.join(C.keep(spread.select("h"), f"{folder}/open"), "h")
-            side = C.keep(side.join(classes.select("key", "bands"), "key"), f"{folder}/side")
-            # A pair counts in the first of the bands that it shares.
-            same = "zip_with(slice(x.bands, 1, x.i), slice(o.bands, 1, x.i), (p, q) -> p = q)"
-            earlier = f"exists({same}, z -> z)"
-            pairs = side.alias("x").join(side.alias("o"), "h").where("x.key < o.key").where(f"not {earlier}")
-            # All minima are compared at once here, so that hopeless pairs never leave the join.
-            lane = "if((shiftright(z, {}) & 65535) = 0, 1, 0)"
-            lanes = " + ".join(lane.format(16 * i) for i in range(ROWS))
-            equal = f"aggregate(zip_with(x.bands, o.bands, (p, q) -> p ^ q), 0, (t, z) -> t + {lanes})"
-            pairs = pairs.where(f"{equal} >= {least_matches(percent / 100, miss)[-1]}")
-        else:
-            pairs = left.alias("x").join(spread.select("h", "o"), "h").where("x.key <> o.key")
-        pairs = (
-            pairs.where("x.component <> o.component")
-            .where(f"100 * least(x.n, o.n) >= {percent} * greatest(x.n, o.n)")
-            .select(F.least("x.key", "o.key").alias("a"), F.greatest("x.key", "o.key").alias("b"))
-            .distinct()
-        )
-        links.append(verify(pairs))
-        if last:
+        if step == star_rounds or most < full_below:
+            links += _across(verify, left, spread, step, pairs_upto, tile)
             break
+        pairs = left.alias("x").join(spread.select("h", "o"), "h").where("x.key <> o.key")
+        links.append(verify(_plausible_sizes(pairs, percent)))
         labels = C.keep(_spread(left.select("key", "component").distinct(), links[-1]), f"{folder}/labels{step}")
         left = left.drop("component").join(labels, "key")
         left = C.keep(left.select("h", "key", "n", "i", "met", "component"), f"{folder}/left{step}")
@@ -285,7 +374,8 @@ def near_duplicates(
     else:
         classes = classes.select("key", "first", F.col("key").alias("component"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = C.keep(classes.join(least, "component").select("key", "component", "component_id"), f"{folder}/named")
+    named = C.keep(classes.join(least, "component").select("key", "component", "component_id"), f"{kept}/named")
+    C.drop(spark, folder)
     out = rows.join(named, (rows.key == named.key) & rows.doc_id.isNotNull(), "left").select(
         "doc_id",
         "th",

@@ -211,11 +211,29 @@ def test_near_duplicates_chains(docs):
         rows.append((i, " ".join(words)))
     want = brute.near(rows, 5)
     assert len({v[1] for v in want.values()}) > 3
-    for options in ({}, {"star_rounds": 0}, {"full_below": 2}):
+    for options in ({}, {"star_rounds": 0}, {"full_below": 2}, {"star_rounds": 0, "pairs_upto": 1, "tile": 7}):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(*rows), 5, 80, **options).collect()}
         assert got == want
 
 
+def test_near_duplicates_below_the_threshold(spark):
+    """800 variants of one text that share bands, few of them similar enough to link."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(800):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice((2, 4, 5, 6))):
+            words[at] = f"z{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near(rows, 5)
+    for options in ({}, {"star_rounds": 0, "tile": 300}):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 5, 80, **options).collect()}
+        assert got == want
+    assert len({v[1] for v in want.values()}) > 80
+
+
 def test_near_duplicates_odd(odd, docs):
     got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(odd, 4).collect())
     assert got[(4, 4, True)] == 2 and got[(5, 4, False)] == 1 and got[(8, 7, False)] == 1

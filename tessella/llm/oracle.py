@@ -47,15 +47,54 @@ WITH l AS (
   SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS line, len(parts) AS n
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ),
-k AS (SELECT doc_id, i, line, n, {_WORDS.format(_LOWER.replace("text", "line"))} AS w FROM l),
-u AS (
-  SELECT *, CASE WHEN len(w) >= 8 THEN array_to_string(w, ' ') END AS key,
+k AS (
+  SELECT *, {_WORDS.format(_LOWER.replace("text", "line"))} AS w,
     coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start
-  FROM k
+  FROM l
+),
+p AS (
+  SELECT doc_id, i, start AS line_start, unnest(range(1, len(parts) + 1)) AS j, unnest(parts) AS part, len(parts) AS m
+  FROM (
+    SELECT *, CASE WHEN len(w) > 8 THEN string_split(regexp_replace(line, '([.!?])([\\x20\\x09\\x0B-\\x0D])', '\\1' || chr(1) || '\\2', 'g'), chr(1))
+      ELSE [line] END AS parts
+    FROM k
+  )
+),
+q AS (
+  SELECT *, {_WORDS.format(_LOWER.replace("text", "part"))} AS w, (line_start
+    + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::bigint AS start
+  FROM p
+),
+u AS (
+  SELECT doc_id, i, 0 AS j, start, start + length(line) AS stop, w FROM k WHERE len(w) > 0
+  UNION ALL
+  SELECT doc_id, i, j, start, start + length(part) AS stop, w FROM q WHERE m > 1 AND len(w) >= 8
 ),
-r AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS gone FROM u)
-SELECT doc_id, count(key) AS n_units, count(*) FILTER (gone) AS n_removed,
-  coalesce(string_agg(start::varchar || ':' || (start + length(line))::varchar, ',' ORDER BY i) FILTER (gone), '') AS spans,
-  coalesce(string_agg(line || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY i) FILTER (NOT gone), '') AS text
-FROM r GROUP BY doc_id
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id NULLS FIRST, start, stop) > 1 AS gone,
+    count(*) OVER (PARTITION BY array_to_string(w, ' ')) > 1 AS again
+  FROM u
+),
+e AS (
+  SELECT r.*, r.gone AND NOT (r.j > 0 AND coalesce(b.gone, false)) AS cut, r.again AND NOT (r.j > 0 AND coalesce(b.again, false)) AS common
+  FROM r LEFT JOIN (SELECT doc_id, i, gone, again FROM r WHERE j = 0) b ON b.doc_id IS NOT DISTINCT FROM r.doc_id AND b.i = r.i
+),
+rest AS (
+  SELECT q.doc_id, q.i, string_agg(CASE WHEN e.cut THEN '' ELSE q.part END, '' ORDER BY q.j) AS rest
+  FROM q LEFT JOIN e ON q.m > 1 AND e.doc_id IS NOT DISTINCT FROM q.doc_id AND e.i = q.i AND e.j = q.j GROUP BY q.doc_id, q.i
+),
+texts AS (
+  SELECT k.doc_id, string_agg(CASE WHEN e.cut THEN '' ELSE rest.rest || CASE WHEN k.i < k.n THEN chr(10) ELSE '' END END, '' ORDER BY k.i) AS text
+  FROM k JOIN rest ON rest.doc_id IS NOT DISTINCT FROM k.doc_id AND rest.i = k.i
+    LEFT JOIN e ON e.j = 0 AND e.doc_id IS NOT DISTINCT FROM k.doc_id AND e.i = k.i
+  GROUP BY k.doc_id
+),
+counts AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (cut) AS n_removed, coalesce(sum(len(w)) FILTER (cut), 0)::bigint AS words_removed,
+    coalesce(sum(len(w)) FILTER (common), 0)::bigint AS words_repeated, coalesce(string_agg(start::varchar || ':' || stop::varchar, ',' ORDER BY start) FILTER (cut), '') AS spans
+  FROM e GROUP BY doc_id
+)
+SELECT texts.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(words_removed, 0)::bigint AS words_removed,
+  coalesce(words_repeated, 0)::bigint AS words_repeated, coalesce(spans, '') AS spans, text
+FROM texts LEFT JOIN counts ON counts.doc_id IS NOT DISTINCT FROM texts.doc_id
 """

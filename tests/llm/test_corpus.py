@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -339,37 +340,67 @@ def test_runs_do_not_depend_on_pieces():
 # 7
 
 
-def slow_lines(rows, min_words=8):
-    seen, out = {}, {}
+def slow_lines(rows, sentence_words=8):
+    """Spans, count and words of the units that are cut, by a dictionary of what has been seen."""
+    blanks = "[ \t\x0b\x0c\r]"
+    units = []
     for i, text in sorted(rows):
-        gone = []
         at = 0
-        for line in (text or "").split("\n"):
+        for number, line in enumerate((text or "").split("\n")):
             words = brute.words(line)
-            if len(words) >= min_words:
-                key = " ".join(words)
-                if key in seen:
-                    gone.append((at, at + len(line)))
-                seen.setdefault(key, i)
+            if words:
+                units.append((i, at, at + len(line), number, 0, words))
+            parts = re.split(f"(?<=[.!?])(?={blanks})", line)
+            start = at
+            if len(parts) > 1:
+                for part in parts:
+                    if len(brute.words(part)) >= sentence_words:
+                        units.append((i, start, start + len(part), number, 1, brute.words(part)))
+                    start += len(part)
             at += len(line) + 1
-        out[i] = gone
+    seen, gone = set(), set()
+    for u in sorted(units, key=lambda u: u[:3]):
+        key = " ".join(u[5])
+        if key in seen:
+            gone.add(u[:5])
+        seen.add(key)
+    out = {i: ([], 0, 0) for i, _ in rows}
+    for i, start, end, number, kind, words in sorted(units, key=lambda u: (u[0], u[1], u[4])):
+        line_gone = any(g[0] == i and g[3] == number and g[4] == 0 for g in gone if kind) if (i, start, end, number, kind) in gone else True
+        if (i, start, end, number, kind) in gone and not (kind and line_gone):
+            spans, n, lost = out[i]
+            out[i] = ([*spans, (start, end)], n + 1, lost + len(words))
     return out
 
 
-@pytest.mark.parametrize("bound", [0, common.BROADCAST_ROWS])
-def test_lines(spark, bound):
-    rows = pairs(spark)
+def test_lines(spark):
+    rows = pairs(spark)[:400]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = slow_lines(rows)
     assert any(want.values())
-    for r in line_dedup.dedup_units(spark.read.parquet(f"{SF}/documents.parquet"), broadcast_rows=bound).collect():
-        assert [(s.start, s.end) for s in r.spans] == want[r.doc_id]
+    for r in line_dedup.dedup_units(docs).collect():
+        spans, n, lost = want[r.doc_id]
+        assert ([(s.start, s.end) for s in r.spans], r.n_removed, r.words_removed) == (spans, n, lost)
         text, at, kept = dict(rows)[r.doc_id], 0, []
-        for a, b in want[r.doc_id]:
+        for a, b in spans:
             kept.append(text[at:a])
-            at = b + (text[b : b + 1] == "\n")
+            at = b + (text[b : b + 1] == "\n" and (a == 0 or text[a - 1] == "\n"))
         assert r.text == "".join(kept) + text[at:]
 
 
+def test_lines_find_passages_inside_lines(docs):
+    """A passage that starts and ends within other lines is found by its whole sentences."""
+    passage = ". ".join(" ".join(f"word{i}x{j}" for j in range(11)) for i in range(6)) + "."
+    rows = {r.doc_id: r for r in line_dedup.dedup_units(docs(
+        (1, f"A host of its own begins here and then {passage} Then it goes on."),
+        (2, f"Short.\nAnother one begins in its own way {passage} And ends otherwise.\nShort."),
+        (3, "Nothing in here is said anywhere else. Not this sentence of nine words here either."),
+    )).collect()}
+    assert (rows[1].n_removed, rows[3].n_removed, rows[1].words_repeated, rows[3].words_repeated) == (0, 0, 55, 0)
+    assert (rows[2].n_removed, rows[2].words_removed) == (6, 56)
+    assert rows[2].text == "Short.\nAnother one begins in its own way word0x0 word0x1 word0x2 word0x3 word0x4 word0x5 word0x6 word0x7 word0x8 word0x9 word0x10. And ends otherwise.\n"
+
+
 def test_paragraphs(docs):
     para = "one two three four five\nsix seven eight nine"
     rows = {r.doc_id: r for r in line_dedup.dedup_units(docs((2, f"{para}\n\nrest"), (1, f"start\n\n{para.upper()}"), (3, None)), "paragraph").collect()}
@@ -377,11 +408,14 @@ def test_paragraphs(docs):
 
 
 def test_lines_odd(odd, docs):
+    """Of repeated rows one keeps its units."""
     rows = line_dedup.dedup_units(odd).collect()
     assert len(rows) == len(awkward())
+    assert sorted((r.n_units, r.n_removed) for r in rows if r.doc_id == 4) == [(1, 1), (1, 1)]  # the row without id is first
+    assert [r.n_removed for r in rows if r.doc_id is None and r.n_units] == [0]
     assert line_dedup.dedup_units(empty(docs)).count() == 0
-    both = [r for r in rows if r.doc_id == 4]
-    assert both[0] == both[1]
+    twice = line_dedup.dedup_units(docs((4, "a b\nc"), (4, "a b\nc"), (4, "a b\nc"), (5, "c"))).collect()
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in twice) == [(4, 0, "a b\nc"), (4, 2, ""), (4, 2, ""), (5, 1, "")]
 
 
 # 8

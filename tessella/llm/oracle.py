@@ -24,21 +24,24 @@ SELECT doc_id, len(sh) AS n_shingles, component_id, doc_id = component_id AS kep
 SUBSTRINGS = """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 b AS (SELECT doc_id, h, (length(h) / 2)::bigint AS n FROM h),
-s AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS x FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS p FROM b WHERE n >= 400)),
-twice AS (SELECT x FROM s GROUP BY x HAVING count(*) > 1),
-starts AS (SELECT doc_id, p FROM s JOIN twice USING (x)),
+s AS (SELECT doc_id, size, p, md5(substr(h, 2 * p + 1, 2 * size)) AS x
+  FROM (SELECT doc_id, h, size, unnest(range(0, n - size + 1)) AS p FROM b, (VALUES (240), (400)) sizes(size) WHERE n >= size)),
+twice AS (SELECT size, x FROM s GROUP BY ALL HAVING count(*) > 1),
+starts AS (SELECT doc_id, p, bool_or(size = 400) AS long, bool_or(size = 240) AS short FROM s JOIN twice USING (size, x) GROUP BY doc_id, p),
 bytes AS (
-  SELECT doc_id, j, byte, coalesce(max(hit) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 399 PRECEDING AND CURRENT ROW), 0) AS gone
-  FROM (SELECT u.doc_id, j, substr(h, 2 * j + 1, 2) AS byte, CASE WHEN p IS NULL THEN 0 ELSE 1 END AS hit
-        FROM (SELECT doc_id, h, unnest(range(0, n)) AS j FROM b WHERE n >= 400) u LEFT JOIN starts ON starts.doc_id = u.doc_id AND p = j)
+  SELECT doc_id, j, byte,
+    coalesce(max(CASE WHEN long THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 399 PRECEDING AND CURRENT ROW), 0) AS gone,
+    coalesce(max(CASE WHEN short THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 239 PRECEDING AND CURRENT ROW), 0) AS again
+  FROM (SELECT u.doc_id, j, substr(h, 2 * j + 1, 2) AS byte, long, short
+        FROM (SELECT doc_id, h, unnest(range(0, n)) AS j FROM b WHERE n >= 240) u LEFT JOIN starts ON starts.doc_id = u.doc_id AND p = j)
 ),
 runs AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), 0) AS before FROM bytes),
 long AS (
-  SELECT doc_id, sum(gone)::bigint AS n_removed, count(*) FILTER (gone = 1 AND before = 0) AS n_spans,
+  SELECT doc_id, sum(gone)::bigint AS n_removed, count(*) FILTER (gone = 1 AND before = 0) AS n_spans, sum(again)::bigint AS n_repeated,
     sha256(unhex(coalesce(string_agg(byte, '' ORDER BY j) FILTER (gone = 0), ''))) AS kept FROM runs GROUP BY doc_id
 )
 SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  coalesce(kept, sha256(unhex(h))) AS kept_sha256
+  coalesce(kept, sha256(unhex(h))) AS kept_sha256, coalesce(n_repeated, 0) AS n_repeated
 FROM b LEFT JOIN long USING (doc_id)
 """
 

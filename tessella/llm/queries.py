@@ -44,7 +44,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

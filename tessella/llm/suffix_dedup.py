@@ -1,20 +1,21 @@
 """Exact substring dedup by bucket-pointer refinement over sampled suffixes.
 
-Bucket identifiers are built by doubling: the identifier of the 2k bytes at p combines the
-identifiers of the k bytes at p and at the later offset p + k; each round reuses the identifiers
-of the round before, up to the full ``length``. They are 64-bit hashes rather than ranks, so they
-agree between documents without a sort of all suffixes.
-
-Only sampled suffixes become rows. The anchor of a string of ``length`` bytes is the leftmost
-position in it whose q-gram identifier is least; equal strings have the same anchor, so strings
+Only sampled suffixes become rows. The anchor of a string is the leftmost position in its first
+``short`` bytes whose q-gram identifier is least; equal strings have the same anchor, so strings
 are compared only within the q-gram bucket of their anchors. Successive starts with the same
-anchor are one run. Buckets are refined in three rounds:
-
-1. runs whose first and last strings (and so all between) are equal are repeated as a whole;
-   one run of each such group goes on for the others in its bucket;
-2. runs left are divided into cells of 16 starts by their distance to the anchor; a cell whose
-   common core is unique holds no repeated string;
-3. the single strings of the cells left are counted by identifier.
+anchor are one run. Runs of equal bytes collapse into one that stands for them (all are repeated);
+the others in buckets that hold several different runs are refined:
+
+1. Suffixes are sampled every 48 bytes before and after the anchor. Their initial buckets are 96-byte
+   q-grams. A bucket is named by a pointer, its least suffix; suffixes alone in theirs are done.
+2. Each round groups suffixes by their pointer and the pointer of the suffix at a later offset, +96
+   and then +144, both as the round before has left them: depth 96, 192, 336. New buckets get new
+   pointers, which are written back and read by the next round.
+3. A cell is the 48 starts before a sampled suffix. In a bucket of depth 192 (``short``) or 336
+   (``length``) thirds of cells with equal bytes collapse like runs; what is left differs from its
+   bucket within a few bytes on either side, and its strings are counted one by one.
+
+Bytes are compared as 128-bit digests.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,41 +32,31 @@ from . import common as C
 
 #: Bytes of text that are worked on at once; below 2^20, as positions take 20 bits.
 PIECE = 1 << 18
-CELL = 16
+CELL, PART, GRAM = 48, 16, 96
+#: Later offsets whose pointers refine the buckets, and the depth reached.
+LATER = ((96, 192), (144, 336))
+#: Sampled suffixes of a run, at most; a pointer is run x this + index.
+POINTS = 16
+#: Parts of a cell.
+PARTS = CELL // PART
 _TABLE = np.random.default_rng(977).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 20) - 1)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Identifiers of pairs of identifiers."""
-    out = a * _K
-    out += b
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return out
-
-
-def _longer(ids: np.ndarray, have: int, want: int) -> np.ndarray:
-    """Identifiers of ``want`` bytes from those of ``have`` >= want / 2 at the same and a later offset."""
-    return _pair(ids[: len(ids) - (want - have)], ids[want - have :]) if len(ids) > want - have else ids[:0]
-
-
-class Buckets:
-    """Identifiers of all positions of a text piece, for q-grams, cores and whole strings."""
-
-    def __init__(self, raw: np.ndarray, length: int, q: int):
-        ids, have = _TABLE[raw], 1
-        self.q = self.core = None
-        while have < length:
-            if have == q:
-                self.q = ids
-            if self.core is None and 2 * have >= length - CELL + 1:
-                self.core = _longer(ids, have, length - CELL + 1)
-            want = min(2 * have, length)
-            ids, have = _longer(ids, have, want), want
-        self.full = ids
+def gram_ids(raw: np.ndarray, q: int) -> np.ndarray:
+    """64-bit identifiers of the q-grams at all positions, by doubling; q is a power of two."""
+    ids, have = _TABLE[raw], 1
+    while have < q:
+        if len(ids) <= have:
+            return ids[:0]
+        out = ids[:-have] * _K
+        out += ids[have:]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+        ids, have = out, 2 * have
+    return ids
 
 
 def _least_in_windows(keys: np.ndarray, width: int) -> np.ndarray:
@@ -80,41 +72,41 @@ def _least_in_windows(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-def runs_of(raw: np.ndarray, ends: np.ndarray, length: int, q: int):
-    """Runs of starts with one anchor: arrays (first, last, anchor, q-gram bucket, bucket of the run).
+def runs_of(raw: np.ndarray, ends: np.ndarray, short: int, q: int):
+    """Runs of starts with one anchor: arrays (first, last, anchor, q-gram bucket).
 
-    ``ends`` gives for every byte where its text ends; strings that cross an end don't count.
+    ``ends`` gives for every byte where its text ends; strings of ``short`` bytes that cross an end
+    don't count.
     """
-    ids = Buckets(raw, length, q)
-    count = len(ids.full)
+    ids = gram_ids(raw, q)
+    count = len(raw) - short + 1
     if count <= 0:
         return None
-    position = np.arange(len(ids.q), dtype=np.uint64)
-    least = _least_in_windows((ids.q & ~_LOW) | position, length - q + 1)[:count]
+    position = np.arange(len(ids), dtype=np.uint64)
+    least = _least_in_windows((ids & ~_LOW) | position, short - q + 1)[:count]
     anchor = (least & _LOW).astype(np.int64)
-    inside = np.arange(count) + length <= ends[:count]
+    inside = np.arange(count) + short <= ends[:count]
     anchor[~inside] = -1
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     last = np.concatenate((first[1:], [count])) - 1
     good = anchor[first] >= 0
     first, last = first[good], last[good]
     anchor = anchor[first]
-    run = _pair(_pair(ids.full[first], ids.full[last]), ((anchor - first) * 4096 + (anchor - last)).astype(np.uint64))
-    return first, last, anchor, ids.q[anchor], run
+    return first, last, anchor, ids[anchor]
 
 
-def pieces_of(texts: list[bytes], length: int):
+def pieces_of(texts: list[bytes], short: int):
     """Texts gathered to pieces of about PIECE bytes: (bytes, [(text, offset in the text, start in the piece)]).
 
-    Longer texts are divided with an overlap of length - 1, so that every string is in one piece.
+    Longer texts are divided with an overlap of short - 1, so that every string is in one piece.
     """
     parts, where, size = [], [], 0
     for i, text in enumerate(texts):
-        if len(text) < length:
+        if len(text) < short:
             continue
-        for at in range(0, len(text) - length + 1, PIECE):
-            part = text[at : at + PIECE + length - 1]
-            if size and size + len(part) > PIECE + length:
+        for at in range(0, len(text) - short + 1, PIECE):
+            part = text[at : at + PIECE + short - 1]
+            if size and size + len(part) > PIECE + short:
                 yield b"".join(parts), where
                 parts, where, size = [], [], 0
             where.append((i, at, size))
@@ -124,24 +116,41 @@ def pieces_of(texts: list[bytes], length: int):
         yield b"".join(parts), where
 
 
-def _find_runs(length: int, q: int):
+def _digests(parts: list[bytes]) -> pa.Array:
+    offsets = np.arange(len(parts) + 1, dtype=np.int32) * 16
+    return pa.BinaryArray.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(parts))])
+
+
+def _find_runs(length: int, short: int, q: int):
+    """Runs with the digest of all bytes of their strings of ``length`` (of ``short`` near the text's end)."""
+
     def run(batches):
         for batch in C.slices(batches):
-            for data, where in pieces_of(C.texts_as_bytes(batch.column(1)), length):
+            texts = C.texts_as_bytes(batch.column(1))
+            for data, where in pieces_of(texts, short):
                 starts = np.array([w[2] for w in where] + [len(data)])
                 ends = np.repeat(starts[1:], np.diff(starts))
-                found = runs_of(np.frombuffer(data, np.uint8), ends, length, q)
+                found = runs_of(np.frombuffer(data, np.uint8), ends, short, q)
                 if found is None:
                     continue
-                first, last, anchor, bucket, ident = found
+                first, last, anchor, bucket = found
                 part = np.searchsorted(starts, first, side="right") - 1
-                text = pa.array(np.array([w[0] for w in where])[part])
+                index = np.array([w[0] for w in where])[part]
                 shift = np.array([w[1] - w[2] for w in where])[part]
+                size = np.array([len(x) for x in texts])[index]
+                at, more, ahead = first + shift, last - first, anchor - first
+                end = np.minimum(at + more + length, size)  # up to the last whole string
+                end = np.where(size - at >= length, end, at + more + short)
+                keys = [
+                    xxhash.xxh3_128_digest(texts[i][a:b], s)
+                    for i, a, b, s in zip(index.tolist(), at.tolist(), end.tolist(), (ahead * 4096 + more).tolist(), strict=True)
+                ]
+                take = pa.array(index)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(text), batch.column(2).take(text), pa.array((first + shift).astype(np.int64)),
-                     pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32)),
-                     pa.array(bucket.view(np.int64)), pa.array(ident.view(np.int64))],
-                    names=["doc_id", "th", "first", "more", "ahead", "bucket", "ident"],
+                    [batch.column(0).take(take), batch.column(2).take(take), pa.array(at.astype(np.int64)),
+                     pa.array(more.astype(np.int32)), pa.array(ahead.astype(np.int32)),
+                     pa.array(np.minimum(size - at, 1 << 16).astype(np.int32)), pa.array(bucket.view(np.int64)), _digests(keys)],
+                    names=["doc_id", "th", "first", "more", "ahead", "rest", "bucket", "key"],
                 )
 
     return run
@@ -152,155 +161,233 @@ def _contexts(length: int):
 
     def run(batches):
         for batch in C.slices(batches):
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             index = []
-            for i, (text, asked) in enumerate(
-                zip(C.texts_as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True)
-            ):
+            texts = C.texts_as_bytes(batch.column(2))
+            for i, (text, asked) in enumerate(zip(texts, batch.column(3).to_pylist(), strict=True)):
                 for r in asked:
                     index.append(i)
-                    columns[0].append(r["first"])
-                    columns[1].append(r["ahead"])
-                    columns[2].append(r["bucket"])
-                    columns[3].append(r["done"])
-                    columns[4].append(text[r["first"] : r["first"] + r["more"] + length])
+                    for column, name in zip(columns, ("first", "more", "ahead", "bucket", "done"), strict=False):
+                        column.append(r[name])
+                    columns[5].append(text[r["first"] : r["first"] + r["more"] + length])
             index = pa.array(index, pa.int32())
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(index), batch.column(1).take(index),
                  *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["doc_id", "th", "first", "ahead", "bucket", "done", "bytes"],
+                names=["doc_id", "th", "first", "more", "ahead", "bucket", "done", "bytes"],
             )
 
     return run
 
 
-def _groups(batch, length: int, q: int):
-    """Byte strings of a batch gathered: (rows, starts, identifiers) a few thousand at a time."""
-    texts = batch.column("bytes").to_pylist()
-    for at in range(0, len(texts), 400):
-        some = texts[at : at + 400]
-        starts = np.cumsum([0] + [len(x) for x in some])
-        yield range(at, at + len(some)), starts, Buckets(np.frombuffer(b"".join(some), np.uint8), length, q)
+def _grams(batches):
+    """The initial buckets: digests of the q-grams at the sampled suffixes, by their distance to the anchor."""
+    for batch in C.slices(batches):
+        runs, ahead, bucket = (batch.column(n).to_pylist() for n in ("run", "ahead", "bucket"))
+        points, keys = [], []
+        for r, near, b, data in zip(runs, ahead, bucket, batch.column("bytes").to_pylist(), strict=True):
+            for i, at in enumerate(range(near % CELL, len(data) - GRAM + 1, CELL)):
+                points.append(r * POINTS + i)
+                keys.append(xxhash.xxh3_128_digest(data[at : at + GRAM], (b + near // CELL - i) & (2**64 - 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(points, pa.int64()), _digests(keys)], names=["point", "gram"])
+
+
+def _cell_of(ahead: int, more: int, cell: int) -> range:
+    """Starts of a part of the cell (the last is the nearest) before suffix ``cell // PARTS`` of a run."""
+    at = ahead % CELL + CELL * (cell // PARTS) - PART * (PARTS - 1 - cell % PARTS)
+    return range(max(0, at - PART + 1), min(at, more) + 1)
 
 
-def _cells(length: int, q: int):
-    """Core identifiers of the cells of each run; a cell is named by its distance to the anchor."""
+def _cells(sizes: tuple[int, int]):
+    """Cells of the suffixes in buckets, for strings of both sizes: first start, number of starts, digest."""
 
     def run(batches):
-        for batch in C.slices(batches):
-            ahead, bucket = batch.column("ahead").to_numpy(), batch.column("bucket").to_numpy().view(np.uint64)
-            for rows, starts, ids in _groups(batch, length, q):
-                row, cell, ident = [], [], []
-                for i, at, end in zip(rows, starts[:-1], starts[1:], strict=True):
-                    near = int(ahead[i]) - (end - at - length)  # of the last start to the anchor
-                    for j in range(near // CELL, int(ahead[i]) // CELL + 1):
-                        # Strings at distances 16 j ... 16 j + 15 share the bytes from distance 16 j on.
-                        row.append(i)
-                        cell.append(j)
-                        ident.append(at + int(ahead[i]) - CELL * j)
-                cell = np.array(cell, dtype=np.int64)
-                key = ids.core[np.array(ident, dtype=np.int64)]
-                key = _pair(key, cell.astype(np.uint64) ^ bucket[np.array(row, dtype=np.int64)])
-                take = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n).take(take) for n in ("doc_id", "th", "first", "bucket", "done")),
-                     pa.array(cell), pa.array(key.view(np.int64))],
-                    names=["doc_id", "th", "first", "bucket", "done", "cell", "core"],
-                )
+        for batch in C.slices(batches, 200):
+            columns: list[list] = [[], [], [], [], [], []]
+            keys = []
+            rows = (batch.column(n).to_pylist() for n in ("run", "ahead", "more", "bytes", "done", "short", "long"))
+            for r, ahead, more, data, done, *buckets in zip(*rows, strict=True):
+                for level, (size, found) in enumerate(zip(sizes, buckets, strict=True)):
+                    for x in found or ():
+                        for part in range(PARTS):
+                            own = _cell_of(ahead, min(more, len(data) - size), PARTS * x["i"] + part)
+                            if len(own):
+                                key = data[own[0] : own[-1] + size]
+                                keys.append(xxhash.xxh3_128_digest(key, own[0] - ahead & 0xFFFF | len(own) << 16))
+                                cell = (level, PARTS * (r * POINTS + x["i"]) + part, PARTS * x["to"] + part, own[0], len(own), done)
+                                for column, value in zip(columns, cell, strict=True):
+                                    column.append(value)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), _digests(keys)],
+                names=["level", "cell", "to", "start", "starts", "done", "key"],
+            )
 
     return run
 
 
-def _strings(length: int, q: int):
-    """Identifiers of the single strings of the cells asked for."""
+def _strings(sizes: tuple[int, int]):
+    """Digests of the single strings of the cells asked for; ``at`` is run x 1024 + level x 512 + start."""
 
     def run(batches):
-        for batch in C.slices(batches):
-            ahead, cells = batch.column("ahead").to_numpy(), batch.column("cells").to_pylist()
-            for rows, starts, ids in _groups(batch, length, q):
-                row, offset, where = [], [], []
-                for i, at, end in zip(rows, starts[:-1], starts[1:], strict=True):
-                    last = end - at - length
-                    for j in cells[i]:
-                        for p in range(max(0, int(ahead[i]) - CELL * j - CELL + 1), min(last, int(ahead[i]) - CELL * j) + 1):
-                            row.append(i)
-                            offset.append(p)
-                            where.append(at + p)
-                take = pa.array(row, pa.int32())
-                first = batch.column("first").to_numpy()[row] if row else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n).take(take) for n in ("doc_id", "th", "done")),
-                     pa.array(first + np.array(offset, dtype=np.int64)),
-                     pa.array(ids.full[np.array(where, dtype=np.int64)].view(np.int64))],
-                    names=["doc_id", "th", "done", "start", "ident"],
-                )
+        for batch in C.slices(batches, 200):
+            done, ats, keys = [], [], []
+            rows = (batch.column(n).to_pylist() for n in ("run", "ahead", "more", "bytes", "cells"))
+            for r, ahead, more, data, asked in zip(*rows, strict=True):
+                for x in asked:
+                    size = sizes[x["level"]]
+                    for at in _cell_of(ahead, min(more, len(data) - size), x["cell"]):
+                        done.append(x["done"])
+                        ats.append(r * 1024 + x["level"] * 512 + at)
+                        # Equal strings have one bucket, so it may be part of the digest.
+                        keys.append(xxhash.xxh3_128_digest(data[at : at + size], x["to"]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ats, pa.int64()), pa.array(done, pa.bool_()), _digests(keys)], names=["at", "done", "key"]
+            )
 
     return run
 
 
-def merged(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal spans of each row: (offsets by row, starts, ends); spans that touch are one."""
+    far = int(b.max(initial=0)) + 2
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order] + row[order] * far, b[order] + row[order] * far
+    reach = np.maximum.accumulate(b)
+    new = np.concatenate(([True], a[1:] > reach[:-1]))[: len(a)]
+    at = np.flatnonzero(new)
+    last = np.concatenate((at[1:], [len(a)]))[: len(at)] - 1
+    offsets = np.searchsorted(row[at], np.arange(rows + 1))
+    return offsets, a[at] - row[at] * far, reach[last] - row[at] * far
 
 
 def _merge(batches):
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    """Spans of a document as two lists: strings of ``length`` bytes and of ``short``."""
+    kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
     for batch in C.slices(batches):
-        spans = [
-            [{"a": a, "b": b} for a, b in merged((x["a"], x["b"]) for x in some)] for some in batch.column(2).to_pylist()
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(spans, kind)], names=["doc_id", "th", "spans"]
-        )
+        column = batch.column(2)
+        flat = column.flatten()
+        row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+        a = flat.field(0).to_numpy()
+        out = []
+        for at in (1, 2):
+            b = flat.field(at).to_numpy()
+            here = b > 0
+            offsets, start, end = merged(row[here], a[here], b[here], len(column))
+            spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], fields=list(kind))
+            out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=["doc_id", "th", "spans", "shorter"])
 
 
 def _apply(batches):
     for batch in C.slices(batches):
-        size, gone, count, digest = [], [], [], []
-        for text, spans in zip(C.texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        columns: list[list] = [[], [], [], [], []]
+        rows = zip(C.texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        for text, spans, shorter in rows:
             at, kept, removed = 0, hashlib.sha256(), 0
             for s in spans or ():
                 kept.update(text[at : s["a"]])
                 removed += s["b"] - s["a"]
                 at = s["b"]
             kept.update(text[at:])
-            size.append(len(text))
-            gone.append(removed)
-            count.append(len(spans or ()))
-            digest.append(kept.hexdigest())
+            found = (len(text), removed, len(spans or ()), sum(s["b"] - s["a"] for s in shorter or ()), kept.hexdigest())
+            for column, x in zip(columns, found, strict=True):
+                column.append(x)
+        kinds = (*[pa.int64()] * 4, pa.string())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, count)), pa.array(digest, pa.string()),
-             batch.column(2)],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
-        )
+            [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(2)],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept_sha256", "spans"],
+        )
 
 
-_RUN = "doc_id long, th long, first long, more int, ahead int, bucket long, ident long"
+_RUN = "doc_id long, th long, first long, more int, ahead int, rest int, bucket long, key binary"
+_CONTEXT = "doc_id long, th long, first long, more int, ahead int, bucket long, done boolean, bytes binary"
+_SPANS = "array<struct<a: bigint, b: bigint>>"
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, q: int = 128, broadcast_rows: int = C.BROADCAST_ROWS) -> DataFrame:
-    """Rows (doc_id, th, spans): the maximal byte runs of ``docs`` covered by strings of ``length``
-    bytes that start anywhere else too. ``q`` is a power of two below ``length``."""
+def _refined(points: DataFrame, by: list[str], path: str) -> DataFrame:
+    """One round: rows (run, buckets) with the new pointers ``to`` of the suffixes (index i) that share
+    a bucket, that is, all columns ``by``, with others. The pointer of a bucket is its least suffix."""
+    least = points.groupBy(*by).agg(F.count(F.lit(1)).alias("c"), F.min("point").alias("least")).where("c > 1").drop("c")
+    named = points.join(least, by).select(
+        F.expr(f"point div {POINTS}").alias("run"), F.expr(f"cast(point % {POINTS} as int)").alias("i"), F.col("least").alias("to")
+    )
+    # A run has at most POINTS suffixes.
+    return C.keep(named.groupBy("run").agg(F.collect_list(F.struct("i", "to")).alias("buckets")), path)
+
+
+def _later(found: DataFrame, offset: int) -> DataFrame:
+    """Rows (point, to, later): suffixes with their pointer and that of the suffix ``offset`` bytes on."""
+    ahead = found.withColumn("by", F.map_from_entries("buckets")).select("run", "by", F.explode("buckets").alias("x"))
+    later = F.element_at("by", F.col("x.i") + offset // CELL)
+    return ahead.select(
+        (F.col("run") * POINTS + F.col("x.i")).alias("point"), F.col("x.to").alias("to"), later.alias("later")
+    ).where("later is not null")
+
+
+def _counted(context: DataFrame, found: DataFrame, sizes: tuple[int, int], folder: str) -> DataFrame:
+    """Rows (run, level, start, starts): repeated strings of either size of runs that have suffixes in buckets."""
+    spark = context.sparkSession
+    kinds = "level int, cell long, to long, start int, starts int, done boolean, key binary"
+    cells = C.keep(context.join(found, "run").mapInArrow(_cells(sizes), kinds), f"{folder}/cells")
+    groups = cells.groupBy("level", "to", "key").agg(
+        F.count(F.lit(1)).alias("c"), F.min("cell").alias("one"), F.max("done").alias("done")
+    )
+    groups = C.keep(groups, f"{folder}/equal")
+    C.release(spark)
+    again = groups.where("c > 1").select("level", "to", "key")
+    whole = cells.where("not done").join(again, ["level", "to", "key"])
+    whole = whole.select(F.expr(f"cell div {PARTS * POINTS}").alias("run"), "level", "start", "starts")
+    known = F.col("done") | (F.col("c") > 1)
+    open_ = groups.groupBy("level", "to").agg(F.count(F.lit(1)).alias("n"), F.min(known).alias("all"))
+    asked = groups.join(open_.where("n > 1 and not all").select("level", "to"), ["level", "to"]).select(
+        F.expr(f"one div {PARTS * POINTS}").alias("run"),
+        F.struct("level", F.expr(f"cast(one % {PARTS * POINTS} as int)").alias("cell"), "to", known.alias("done")).alias("cell"),
+    )
+    asked = asked.groupBy("run").agg(F.collect_list("cell").alias("cells"))
+    strings = context.join(asked, "run").mapInArrow(_strings(sizes), "at long, done boolean, key binary")
+    strings = C.keep(strings, f"{folder}/strings")
+    twice = strings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    single = strings.where("not done").join(twice, "key").select(
+        F.expr("at div 1024").alias("run"), F.expr("cast(at % 1024 div 512 as int)").alias("level"),
+        F.expr("cast(at % 512 as int)").alias("start"), F.lit(1).alias("starts"),
+    )
+    spans = C.keep(whole.union(single), f"{folder}/spans")
+    for x in ("cells", "equal", "strings"):
+        C.drop(spark, f"{folder}/{x}")
+    return spans
+
+
+def repeated_spans(
+    docs: DataFrame, length: int = 400, short: int = 240, q: int = 64, broadcast_rows: int = C.BROADCAST_ROWS
+) -> DataFrame:
+    """Rows (doc_id, th, spans, shorter): the maximal byte runs of ``docs`` covered by strings of
+    ``length`` bytes, and by strings of ``short``, that start anywhere else too.
+
+    q < short <= length, a power of two; short >= 239 and length >= 383, so that the depths of the
+    refinement fit in.
+    """
+    if short < LATER[0][1] + CELL - 1 or length < LATER[1][1] + CELL - 1 or not q < short <= length:
+        raise ValueError("strings are too short for the depths of the refinement")
     spark = docs.sparkSession
-    folder = C.scratch(spark)
+    kept = C.scratch(spark)
+    folder = f"{kept}/work"
     source = C.hashed_texts(docs)
-    runs = C.keep(source.mapInArrow(_find_runs(length, q), _RUN), f"{folder}/runs")
+    runs = C.keep(source.mapInArrow(_find_runs(length, short, q), _RUN), f"{folder}/runs")
     hot = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     met = C.keep(runs.join(C.keep(hot, f"{folder}/hot"), "bucket").select(*runs.columns), f"{folder}/met")
     C.drop(spark, f"{folder}/runs")
-    groups = met.groupBy("bucket", "ident").agg(
+    groups = met.groupBy("bucket", "key").agg(
         F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "first", "more", "ahead")).alias("one")
     )
     groups = C.keep(groups, f"{folder}/groups")
-    whole = met.join(groups.where("c > 1").select("bucket", "ident"), ["bucket", "ident"]).select(
-        "doc_id", "th", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b")
-    )
+    begin, more = F.col("first"), F.col("more")
+    whole = met.join(groups.where("c > 1").select("bucket", "key"), ["bucket", "key"]).select(
+        "doc_id", "th", begin.alias("a"),
+        F.when(F.col("rest") >= length, begin + F.least(more + length, "rest")).otherwise(0).alias("b"),
+        (begin + more + short).alias("s"),
+    )
     open_ = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"))
     open_ = open_.where("n > 1 and low = 1").select("bucket")
     asked = groups.join(open_, "bucket").select("one.*", "bucket", (F.col("c") > 1).alias("done"))
@@ -308,56 +395,53 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int = 128, broadcast_r
         F.collect_list(F.struct("first", "more", "ahead", "bucket", "done")).alias("asked")
     )
     asked = C.keep(asked, f"{folder}/asked")
+    whole = C.keep(whole, f"{folder}/whole")
+    del hot, runs, met, groups, open_
+    C.drop(spark, f"{folder}/met")
+    C.release(spark)
     n = asked.agg(F.sum(F.size("asked")).alias("n")).first().n or 0
     same = F.expr("d.th = a.th and d.doc_id <=> a.doc_id")
     texts = source.alias("d").join(C.small(asked, n, broadcast_rows).alias("a"), same)
-    texts = texts.select("d.doc_id", "d.th", "d.text", "a.asked")
-    context = texts.mapInArrow(
-        _contexts(length), "doc_id long, th long, first long, ahead int, bucket long, done boolean, bytes binary"
-    )
-    # Repeated rows are one text here: their runs are repeated as a whole already.
-    context = C.keep(context.dropDuplicates(["doc_id", "th", "first"]), f"{folder}/context")
-    cells = context.mapInArrow(
-        _cells(length, q), "doc_id long, th long, first long, bucket long, done boolean, cell long, core long"
-    )
-    cells = C.keep(cells, f"{folder}/cells")
-    common = cells.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("done").alias("all_done"))
-    common = common.where("c > 1 and not all_done").select("core")
-    left = cells.join(C.keep(common, f"{folder}/common"), "core").groupBy("doc_id", "th", "first").agg(F.collect_list("cell").alias("cells"))
-    ident = ["doc_id", "th", "first"]
-    left = left.select(*(F.col(c).alias("_" + c) for c in ident), "cells")
-    strings = context.join(left, F.expr("th = _th and first = _first and doc_id <=> _doc_id")).select(
-        *context.columns, "cells"
-    )
-    strings = strings.mapInArrow(_strings(length, q), "doc_id long, th long, done boolean, start long, ident long")
-    strings = C.keep(strings, f"{folder}/strings")
-    twice = strings.groupBy("ident").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ident")
-    twice = C.keep(twice, f"{folder}/twice")
-    single = strings.where("not done").join(twice, "ident").select(
-        "doc_id", "th", F.col("start").alias("a"), (F.col("start") + length).alias("b")
-    )
-    spans = whole.union(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return spans.mapInArrow(_merge, "doc_id long, th long, spans array<struct<a: bigint, b: bigint>>")
+    context = texts.select("d.doc_id", "d.th", "d.text", "a.asked").mapInArrow(_contexts(length), _CONTEXT)
+    # Repeated rows are asked twice; what stands for them is done, so that their strings only mark others.
+    context = C.keep(context.withColumn("run", F.monotonically_increasing_id()), f"{folder}/context")
+    found = [_refined(context.mapInArrow(_grams, "point long, gram binary"), ["gram"], f"{folder}/round0")]
+    for i, (offset, _) in enumerate(LATER):
+        found.append(_refined(_later(found[-1], offset), ["to", "later"], f"{folder}/round{i + 1}"))
+    C.release(spark)
+    both = found[1].withColumnRenamed("buckets", "short").join(found[2].withColumnRenamed("buckets", "long"), "run", "left")
+    spans = _counted(context, both, (short, length), folder).join(context.select("run", "doc_id", "th", "first"), "run")
+    start, end = F.col("first") + F.col("start"), F.col("first") + F.col("start") + F.col("starts") - 1
+    spans = whole.union(
+        spans.select(
+            "doc_id", "th", start.alias("a"), F.when(F.col("level") == 1, end + length).otherwise(0).alias("b"),
+            F.when(F.col("level") == 0, end + short).otherwise(0).alias("s"),
+        )
+    )
+    spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "s")).alias("spans"))
+    spans = C.keep(spans.mapInArrow(_merge, f"doc_id long, th long, spans {_SPANS}, shorter {_SPANS}"), f"{kept}/all")
+    C.drop(spark, folder)
+    return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, q: int = 128, broadcast_rows: int = C.BROADCAST_ROWS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 400, short: int = 240, q: int = 64, broadcast_rows: int = C.BROADCAST_ROWS
+) -> DataFrame:
     """Removes from ``docs`` (doc_id, text) each byte covered by a repeated string of ``length`` bytes.
 
-    Returns a row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (a, b in
-    UTF-8 bytes). Strings never cross documents and are judged on the input. A null text counts as
-    empty. Repeated rows are repeats of each other: with ``length`` bytes or more they lose all.
-    Rows that share an id only are different documents. Further columns are ignored; an empty table
-    gives no rows.
+    Returns a row per document: doc_id, n_bytes, n_removed, n_spans, n_repeated (bytes covered by
+    repeated strings of ``short`` bytes, about fifty short words; none is removed for it),
+    kept_sha256 and spans (a, b in UTF-8 bytes). Strings never cross documents and are judged on
+    the input. A null text counts as empty. Repeated rows are repeats of each other: with ``length``
+    bytes or more they lose all. Rows that share an id only are different documents. Further columns
+    are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    spans = C.keep(repeated_spans(docs, length, q, broadcast_rows), C.scratch(spark))
-    n = spans.agg(F.sum(F.size("spans")).alias("n")).first().n or 0
+    spans = repeated_spans(docs, length, short, q, broadcast_rows)
+    n = spans.agg(F.sum(F.size("spans") + F.size("shorter")).alias("n")).first().n or 0
     source = C.hashed_texts(docs).alias("d")
     joined = source.join(
         C.small(spans, n, broadcast_rows).alias("s"), F.expr("d.th = s.th and d.doc_id <=> s.doc_id"), "left"
     )
-    return joined.select("d.doc_id", "d.text", "s.spans").mapInArrow(
-        _apply,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-        "spans array<struct<a: bigint, b: bigint>>",
+    return joined.select("d.doc_id", "d.text", "s.spans", "s.shorter").mapInArrow(
+        _apply, f"doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept_sha256 string, spans {_SPANS}"
     )

@@ -299,8 +299,9 @@ def test_mix_odd(odd, docs):
 @pytest.mark.parametrize("bound", [0, common.BROADCAST_ROWS])
 def test_substrings(spark, bound):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, broadcast_rows=bound).collect()}
-    assert got == brute.repeats(pairs(spark))
+    rows = suffix_dedup.remove_repeats(docs, broadcast_rows=bound).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.repeats(pairs(spark))
+    assert {r.doc_id: r.n_repeated for r in rows} == {i: x[1] for i, x in brute.repeats(pairs(spark), 240).items()}
 
 
 def test_substrings_awkward_overlaps(docs, monkeypatch):
@@ -314,8 +315,12 @@ def test_substrings_awkward_overlaps(docs, monkeypatch):
         part = core[a : a + rng.randrange(300, 900)]
         rows.append((i, "".join(word() for _ in range(rng.randrange(200))) + part + "".join(word() for _ in range(rng.randrange(60)))))
     rows += [(100, "ab" * 700), (101, "xab" * 400), (102, "q" * 399), (103, "q" * 400), (104, "q" * 401), (105, core[:400]), (106, core[1:400])]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs(*rows)).collect()}
-    assert got == brute.repeats(rows)
+    rows += [(200 + i, "!" * (i + 1) + core[500 : 500 + n] + "?" * (i + 1)) for i, n in enumerate((239, 240, 241, 271, 272, 383, 399, 400, 401, 431, 432))]
+    for size in (suffix_dedup.PIECE, 1000):  # long texts in many pieces
+        monkeypatch.setattr(suffix_dedup, "PIECE", size)
+        found = suffix_dedup.remove_repeats(docs(*rows)).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute.repeats(rows)
+        assert {r.doc_id: r.n_repeated for r in found} == {i: x[1] for i, x in brute.repeats(rows, 240).items()}
 
 
 def test_substrings_odd(odd, docs):

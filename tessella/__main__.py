@@ -15,7 +15,7 @@ from .sources import pages
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tessella")
     p.add_argument("command", choices=["seed"])
-    p.add_argument("--pages", required=True, help="Parquet of landed pages (url, html)")
+    p.add_argument("--pages", required=True, help="Parquet of landed pages (url, html and, for their order, ord)")
     p.add_argument("--kb", required=True)
     p.add_argument("--max-pages", type=int, default=0)
     p.add_argument("--concurrency", type=int, default=10)
@@ -27,7 +27,8 @@ def main(args: list[str] | None = None) -> int:
         engine.kb.reset()
     raw = spark.read.parquet(a.pages)
     if a.max_pages > 0:
-        raw = raw.orderBy(F.col("url")).limit(a.max_pages)
+        # In the order of the sitemap, if the landed pages know it.
+        raw = raw.orderBy(F.col("ord" if "ord" in raw.columns else "url")).limit(a.max_pages)
     print(engine.ingest_pages(pages.long_enough(pages.extract_pages(raw.repartition(a.concurrency)))))
     return 0
 

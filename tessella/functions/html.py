@@ -15,7 +15,6 @@ DROPPED = frozenset(("nav", "footer", "script", "style", "noscript", "header"))
 BREAKS = {"br": "\n", "p": "\n", "div": "\n", "section": "\n", "article": "\n", "tr": "\n", "li": "\n- ", "td": " | ", "th": " | "}
 HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-_BODY = re.compile(r'"body"\s*:\s*"((?:[^"\\]|\\.)*)"')
 
 
 class Node:
@@ -111,38 +110,59 @@ def readable(node: Node, parity: bool = False) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def payload(root: Node, parity: bool) -> str:
-    """The page body that a script carries as a JSON string, if any."""
-    for script in (n for n in root.nodes() if n.name == "script"):
-        found = _BODY.search("".join(c for c in script.children if isinstance(c, str)))
-        if found:
+def json_strings(text: str, key: str):
+    """The string values that a key has anywhere in a script, read by the JSON decoder."""
+    name, decoder = json.dumps(key), json.JSONDecoder()
+    at = text.find(name)
+    while at >= 0:
+        colon = text[at + len(name) :].lstrip()
+        value = colon[1:].lstrip() if colon.startswith(":") else ""
+        if value.startswith('"'):
             try:
-                return readable(tree(json.loads(f'"{found[1]}"')), parity)
+                yield decoder.raw_decode(value)[0]
             except ValueError:
-                continue
-    return ""
+                return
+        at = text.find(name, at + 1)
+
+
+def title_of(root: Node) -> str:
+    """The first h1, even an empty one, else the title element."""
+    source = root.find("h1") or root.find("title")
+    return source.text() if source else ""
+
+
+def trail_of(root: Node, title: str) -> list[str]:
+    """Link texts of the breadcrumb navigation; the title closes the trail unless it does already."""
+    nav = root.find("nav", lambda n: "breadcrumb" in (n.attributes.get("class") or "").lower())
+    links = [n.text() for n in nav.nodes() if n.name == "a"] if nav else []
+    trail = [t for t in links if t]
+    return [*trail, title] if title and trail[-1:] != [title] else trail
+
+
+#: Where the text of a page is, first choice first, and how much of it is enough.
+PLACES = (("section", lambda n: "id" in n.attributes), ("main", lambda n: True), ("article", lambda n: True))
+ENOUGH = 100
+
+
+def body_of(root: Node, parity: bool = False) -> str:
+    """Readable text of the page's main element and, if that is little, of the body that a script carries."""
+    places = (root.find(name, test) for name, test in PLACES)
+    main = next((n for n in places if n), None)
+    text = readable(main, parity) if main else ""
+    if len(text.strip()) < ENOUGH:
+        scripts = ("".join(c for c in n.children if isinstance(c, str)) for n in root.nodes() if n.name == "script")
+        bodies = (readable(tree(next(json_strings(x, "body"), "")), parity) for x in scripts)
+        carried = next((x for x in bodies if x), "")
+        text = "\n\n".join(x for x in (text, carried) if x)
+    return re.sub(r" {2,}", " ", re.sub(r"\n{3,}", "\n\n", text.strip()))
 
 
 def page(html: str | None, parity: bool = False) -> dict:
     """Title, breadcrumbs, content and section path of a page; a null page counts as empty."""
     root = tree(html or "")
-    heading, title_tag = root.find("h1"), root.find("title")
-    title = heading.text() if heading else title_tag.text() if title_tag else ""
-    trail = root.find("nav", lambda n: "breadcrumb" in (n.attributes.get("class") or "").lower())
-    breadcrumbs = [t for n in (trail.nodes() if trail else ()) if n.name == "a" and (t := n.text())]
-    if title and breadcrumbs[-1:] != [title]:
-        breadcrumbs.append(title)
-    body = root.find("section", lambda n: "id" in n.attributes) or root.find("main") or root.find("article")
-    parts = [readable(body, parity)] if body else []
-    if len("".join(parts).strip()) < 100 and (more := payload(root, parity)):
-        parts.append(more)
-    content = re.sub(r" {2,}", " ", re.sub(r"\n{3,}", "\n\n", "\n\n".join(parts).strip()))
-    return {
-        "title": title,
-        "breadcrumbs": breadcrumbs,
-        "content": content,
-        "section_path": " / ".join(breadcrumbs) if breadcrumbs else title,
-    }
+    title = title_of(root)
+    trail = trail_of(root, title)
+    return {"title": title, "breadcrumbs": trail, "content": body_of(root, parity), "section_path": " / ".join(trail) or title}
 
 
 def extracted(html: Column, parity: bool = False) -> Column:

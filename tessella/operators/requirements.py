@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,14 +53,16 @@ def filled(template: str, **columns):
     return out
 
 
-def _records():
+def records(answers: Column) -> Column:
+    """The requirements in a model's answers, whatever names it gives their fields."""
+
     @F.pandas_udf(_FIELDS)
     def run(answers: pd.Series) -> pd.Series:
         return pd.Series(
             [[{k: field(x, names) for k, names in ALIASES.items()} for x in items_of(parse(a))] for a in answers], dtype=object
         )
 
-    return run
+    return run(answers)
 
 
 def extract_requirements(documents: DataFrame, llm: LLMProvider, size: int = 6000) -> DataFrame:
@@ -70,8 +72,8 @@ def extract_requirements(documents: DataFrame, llm: LLMProvider, size: int = 600
     """
     parts = documents.select("document_name", F.posexplode(T.packed(F.col("text"), size)).alias("chunk", "part"))
     asked = completed(parts.select("document_name", "chunk", filled(EXTRACT, text=F.col("part")).alias("prompt")), llm)
-    records = asked.select("document_name", "chunk", F.posexplode(_records()("answer")).alias("item", "r"))
-    good = records.select(
+    found = asked.select("document_name", "chunk", F.posexplode(records(F.col("answer"))).alias("item", "r"))
+    good = found.select(
         "document_name", "chunk", "item", "r.section", "r.text", V.valid_category(F.col("r.category")).alias("category"), "r.tables"
     ).where(F.length("text") >= 3)
     return numbered(good)
@@ -121,9 +123,9 @@ def _answers():
 
 def parsed_answers(answered: DataFrame, config: EngineConfig) -> DataFrame:
     """Verdict items of ``answered`` (document_name, ..., answer); links are those to trusted hosts."""
-    items = answered.select(*[c for c in answered.columns if c not in ("answer", "prompt")], F.explode(_answers()("answer")).alias("x"))
+    items = answered.select(*[c for c in answered.columns if c not in ("answer", "prompt")], F.posexplode(_answers()("answer")).alias("item", "x"))
     return items.select(
-        *items.columns[:-1], "x.requirement_id", "x.verdict", confidence(F.col("x.confidence")).alias("confidence"),
+        *items.columns[:-2], "item", "x.requirement_id", "x.verdict", confidence(F.col("x.confidence")).alias("confidence"),
         "x.reasoning", "x.evidence", "x.recommendation",
         T.trusted_links(F.col("x.source_urls"), config.link_domains).alias("source_urls"),
     )
@@ -152,11 +154,11 @@ def analyze(requirements: DataFrame, hits: DataFrame, llm: LLMProvider, config:
     answered = completed(asked.select("document_name", "only", "prompt"), llm)
     items = parsed_answers(answered, config)
     if mode == "live":  # the answer is about the one requirement asked for, and its first item counts
-        first = F.row_number().over(W.partitionBy("document_name", "only").orderBy(F.monotonically_increasing_id()))
+        first = F.row_number().over(W.partitionBy("document_name", "only").orderBy("item"))
         items = items.withColumn("n", first).where("n = 1").withColumn("requirement_id", F.col("only")).drop("n")
         items = items.withColumn("reasoning", F.coalesce("reasoning", F.lit(V.NO_ANSWER)))
         items = items.withColumn("recommendation", F.coalesce("recommendation", F.lit(V.BY_HAND)))
-    merged = V.merge_answers(requirements, items.drop("only"))
+    merged = V.merge_answers(requirements, items.drop("only", "item"))
     merged = merged.join(V.searched_links(hits), ["document_name", "requirement_id"], "left")
     return merged.withColumn("source_urls", T.merged_links(F.col("source_urls"), F.col("searched"))).drop("searched")
 

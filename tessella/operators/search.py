@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 
 #: Queries that one pass over the base holds; more are answered in further passes.
 QUERY_BLOCK = 4096
+#: Rows and queries that are compared at once.
+TILE = 1024
+#: Bytes of search strings that one scan looks for; more are searched in further scans.
+NEEDLE_BYTES = 32 << 20
 
 
 def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """Ranking distances of queries x to rows y: squared L2, or 1 - cosine."""
+    """Ranking distances of queries x to rows y: squared L2, or 1 - cosine (rows of norm 0 have none)."""
     if metric == "cosine":
         norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]
         return 1 - (x @ y.T) / np.where(norms > 0, norms, np.nan)
@@ -29,6 +35,21 @@ def _exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return ((x - y) ** 2).sum(1)
 
 
+def _vectors(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows without nulls that have the dimension, from the Arrow buffers."""
+    column = batch.column(1)
+    flat = column.flatten()
+    sizes = np.diff(column.offsets.to_numpy())
+    holes = np.zeros(len(column), dtype=bool)
+    if flat.null_count:
+        row = np.repeat(np.arange(len(column)), sizes)
+        holes[row[~flat.is_valid().to_numpy(zero_copy_only=False)]] = True
+    good = column.is_valid().to_numpy(zero_copy_only=False) & (sizes == dim) & ~holes
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = (column.offsets.to_numpy() - column.offsets[0].as_py())[:-1][good]
+    return batch.column(0).to_numpy()[good], values[starts[:, None] + np.arange(dim)] if len(starts) else np.zeros((0, dim))
+
+
 def _scan(shared, k: int, metric: str):
     """Partial top-k of a partition: k rows for each query at most."""
 
@@ -36,20 +57,23 @@ def _scan(shared, k: int, metric: str):
         ids, x = shared.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         for batch in batches:
-            rows = [(i, v) for i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True) if v and None not in v]
-            rows = [(i, v) for i, v in rows if len(v) == x.shape[1]]
-            if not rows:
-                continue
-            base = np.array([i for i, _ in rows])
-            y = np.array([v for _, v in rows], dtype=np.float64)
-            rough = _distances(x, y, metric)
-            kth = np.sort(rough, axis=1)[:, min(k, len(base)) - 1]
-            for q in range(len(ids)):
-                at = np.flatnonzero(rough[q] <= kth[q] + 1e-6)
-                d = np.concatenate((best[q][0], _exact(np.broadcast_to(x[q], y[at].shape), y[at], metric)))
-                i = np.concatenate((best[q][1], base[at]))
-                order = np.lexsort((i, d))[:k]
-                best[q] = d[order], i[order]
+            base, y = _vectors(batch, x.shape[1])
+            if metric == "cosine":  # a zero vector has no direction
+                some = (y * y).sum(1) > 0
+                base, y = base[some], y[some]
+            for at in range(0, len(base), TILE):
+                part, rows = base[at : at + TILE], y[at : at + TILE]
+                for first in range(0, len(ids), TILE):
+                    rough = _distances(x[first : first + TILE], rows, metric)
+                    k_ = min(k, len(part)) - 1
+                    kth = np.partition(rough, k_, axis=1)[:, k_]
+                    for q in range(len(rough)):
+                        near = np.flatnonzero(rough[q] <= kth[q] + 1e-6)
+                        own = x[first + q]
+                        d = np.concatenate((best[first + q][0], _exact(np.broadcast_to(own, rows[near].shape), rows[near], metric)))
+                        i = np.concatenate((best[first + q][1], part[near]))
+                        order = np.lexsort((i, d))[:k]
+                        best[first + q] = d[order], i[order]
         counts = [len(d) for d, _ in best]
         if sum(counts):
             yield pa.RecordBatch.from_arrays(
@@ -66,14 +90,17 @@ def top_k(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "l2") -
 
     Returns query_id, id, distance (squared L2, or 1 - cosine) and rank; ties go to the lower id.
     The base is scanned once for each block of QUERY_BLOCK queries, and a partition gives k rows for
-    each query at most. Null vectors and those of another dimension than the block's are left out.
+    each query at most. Null vectors and those of another dimension than the block's are left out,
+    and by cosine zero vectors too, which have no direction.
     """
     spark = base.sparkSession
-    queries = queries.where("embedding is not null").select(F.col("query_id").cast("long"), "embedding")
+    queries = queries.where("embedding is not null and query_id is not null").select(F.col("query_id").cast("long"), "embedding")
+    if metric == "cosine":
+        queries = queries.where(F.exists("embedding", lambda v: v != 0))
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK)
     found = spark.createDataFrame([], "query_id long, id long, distance double")
-    base = base.select(F.col("id").cast("long"), "embedding")
+    base = base.where("id is not null").select(F.col("id").cast("long"), "embedding")
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
         by_dim: dict[int, list] = {}
@@ -105,8 +132,7 @@ def match_keywords(keywords: DataFrame, index: DataFrame, limit: int = 10, prefi
     if prefix:
         index = index.where(F.startswith("path", F.lit(prefix)))
     paths = index.withColumn("flat", T.path_key(F.col("path")))
-    distinct = keys.select("key").distinct()
-    hits = paths.join(distinct, F.contains("flat", "key")).select("key", "url", "ord")
+    hits = containing(keys.select("key").distinct(), paths.select("flat", "url", "ord"), "key", "flat").drop("flat")
     scored = keys.join(hits, "key").groupBy("query_id", "url").agg(
         F.count(F.lit(1)).alias("score"), F.min(F.struct("kw_ord", "ord")).alias("first")
     )
@@ -114,6 +140,53 @@ def match_keywords(keywords: DataFrame, index: DataFrame, limit: int = 10, prefi
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "url", "score", "rank")
 
 
+def _find(shared, needle: str, kind: str):
+    def run(batches):
+        needles = shared.value
+        tree = ahocorasick.Automaton()
+        for i, x in enumerate(needles):
+            tree.add_word(x, i)
+        tree.make_automaton()
+        for batch in batches:
+            at = batch.schema.get_field_index(kind)
+            row, found = [], []
+            for k, text in enumerate(batch.column(at).to_pylist()):
+                for i in {i for _, i in tree.iter(text)} if text else ():
+                    row.append(k)
+                    found.append(needles[i])
+            take = pa.array(row, pa.int64())
+            columns = [c.take(take) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *columns], names=[needle, *batch.schema.names])
+
+    return run
+
+
+def containing(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
+    """Rows of ``texts`` with each of the distinct ``needles`` that its column ``text`` contains.
+
+    The strings of up to NEEDLE_BYTES go to every task as one automaton, which finds all of them in
+    one scan of the texts; more strings are found in further scans. Empty and null strings match nothing.
+    """
+    spark = texts.sparkSession
+    wanted = needles.where(F.length(needle) > 0).select(needle).distinct()
+    size = wanted.agg(F.sum(F.octet_length(needle))).first()[0] or 0
+    blocks = max(1, -(-size // NEEDLE_BYTES))
+    schema = StructType([StructField(needle, StringType()), *texts.schema.fields])
+    out = None
+    for b in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64(needle), F.lit(blocks)) == b).toArrow()[needle].to_pylist()
+        found = texts.mapInArrow(_find(spark.sparkContext.broadcast(sorted(part)), needle, text), schema) if part else None
+        out = found if out is None else out.union(found) if found is not None else out
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (item_id, doc_id) of ``items`` (item_id, text) that stand word for word in ``docs`` (doc_id, text)."""
+    named = items.select("item_id", F.col("text").alias("item"))
+    found = containing(named.select("item"), docs.select("doc_id", "text"), "item", "text").select("item", "doc_id")
+    return found.join(named, "item").select("item_id", "doc_id")
+
+
 def with_pages(matched: DataFrame, pages: DataFrame, max_pages: int, source_type: str, min_content: int = 50, snippet: int = 300) -> DataFrame:
     """Search results from matched urls that are cached; pages too short leave a gap that isn't filled."""
     wanted = matched.where(F.col("rank") <= max_pages)
@@ -180,5 +253,6 @@ def context(hits: DataFrame, chars: int | None = None) -> DataFrame:
 
 
 def hit_source(metadata: Column) -> Column:
-    """Where a chunk comes from: its url if the key is there, else its source, else 'unknown'."""
-    return F.coalesce(F.element_at(metadata, "url"), F.element_at(metadata, "source"), F.lit("unknown"))
+    """Where a chunk comes from: its url if that is a web address, else its source, else 'unknown'."""
+    url = F.element_at(metadata, "url")
+    return F.coalesce(F.when(F.startswith(url, F.lit("http")), url), F.element_at(metadata, "source"), F.lit("unknown"))

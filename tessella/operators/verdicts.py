@@ -108,14 +108,44 @@ def top_mismatches(verdicts: DataFrame, *keys: str, order: str = "requirement_id
     return few.groupBy(*keys).agg(F.array_join(lines, "\n").alias("top_mismatches"))
 
 
-def merge_answers(requirements: DataFrame, answers: DataFrame) -> DataFrame:
+def of_verdict(verdicts: DataFrame, verdict: str) -> DataFrame:
+    """The verdicts of one kind, which make a section or a sheet of the report."""
+    return verdicts.where(F.col("verdict") == verdict)
+
+
+def in_categories(requirements: DataFrame, chosen: list[str]) -> DataFrame:
+    """Requirements of the chosen categories; an empty choice takes all."""
+    return requirements.where(F.col("category").isin(*chosen)) if chosen else requirements
+
+
+def categories(requirements: DataFrame, *keys: str) -> DataFrame:
+    """The distinct categories of each ``keys``, sorted."""
+    return requirements.groupBy(*keys).agg(F.array_sort(F.collect_set("category")).alias("categories"))
+
+
+def percent_done(done: Column, total: Column) -> Column:
+    """Whole percent of work done; nothing to do is all done."""
+    return F.when(total > 0, F.floor(done * 100 / total)).otherwise(100).cast("int")
+
+
+def last_of(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row of each ``keys``: the last in ``order``, without one that with the greatest other columns."""
+    others = [c for c in rows.columns if c not in keys]
+    rank = F.struct(order, *others) if order else F.struct(*others)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
+def merge_answers(requirements: DataFrame, answers: DataFrame, order: str | None = None) -> DataFrame:
     """Full outer join of requirements and a model's items on (document_name, id).
 
+    Of requirements with one id the last counts (``order`` names the column that says which).
+
     Items without a requirement stay with blank text and category 'other', repeated items stay,
     items without an id go (they are parse failures). Requirements without an item get a default
     verdict of confidence 0.
     """
-    r = requirements.withColumnRenamed("id", "requirement_id").withColumn("_r", F.lit(True))
+    r = last_of(requirements, ["document_name", "id"], order).withColumnRenamed("id", "requirement_id")
     a = answers.where("requirement_id is not null").withColumn("_a", F.lit(True))
     both = r.join(a, ["document_name", "requirement_id"], "full_outer")
     answered = F.col("_a").isNotNull()

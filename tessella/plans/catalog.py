@@ -7,21 +7,24 @@ source gives the document and the category.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import CATEGORIES
+from ..config import CATEGORIES, VERDICTS
 from ..functions import model_json as J
 from ..functions import text as T
 from ..functions.chunk import chunks
 from ..operators import relational as X
+from ..operators import requirements as R
 from ..operators import search as S
 from ..operators import verdicts as V
 from ..sources import pages as P
 from ..streaming import ingest
+from .kb import status_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,15 +49,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _knn(spark: SparkSession, sf_dir: str, metric: str, k: int = 5) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = S.top_k(asked, vectors.select(F.col("vec_id").alias("id"), "embedding"), k, metric)
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    base = vectors.select(F.col("vec_id").alias("id"), "embedding")
+    if metric == "cosine":  # rows without a direction are never near
+        zero = F.transform("embedding", lambda x: x * 0)
+        base = base.union(vectors.select(-F.col("vec_id") - 1, zero))
+    found = S.top_k(asked, base, k, metric)
     return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
 _KNN = """
 WITH d AS (
   SELECT q.vec_id AS query_id, b.vec_id AS id, {distance} AS distance
-  FROM embeddings q, embeddings b WHERE q.vec_id < 20
+  FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0
 ),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::int AS rank FROM d)
 SELECT query_id, id, round(distance, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 5
@@ -67,7 +74,7 @@ _COS = "1 - {0} / sqrt({1} * {2})".format(*(_DOT.format(_D.format(a), _D.format(
 
 @query(_KNN.format(distance=_L2))
 def kb_topk_l2(spark, sf_dir):
-    """Nearest vectors of the first twenty (the query set is the feature: a search has few queries)."""
+    """Nearest vectors of every row whose id is divisible by 100, against all rows."""
     return _knn(spark, sf_dir, "l2")
 
 
@@ -76,16 +83,15 @@ def kb_topk_cosine(spark, sf_dir):
     return _knn(spark, sf_dir, "cosine").withColumn("distance", F.col("distance") + 0.0)
 
 
-@query("SELECT count(*) AS vectors, count(DISTINCT label) AS labels, count(*) > 0 AS ready FROM embeddings")
+@query("SELECT count(*) AS vectors, count(DISTINCT label) AS documents, count(*) > 0 AS ready FROM embeddings")
 def kb_status(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    return v.agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("label").alias("labels")).withColumn("ready", F.col("vectors") > 0)
+    return status_of(table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_key")))
 
 
 @query(f"""
 WITH d AS (
   SELECT q.vec_id AS query_id, b.vec_id AS id, b.label, {_L2} AS distance
-  FROM embeddings q, embeddings b WHERE q.vec_id < 20
+  FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0
 ),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d),
 v AS (SELECT query_id, label, count(*) AS votes FROM r WHERE rank <= 5 GROUP BY ALL),
@@ -145,7 +151,8 @@ def page_cache_key(spark, sf_dir):
 
 @query("SELECT page_id, length(html) AS n FROM pages WHERE length(html) >= 2000")
 def page_min_content(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.length("html") >= 2000).select("page_id", F.length("html").cast("long").alias("n"))
+    whole = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"))
+    return P.long_enough(whole, 2000).select("page_id", F.length("content").cast("long").alias("n"))
 
 
 @query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://t') OR starts_with(url, 'http://e')")
@@ -154,13 +161,15 @@ def page_scope_filter(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT lower(regexp_replace(url, '[0-9]+', '', 'g')) AS path, url, page_id AS ord FROM pages)
+WITH u AS (SELECT url, page_id AS ord FROM pages UNION ALL SELECT replace(url, 'e', 'E'), page_id + 1000000000 FROM pages),
+p AS (SELECT lower(replace(url, 'https://', '')) AS path, url, ord FROM u)
 SELECT path, max_by(url, ord) AS url, min(ord) AS ord FROM p GROUP BY path
 """)
 def url_index_last_wins(spark, sf_dir):
+    """Every url comes again later, spelt otherwise."""
     urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), "url")
-    keyed = urls.withColumn("path", F.lower(F.regexp_replace("url", "[0-9]+", "")))
-    return keyed.groupBy("path").agg(F.max_by("url", "ord").alias("url"), F.min("ord").alias("ord"))
+    again = urls.select((F.col("ord") + 1_000_000_000).alias("ord"), F.replace("url", F.lit("e"), F.lit("E")).alias("url"))
+    return S.url_index(urls.union(again), "https://")
 
 
 @query()
@@ -195,14 +204,13 @@ scored AS (SELECT query_id, url, count(*) AS score, min({'a': kw_ord, 'b': ord})
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, url)::int AS rank FROM scored)
 SELECT query_id, url, score, rank FROM ranked WHERE rank <= 10
 """)
-def keyword_url_match(spark, sf_dir):
+def keyword_url_match(spark, sf_dir, prefix=None):
     """Keywords are the first four letters of words of the items, so that some occur in urls."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([а-яёa-z]{4,})"), F.lit(1))
     few = F.slice(F.transform(words, lambda w: F.substring(w, 1, 4)), 1, 5)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(few).alias("kw_ord", "keyword"))
     urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), "url")
-    index = urls.withColumn("path", F.lower(F.replace("url", F.lit("https://"), F.lit(""))))
-    return S.match_keywords(asked, index, 10)
+    return S.match_keywords(asked, S.url_index(urls, "https://"), 10, prefix)
 
 
 # Texts
@@ -261,15 +269,10 @@ def doc_nonblank(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count_if(T.not_blank(F.col("text"))).alias("filled"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-WITH r AS (SELECT source, md5(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM r)
-SELECT source, digest, doc_id, n::int AS rank FROM n
-""")
+@query("SELECT source, md5(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
 def doc_first_seen_dedup(spark, sf_dir):
-    """First of each text in its source: one hash aggregation, then ranks."""
-    firsts = table(spark, sf_dir, "documents").groupBy("source", F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"))
-    return firsts.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("doc_id")))
+    texts = table(spark, sf_dir, "documents").select("source", F.md5("text").alias("digest"), "doc_id")
+    return S.first_seen(texts, ["source", "digest"], ["doc_id"])
 
 
 @query("""
@@ -281,13 +284,14 @@ SELECT source, count(*) AS n, count(DISTINCT doc_id) AS ids FROM (
 def doc_source_union(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     parts = [d.where("lang = 'en'"), d.where("lang <> 'en'"), d.where("n_chars < 500")]
-    both = parts[0].select("source", "doc_id").unionByName(parts[1].select("source", "doc_id")).unionByName(parts[2].select("source", "doc_id"))
+    both = P.union_of_sitemaps(*[x.select(F.col("doc_id").alias("ord"), F.col("source").alias("url")) for x in parts])
+    both = both.select(F.col("url").alias("source"), F.col("ord").alias("doc_id"))
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 60), '[^\\p{L}\\p{N}._-]', '_', 'g') AS name FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(text, '[^\\p{L}\\p{N}._-]', '_', 'g')) AS name FROM documents")
 def doc_safe_filename(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.safe_name(F.substring("text", 1, 60)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.safe_name(F.col("text"))).alias("name"))
 
 
 @query("SELECT doc_id, substr(text, 1, 300) AS snippet, length(text)::int AS n FROM documents")
@@ -307,7 +311,7 @@ def doc_table_markdown(spark, sf_dir):
 
 _VERDICTS = """
 v AS (
-  SELECT d.source AS document_name, d.doc_id AS requirement_id, 'p' || (d.doc_id % 13)::varchar AS section, substr(d.text, 1, 400) AS requirement_text,
+  SELECT d.source AS document_name, d.doc_id AS requirement_id, 'p' || (d.doc_id % 13)::varchar AS section, d.text AS requirement_text,
     ['technical', 'sla', 'legal', 'commercial', 'security', 'other'][(d.doc_id % 6)::int + 1] AS category,
     CASE WHEN quality = 1 AND toxic = 0 THEN 'match' WHEN quality = 1 THEN 'partial' WHEN toxic = 1 THEN 'mismatch' ELSE 'needs_clarification' END AS verdict,
     (d.n_chars % 101)::double / 100 AS confidence, d.lang AS reasoning
@@ -324,7 +328,7 @@ def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("document_name"),
         F.col("doc_id").alias("requirement_id"),
         F.concat(F.lit("p"), (F.col("doc_id") % 13).cast("string")).alias("section"),
-        F.substring("text", 1, 400).alias("requirement_text"),
+        F.col("text").alias("requirement_text"),
         F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("doc_id") % 6 + 1).cast("int")).alias("category"),
         verdict.alias("verdict"),
         ((F.col("n_chars") % 101).cast("double") / 100).alias("confidence"),
@@ -403,21 +407,22 @@ def verdict_top_mismatches(spark, sf_dir):
 
 
 _REQS = """
-r AS (SELECT source AS document_name, doc_id::int AS id, lang AS section, substr(text, 1, 200) AS text, 'sla' AS category FROM documents WHERE doc_id % 7 <> 0),
-a AS (SELECT 'src' || (doc_id % 20)::varchar AS document_name, doc_id::int AS requirement_id,
+r AS (SELECT source AS document_name, doc_id::int AS id, lang AS section, text, 'sla' AS category FROM documents),
+a AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE 'src' || (doc_id % 20)::varchar END AS document_name, doc_id::int AS requirement_id,
   CASE WHEN quality = 1 THEN 'match' ELSE 'mismatch' END AS verdict, toxic::double AS confidence FROM labels)
 """
 
 
 def _reqs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0")
-    return d.select(F.col("source").alias("document_name"), F.col("doc_id").cast("int").alias("id"), F.col("lang").alias("section"), F.substring("text", 1, 200).alias("text"), F.lit("sla").alias("category"))
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("document_name"), F.col("doc_id").cast("int").alias("id"), F.col("lang").alias("section"), "text", F.lit("sla").alias("category"))
 
 
 def _answers(spark, sf_dir):
     none = F.lit(None).cast("string")
     return table(spark, sf_dir, "labels").select(
-        F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("document_name"), F.col("doc_id").cast("int").alias("requirement_id"),
+        F.when(F.col("doc_id") % 7 == 0, "unknown").otherwise(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"))).alias("document_name"),
+        F.col("doc_id").cast("int").alias("requirement_id"),
         F.when(F.col("quality") == 1, "match").otherwise("mismatch").alias("verdict"), F.col("toxic").cast("double").alias("confidence"),
         none.alias("reasoning"), none.alias("evidence"), none.alias("recommendation"), F.array().cast("array<string>").alias("source_urls"),
     )
@@ -446,7 +451,7 @@ _CASE = lambda c, m: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v i
 
 @query(f"""
 WITH {_VERDICTS}
-SELECT document_name, requirement_id AS id, section, trim(requirement_text) AS text, {_CASE("category", V.CATEGORY_LABELS)} AS category,
+SELECT document_name, requirement_id AS id, section, regexp_replace(substr(regexp_replace(requirement_text, '^\\s+|\\s+$', '', 'g'), 1, 1000), '^\\s+|\\s+$', '', 'g') AS text, {_CASE("category", V.CATEGORY_LABELS)} AS category,
   {_CASE("verdict", V.VERDICT_LABELS)} AS verdict, CASE verdict WHEN 'match' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END AS points,
   round_even(confidence * 100, 0)::int::varchar || '%' AS confidence FROM v
 """)
@@ -457,7 +462,9 @@ def verdict_excel_rows(spark, sf_dir):
 
 @query(f"WITH {_VERDICTS} SELECT verdict, count(*) AS n, count(DISTINCT document_name) AS documents FROM v GROUP BY verdict")
 def verdict_sheet_counts(spark, sf_dir):
-    return verdict_rows(spark, sf_dir).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_name").alias("documents"))
+    rows = verdict_rows(spark, sf_dir)
+    sheets = [V.of_verdict(rows, v).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_name").alias("documents")) for v in VERDICTS]
+    return functools.reduce(DataFrame.union, sheets)
 
 
 @query("""
@@ -485,8 +492,11 @@ SELECT document_name, doc_id, row_number() OVER (PARTITION BY document_name ORDE
 """)
 def requirement_ids(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
-    ident = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return d.select(F.col("source").alias("document_name"), "doc_id", ident.alias("id"))
+    records = d.select(
+        F.col("source").alias("document_name"), F.lit(0).alias("chunk"), F.col("doc_id").alias("item"), F.col("doc_id").alias("section"),
+        F.lit("").alias("text"), F.lit("").alias("category"), F.lit("").alias("tables"),
+    )
+    return R.numbered(records).select("document_name", F.col("section").alias("doc_id"), "id")
 
 
 @query("""
@@ -509,26 +519,14 @@ def requirement_category_validate(spark, sf_dir):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def requirement_evidence(spark, sf_dir):
-    """Items contained in texts. Candidates come by an equi-join on the items' rarest-looking word, its longest, so
-    only pairs that share it are compared."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    inner = F.slice(F.split("item", r"\s+"), F.lit(2), F.greatest(F.size(F.split("item", r"\s+")) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = items.withColumn("key", longest)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))
-    pairs = words.join(F.broadcast(keyed) if keyed.count() <= 100_000 else keyed, "key").select("doc_id", "item_id", "item")
-    short = items.join(keyed.where("key is null").select("item_id"), "item_id").select("item_id", "item")
-    found = docs.join(pairs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
-    few = docs.join(short, F.contains("text", "item")).select("item_id", "doc_id")
-    return found.union(few)
+    """Items contained in texts, found in one scan of the texts."""
+    return S.contained(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 _TIERS = """
 d AS (SELECT item_id AS query_id, doc_id, text, source FROM benchmark b JOIN (SELECT doc_id, text AS t, source FROM documents) d ON contains(d.t, b.text)),
 t AS (
-  SELECT query_id, 0 AS tier, doc_id AS ref FROM d WHERE doc_id % 3 = 0 UNION ALL
-  SELECT query_id, 1, doc_id FROM d WHERE doc_id % 3 = 1 UNION ALL
+  SELECT query_id, (doc_id % 2)::int AS tier, doc_id AS ref FROM d UNION ALL
   SELECT item_id, 2, item_id FROM benchmark
 ),
 low AS (SELECT query_id, min(tier) AS tier FROM t GROUP BY query_id)
@@ -539,8 +537,7 @@ def _tiers(spark, sf_dir):
     hits = requirement_evidence(spark, sf_dir).withColumnRenamed("item_id", "query_id")
     items = table(spark, sf_dir, "benchmark")
     return (
-        hits.where("doc_id % 3 = 0").select("query_id", F.lit(0).alias("tier"), F.col("doc_id").alias("ref"))
-        .union(hits.where("doc_id % 3 = 1").select("query_id", F.lit(1), "doc_id"))
+        hits.select("query_id", (F.col("doc_id") % 2).cast("int").alias("tier"), F.col("doc_id").alias("ref"))
         .union(items.select("item_id", F.lit(2), "item_id"))
     )
 
@@ -569,14 +566,23 @@ def search_context_block(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, count(*)::int AS n, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS digest
-FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id
+WITH c AS (
+  SELECT conv_id, coalesce(min(text) FILTER (role = 'system'), '') AS s, string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'user') AS u
+  FROM conversations GROUP BY conv_id
+)
+SELECT conv_id, CASE WHEN s <> '' THEN 2 ELSE 1 END AS n, md5(CASE WHEN s <> '' THEN 'system: ' || s || chr(10) ELSE '' END || 'user: ' || coalesce(u, '')) AS digest FROM c
 """)
 def chat_messages(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("text is not null and role is not null")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    lines = F.transform(ordered, lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
-    return c.groupBy("conv_id").agg(ordered.alias("m"), F.md5(F.array_join(lines, "\n")).alias("digest")).select("conv_id", F.size("m").alias("n"), "digest")
+    """The first system text and all that the user said, as messages for a model."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text"))))
+    both = c.groupBy("conv_id").agg(
+        F.coalesce(F.min(F.when(F.col("role") == "system", F.col("text"))), F.lit("")).alias("system"),
+        F.array_join(F.transform(said, lambda m: m["text"]), "\n").alias("user"),
+    )
+    m = both.select("conv_id", T.messages(F.col("system"), F.col("user")).alias("m"))
+    lines = F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["content"]))
+    return m.select("conv_id", F.size("m").alias("n"), F.md5(F.array_join(lines, "\n")).alias("digest"))
 
 
 @query("""

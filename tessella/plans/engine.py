@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,14 @@ class Engine:
         return {"status": "ok", "model": self.config.embedding_model, **self.kb.status().first().asDict()}
 
     def ingest_pages(self, crawled: DataFrame, source: str = "docs") -> dict:
-        self.kb.add(pages.to_documents(crawled, source))
-        return {"crawled": crawled.count(), **self.kb.status().first().asDict()}
+        """Indexes crawled pages. They are held while this runs, as a fetch is not to be repeated for the counts."""
+        crawled = crawled.persist(StorageLevel.DISK_ONLY)
+        try:
+            documents = pages.to_documents(crawled, source)
+            self.kb.add(documents)
+            return {"crawled": crawled.count(), "indexed": documents.count(), **self.kb.status().first().asDict()}
+        finally:
+            crawled.unpersist()
 
     def ingest_files(self, path: str) -> DataFrame:
         """Indexes the files of a folder; returns their summary."""

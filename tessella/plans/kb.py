@@ -20,6 +20,12 @@ def chunked(documents: DataFrame, config: EngineConfig) -> DataFrame:
     return parts.select(ident.alias("chunk_id"), "doc_key", "pos", "text", "metadata")
 
 
+def status_of(chunks_: DataFrame) -> DataFrame:
+    """Vectors and documents of a chunk table, and whether it can be searched."""
+    counted = chunks_.agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("doc_key").alias("documents"))
+    return counted.withColumn("ready", F.col("vectors") > 0)
+
+
 class KnowledgeBase:
     """A folder of chunks, stamped with the embedding model; appends are idempotent by chunk id."""
 
@@ -53,9 +59,7 @@ class KnowledgeBase:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def status(self) -> DataFrame:
-        return self.chunks().agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("doc_key").alias("documents")).select(
-            "*", (F.col("vectors") > 0).alias("ready")
-        )
+        return status_of(self.chunks())
 
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """The k nearest chunks of ``queries`` (query_id, text): rank, distance, content, metadata, source, title."""

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,19 @@ def group_of(word: bytes) -> int:
     return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) % GROUPS
 
 
+def groups_of(words: list[bytes]) -> np.ndarray:
+    """``group_of`` each word, from the bytes of all of them."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    return (raw[ends - 1] * 31 + np.where(sizes > 1, raw[ends - 2], 0)) % GROUPS
+
+
+def _looked_up(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
+    """The index of each word, -1 where it has none."""
+    return np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+
 def _count_words(batches):
     """Word counts, given out whenever the table gets large."""
 
@@ -74,12 +87,11 @@ class Types:
 
 def _ids(words: list[bytes], index: dict[bytes, int], types: np.ndarray, own: int):
     """Index in the table of frequent words (-1: not there), and type, of each word."""
-    get = index.get
-    ids = np.fromiter([get(w, -1) for w in words], dtype=np.int64, count=len(words))
+    ids = _looked_up(words, index)
     kinds = types[ids] if len(types) else np.zeros(len(ids), np.int64)
     rare = np.flatnonzero(ids < 0)
     if len(rare):
-        kinds[rare] = [own + group_of(words[i]) for i in rare]
+        kinds[rare] = own + groups_of([words[i] for i in rare.tolist()])
     return ids, kinds, rare
 
 
@@ -89,13 +101,17 @@ def _count_bigrams(shared, own: int):
         index = {w: i for i, w in enumerate(words)}
         size, end = own + GROUPS + 1, own + GROUPS
         total = np.zeros(size * size, dtype=np.int64)
+        parts, held = [], 0
         for batch in C.slices(batches):
             for text in C.texts_as_bytes(batch.column(0)):
-                tokens = C.words_of(text)
-                kinds = _ids(tokens, index, types, own)[1]
-                path = np.concatenate(([end], kinds, [end]))
-                code, n = np.unique(path[:-1] * size + path[1:], return_counts=True)
-                total[code] += n
+                path = np.concatenate(([end], _ids(C.words_of(text), index, types, own)[1], [end]))
+                parts.append(path[:-1] * size + path[1:])
+                held += len(path)
+                if held > 1_000_000:
+                    total += np.bincount(np.concatenate(parts), minlength=len(total))
+                    parts, held = [], 0
+        if parts:
+            total += np.bincount(np.concatenate(parts), minlength=len(total))
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "c"])
 
@@ -115,23 +131,28 @@ def _count_contexts(shared, own: int, of: np.ndarray):
         parts: list[np.ndarray] = []
 
         def out():
+            # Frequent words go by their index, the others after them by their place in ``local``.
             code, n = np.unique(np.concatenate(parts), return_counts=True)
             word = code // (2 * k)
             packed = (code % (2 * k) << 32) + n
-            offsets = np.searchsorted(word, np.arange(len(local) + 1)).astype(np.int32) * 8
-            contexts = pa.BinaryArray.from_buffers(pa.binary(), len(local), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(packed)])
-            return pa.RecordBatch.from_arrays([pa.array(list(local), pa.binary()), contexts], names=["word", "contexts"])
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            offsets = (np.append(first, len(word)) * 8).astype(np.int32)
+            contexts = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+            others = list(local)
+            names = [words[i] if i < len(words) else others[i - len(words)] for i in word[first].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), contexts], names=["word", "contexts"])
 
         held = 0
         for batch in C.slices(batches):
             for text in C.texts_as_bytes(batch.column(0)):
                 tokens = C.words_of(text)
-                ids, kinds, _ = _ids(tokens, index, types, own)
+                ids, kinds, rare = _ids(tokens, index, types, own)
                 at = np.flatnonzero((ids < 0) | (ids >= own))
                 if not len(at):
                     continue
+                ids[rare] = [len(words) + local.setdefault(tokens[i], len(local)) for i in rare.tolist()]
                 path = of[np.concatenate(([end], kinds, [end]))]
-                base = np.array([local.setdefault(tokens[i], len(local)) for i in at], dtype=np.int64) * (2 * k)
+                base = ids[at] * (2 * k)
                 parts += [base + path[at], base + k + path[at + 2]]
                 held += 2 * len(at)
                 if len(local) > WINDOW_WORDS or held > WINDOW_CONTEXTS:
@@ -297,13 +318,13 @@ def _encode(shared, k: int, end_log: float, known_end: int):
             columns: list[list] = [[], [], [], [], []]
             for text in C.texts_as_bytes(batch.column(1)):
                 tokens = C.words_of(text)
-                ids = np.fromiter([index.get(w, -1) for w in tokens], dtype=np.int64, count=len(tokens))
+                ids = _looked_up(tokens, index)
                 rare = np.flatnonzero(ids < 0)
                 columns[0].append(len(tokens) + 1)
                 columns[1].append(len(tokens) - len(rare) + known_end)
                 columns[2].append(logs[ids[ids >= 0]].sum() + end_log)
                 columns[3].append(kinds[ids].tobytes())
-                columns[4].append([tokens[i] for i in rare])
+                columns[4].append([tokens[i] for i in rare.tolist()])
             types = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))],
@@ -324,7 +345,7 @@ def _fill(k: int, fallback: np.ndarray):
             for n, log, path, rare, found in zip(*rows, strict=True):
                 if rare:
                     path = np.frombuffer(path, kind).copy()
-                    mine = fallback[[group_of(w) for w in rare]]
+                    mine = fallback[groups_of(rare)]
                     for x in found or ():
                         mine[x["at"]] = x["class"]
                     path[path == k] = mine

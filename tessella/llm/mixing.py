@@ -22,18 +22,25 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
 
 
-def poisson_cdf(mean: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... of a Poisson distribution, as far as a double can tell from 1."""
+def poisson_count(mean: Column, u: Column) -> Column:
+    """The Poisson distribution with this mean, inverted at u: how many of P(X <= 0), P(X <= 1), ... are at most u.
+
+    The terms go as far as a double can tell from 1. One fold, without arrays of them: documents of a
+    source with n rows take rate x n steps together, which is the number of copies that they make.
+    """
     terms = F.sequence(F.lit(0), (mean + 12 * F.sqrt(mean) + 30).cast("int"))
-    log_p = lambda log_prev, k: F.when(k == 0, -mean).otherwise(log_prev + F.ln(mean) - F.ln(k))
-    start = F.struct(F.lit(0.0).alias("log_p"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
+    # What all steps share stands in the accumulator, so that it is evaluated once for a document.
+    start = F.struct(
+        F.lit(0.0).alias("log_p"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), u.alias("u"), F.ln(mean).alias("log_mean")
+    )
 
     def step(acc, k):
-        now = log_p(acc["log_p"], k.cast("double"))
+        now = F.when(k == 0, -mean).otherwise(acc["log_p"] + acc["log_mean"] - F.ln(k.cast("double")))
         total = acc["sum"] + F.exp(now)
-        return F.struct(now.alias("log_p"), total.alias("sum"), F.array_append(acc["all"], total).alias("all"))
+        n = acc["n"] + F.when(total <= acc["u"], 1).otherwise(0)
+        return F.struct(now.alias("log_p"), total.alias("sum"), n.alias("n"), acc["u"].alias("u"), acc["log_mean"].alias("log_mean"))
 
-    return F.when(mean > 0, F.aggregate(terms, start, step, lambda acc: acc["all"])).otherwise(F.array(F.lit(1.0)))
+    return F.when(mean > 0, F.aggregate(terms, start, step, lambda acc: acc["n"])).otherwise(F.lit(0))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -71,8 +78,7 @@ def mix_sources(
     ``broadcast_rows`` sources; beyond, rates are joined over 64 salts of each source. An empty
     table gives no rows.
     """
-    found = rates(docs, weights).withColumn("__cdf", poisson_cdf(F.col("rate")))
-    found = found.select(F.col("source").alias("__source"), "__cdf")
+    found = rates(docs, weights).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
@@ -86,8 +92,7 @@ def mix_sources(
         salted = found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(63))))
         joined = marked.join(salted, F.expr("__key = __source and __salt = __part"))
     u = uniform(F.lit(str(seed)), F.col("__id"))
-    count = F.aggregate("__cdf", F.lit(0), lambda n, c: n + F.when(c <= u, 1).otherwise(0))
-    copies = joined.withColumn("__n", count).where("__n > 0")
+    copies = joined.withColumn("__n", poisson_count(F.col("__rate"), u)).where("__n > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     copies = copies.withColumn("order_key", uniform(F.lit(str(seed)), F.col("__id"), F.col("copy").cast("string")))
     own = [F.col(f"__row.`{c}`") for c in docs.columns if c.lower() not in ("copy", "order_key")]

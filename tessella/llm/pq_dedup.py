@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 PARTS, CODES = 8, 64
+#: Rows whose distances to all centres are held at once.
+ROWS = 1024
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -32,8 +34,15 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k nearest centres, nearest first; ties go to the lower index."""
-    d = (centres * centres).sum(axis=1) - 2 * x @ centres.T
-    return np.argsort(d, axis=1, kind="stable")[:, :k]
+    norms = (centres * centres).sum(axis=1)
+    out = np.empty((len(x), min(k, len(centres))), dtype=np.int64)
+    for at in range(0, len(x), ROWS):  # a block of the distance matrix at a time
+        d = norms - 2 * x[at : at + ROWS] @ centres.T
+        if k == 1:
+            out[at : at + ROWS, 0] = d.argmin(axis=1)
+        else:
+            out[at : at + ROWS] = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return out
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:

@@ -280,9 +280,24 @@ def test_mix_weights(spark):
 
 
 def test_mix_large_mean(spark):
-    cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(2000.0)).alias("c")).first().c
-    assert abs(cdf[2000] - 0.5059) < 1e-3 and abs(cdf[-1] - 1) < 1e-9
-    assert spark.range(1).select(mixing.poisson_cdf(F.lit(0.0)).alias("c")).first().c == [1.0]
+    count = lambda mean, u: spark.range(1).select(mixing.poisson_count(F.lit(mean), F.lit(u)).alias("c")).first().c
+    assert count(0.0, 0.99) == 0 and count(3.0, 0.0) == 0
+    for mean in (0.7, 3.0, 2000.0, 60_000.0):
+        low, total, log_p, k = {}, 0.0, -mean, 0
+        for u in (0.001, 0.5, 0.999):
+            while total + math.exp(log_p) <= u:
+                total += math.exp(log_p)
+                k += 1
+                log_p += math.log(mean) - math.log(k)
+            low[u] = k
+        assert [count(mean, u) for u in low] == list(low.values())
+
+
+def test_mix_rare_source(spark):
+    """A source of a few rows whose rate is in the thousands."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4, "rare").otherwise("rest").alias("source"))
+    mixed = mixing.mix_sources(docs).groupBy("source", "doc_id").count().where("source = 'rare'").collect()
+    assert len(mixed) == 4 and all(abs(r["count"] - 2500) < 250 for r in mixed)
 
 
 def test_mix_odd(odd, docs):
@@ -473,6 +488,21 @@ def test_lm_is_a_distribution():
             assert likelihood(moved) <= best + 1e-6
 
 
+def test_lm_sums_to_one(spark, docs):
+    """Transitions from each class, and emissions of a class's words and one unseen word, sum to one."""
+    grid = np.random.default_rng(2).poisson(3.0, (9, 9)).astype(float)
+    assert np.allclose((10 ** class_lm.smoothed(grid)).sum(axis=1), 1)
+    rows = docs(*[(i, f"a{i % 7} b{i % 5} c{i % 3} a{i % 2}") for i in range(60)])
+    train = rows.where(common.held_out_remainder(7) != 2)
+    words = train.select(F.explode(F.split("text", " ")).alias("w")).groupBy(F.col("w").cast("binary").alias("word")).agg(F.count(F.lit(1)).alias("c"))
+    model = class_lm.cluster(train.select("text"), words, 6, 12, 4, common.scratch(spark))
+    known = {r.word: (r.c, r["class"]) for r in model.lexicon.collect()}
+    assert {bytes(r.word): r.c for r in words.collect()} == {bytes(w): c for w, (c, _) in known.items()}
+    for k in {x[1] for x in known.values()}:
+        own = [c + 1 for c, of in known.values() if of == k]
+        assert abs(sum(c / (sum(own) + 1) for c in own) + 1 / (sum(own) + 1) - 1) < 1e-12
+
+
 def test_lm_classes_of_all_words(spark, docs):
     """Words outside the types get the classes of words used alike, whatever their last bytes; held by workers or not."""
     rng = random.Random(12)
@@ -581,6 +611,34 @@ def test_leaks_own_text():
 # 10
 
 
+def test_nearest_in_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, centres = rng.normal(size=(50, 5)), rng.normal(size=(20, 5))
+    want = np.argsort(((x[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
+    monkeypatch.setattr(pq_dedup, "ROWS", 7)
+    for k in (1, 4, 20):
+        assert (pq_dedup._nearest(x, centres, k) == want[:, :k]).all()
+
+
+def test_embeddings_recall_with_unprobed_lists(spark):
+    """Clustered vectors in some 300 lists, of which 24 are probed."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(150, 32))
+    rows = []
+    for i in range(6000):
+        base = centre[rng.integers(150)] + 0.45 * rng.normal(size=32) if i % 3 else None
+        v = rows[-1][1] + 0.2 * rng.normal(size=32) if base is None and rows else base if base is not None else rng.normal(size=32)
+        rows.append((i, np.asarray(v)))
+    m = np.array([v / np.linalg.norm(v) for _, v in rows])
+    want = {i: int(n) - 1 for i, n in enumerate((m @ m.T >= 0.93).sum(axis=1))}
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in pq_dedup.near_embeddings(frame, per_list=20).collect()}
+    assert sum(want.values()) > 2000 and all(got[i] <= want[i] for i in want)
+    recall = sum(got.values()) / sum(want.values())
+    print("recall", recall)
+    assert recall >= 0.97
+
+
 def near_vectors(n=1500, dim=24, seed=9):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n // 3, dim))

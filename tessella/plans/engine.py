@@ -40,7 +40,7 @@ class Engine:
 
     def ingest_files(self, path: str) -> DataFrame:
         """Indexes the files of a folder; returns their summary."""
-        parsed = files.read_files(self.spark, path)
+        parsed = files.read_files(self.spark, path, files.UPLOADS)
         self.kb.add(files.to_documents(parsed))
         return files.summary(parsed)
 

@@ -130,11 +130,15 @@ def parse_txt(data: bytes) -> tuple[str, list[dict]]:
 PARSERS = {".pdf": parse_pdf, ".docx": parse_docx, ".xlsx": parse_xlsx, ".txt": parse_txt}
 
 
+#: Readers of uploads: older office names go to the readers of the newer formats, anything else is text.
+UPLOADS = PARSERS | {".doc": parse_docx, ".xls": parse_xlsx, "": parse_txt}
+
+
 def parse(name: str, data: bytes, parsers: dict = PARSERS) -> dict:
-    """A parsed document; what can't be read has ``error`` and no text."""
+    """A parsed document; what can't be read has ``error`` and no text. A reader '' takes other suffixes."""
     suffix = posixpath.splitext(name)[1].lower()
     out = {"filename": name, "text": "", "tables": [], "metadata": {"source": name, "filename": name}, "error": None}
-    reader = parsers.get(suffix)
+    reader = parsers.get(suffix) or parsers.get("")
     if reader is None:
         return out | {"error": f"Unsupported file format: {suffix}"}
     try:
@@ -155,8 +159,8 @@ def parse_files(files: DataFrame, parsers: dict = PARSERS) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PARSED_DOCUMENT)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return parse_files(spark.read.format("binaryFile").load(path))
+def read_files(spark: SparkSession, path: str, parsers: dict = PARSERS) -> DataFrame:
+    return parse_files(spark.read.format("binaryFile").load(path), parsers)
 
 
 def read_directory(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".txt", ".md", ".html"), metadata: dict | None = None) -> DataFrame:

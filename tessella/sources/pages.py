@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -55,6 +58,38 @@ def sitemap_urls(sitemaps: DataFrame, root: str) -> DataFrame:
     return ordered.select(F.monotonically_increasing_id().alias("ord"), "url")
 
 
+def land_sitemaps(spark: SparkSession, root: str, fetcher: Fetcher, most: int = 10_000) -> DataFrame:
+    """Sitemaps (url, xml) from ``root`` on, nested ones too; those that can't be read are left out.
+
+    A site has few sitemaps (of 50,000 pages each by the protocol): the driver fetches them one by one.
+    """
+    todo, landed = [root], {}
+    while todo and len(landed) < most:
+        at = todo.pop(0)
+        if at in landed:
+            continue
+        try:
+            landed[at] = fetcher.fetch(at) or ""
+        except Exception:
+            landed[at] = ""
+        plain = re.sub(r"\sxmlns(:\w+)?=\"[^\"]*\"", "", re.sub(r"^\s*<\?xml[^>]*\?>", "", landed[at]))
+        landed[at] = plain.strip()
+        if "<sitemapindex" in plain:
+            todo += [html.unescape(x.strip()) for x in re.findall(r"<loc>(.*?)</loc>", plain, re.S)]
+    rows = [(k, v) for k, v in landed.items() if v]
+    return spark.createDataFrame(rows, "url string, xml string")
+
+
+def seed_urls(spark: SparkSession, sitemaps: list[str], fetcher: Fetcher, bases: list[str], fallback: str) -> DataFrame:
+    """Urls (ord, url) of the sitemaps in scope, each once in first order; the fallback if there are none."""
+    found = union_of_sitemaps(*[sitemap_urls(land_sitemaps(spark, s, fetcher), s) for s in sitemaps])
+    first = in_scope(found, *bases).groupBy("url").agg(F.min(F.struct("part", "ord")).alias("o"))
+    listed = first.select(F.row_number().over(W.orderBy("o")).cast("long").alias("ord"), "url")
+    if listed.isEmpty():
+        return spark.createDataFrame([(1, fallback)], "ord long, url string")
+    return listed
+
+
 def in_scope(urls: DataFrame, *bases: str) -> DataFrame:
     """Urls that start with one of the bases (a plain prefix, which reaches the Parquet reader)."""
     keep = F.lit(False)
@@ -114,11 +149,11 @@ def crawl(urls: DataFrame, cache: DataFrame, fetcher: Fetcher, max_pages: int =
             rows = []
             for ord_, url in zip(frame["ord"], frame["url"], strict=True):
                 try:
-                    html = fetcher.fetch(url)
+                    raw = fetcher.fetch(url)
                 except Exception:
-                    html = None
-                if html is not None:
-                    rows.append({"ord": ord_, "url": url, **page(html, parity)})
+                    raw = None
+                if raw is not None:
+                    rows.append({"ord": ord_, "url": url, **page(raw, parity)})
             yield pd.DataFrame(rows, columns=columns)
 
     kind = urls.schema["ord"].dataType.simpleString()

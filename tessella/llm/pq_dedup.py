@@ -222,11 +222,12 @@ def near_embeddings(
     ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    folder = C.scratch(spark)
+    kept = C.scratch(spark)
+    folder = f"{kept}/work"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label", F.xxhash64("label").alias("cell")).mapInArrow(
         _prepare, "vec_id long, cell long, key binary, dim int, vector binary"
     )
-    rows = C.keep(rows, f"{folder}/rows")
+    rows = C.keep(rows, f"{kept}/rows")
     classes = rows.where("key is not null").groupBy("cell", "key").agg(
         F.min("vec_id").alias("first"),
         F.min("dim").alias("dim"),
@@ -271,7 +272,8 @@ def near_embeddings(
     known = known.join(least_id, "component").select(
         "key", (F.coalesce("more", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id"
     )
-    known = C.keep(known, f"{folder}/known")
+    known = C.keep(known, f"{kept}/known")
+    C.drop(spark, folder)
     named = F.concat(rows["key"], F.substring(F.unhex(F.md5(rows["cell"].cast("string"))), 1, 8))
     out = rows.withColumn("_key", named).drop("key").join(known, F.col("_key") == F.col("key"), "left")
     out = out.select(

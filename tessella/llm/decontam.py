@@ -285,8 +285,12 @@ def remove_leaks(docs: DataFrame, items: DataFrame, least: float = 0.6, overlap:
     def clean_under(shared):
         @F.pandas_udf("boolean")
         def clean(text: pd.Series) -> pd.Series:
-            raw = [(x or "").encode("utf-8", "replace") for x in text]
-            return pd.Series([not hits for hits in shared.value.leaks(raw, overlap)], dtype=bool)
+            good = []
+            for at in range(0, len(text), 1000):
+                raw = [(x or "").encode("utf-8", "replace") for x in text.iloc[at : at + 1000]]
+                good += [not hits for hits in shared.value.leaks(raw, overlap)]
+            C.give_back()
+            return pd.Series(good, dtype=bool)
 
         return clean
 

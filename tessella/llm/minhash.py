@@ -94,6 +94,7 @@ def _scan(k: int):
                 [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), column],
                 names=["doc_id", "th", "key", "n_shingles", "bands"],
             )
+        C.give_back()
 
     return run
 
@@ -106,6 +107,7 @@ def _sets(k: int):
                 words = C.words_of(text)
                 out.append(C.shingles(C.word_hashes(words, len(words)), k).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "sh"])
+        C.give_back()
 
     return run
 

@@ -152,6 +152,7 @@ def scorer(ranking: Ranking):
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         x = np.array([features(t) for t in text]).reshape(len(text), len(NAMES))
+        C.give_back()
         return pd.Series(ranking.score(x))
 
     return score

@@ -146,7 +146,9 @@ def redact_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:
-        return pd.Series([redact(x, scope) for x in text], dtype=object)
+        out = pd.Series([redact(x, scope) for x in text], dtype=object)
+        C.give_back()
+        return out
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -98,6 +98,15 @@ class Index:
         return np.sqrt(np.maximum(total, 0))
 
 
+def _in_range(x: np.ndarray) -> np.ndarray:
+    """A finite vector other than zero, times a power of two where its squares would leave the range of doubles.
+
+    That changes no cosine.
+    """
+    top = np.abs(x).max()
+    return x if 1e-100 <= top <= 1e100 else np.ldexp(x, -np.frexp(top)[1])
+
+
 def _prepare(batches):
     """Key, double bytes and dimension of the vectors that can link."""
     for batch in C.slices(batches):
@@ -106,7 +115,7 @@ def _prepare(batches):
             x = None
             if label and v and None not in v:
                 x = np.asarray(v, dtype=np.float64)
-                x = x if np.isfinite(x).all() and np.isfinite(x @ x) and x @ x > 0 else None
+                x = _in_range(x) if np.isfinite(x).all() and x.any() else None
             data.append(None if x is None else x.tobytes())
             keys.append(None if x is None else xxhash.xxh3_128_digest(data[-1]))
             dims.append(0 if x is None else len(x))
@@ -215,7 +224,8 @@ def near_embeddings(
 
     Returns a row per vector: vec_id, n_links, component_id, kept. Vectors that are null, empty or
     zero, hold null or non-finite components or have no label link with nothing; vectors of
-    different dimension don't link. Equal vectors are links of each other, whatever their number.
+    different dimension don't link; finite components of any size count. Equal vectors are links of
+    each other, whatever their number, and so are repeated rows, which count as vectors of their own.
     Rows without vec_id are linked but name no component (null if all of it lacks ids). The index
     is fitted on at most ``sample`` vectors of each dimension, chosen by hash; every vector is
     indexed. There is a list for about ``per_list`` vectors, at most 4,096. Further columns are

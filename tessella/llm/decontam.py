@@ -280,7 +280,11 @@ def find_leaks(
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, least: float = 0.6, overlap: float = 0.8, shard_items: int = 5_000) -> DataFrame:
-    """The rows of ``docs`` that give no item away, columns unchanged."""
+    """The rows of ``docs`` that give no item away (see find_leaks), columns unchanged.
+
+    Rows with null or empty texts stay, whatever their doc_id. Repeated rows share their fate; repeated
+    items count once; without items that have an id and words all rows stay. An empty table gives no rows.
+    """
 
     def clean_under(shared):
         @F.pandas_udf("boolean")

@@ -173,5 +173,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, most_labels: int = 12_000)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most_labels: int = 12_000) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
+    """The rows of ``docs`` that score 0.5 or more (see score_quality), columns unchanged.
+
+    A null text is judged as an empty one, and rows with a null doc_id by their texts alone. Ties and
+    repeated rows share their fate. Without labels of both kinds all rows stay; an empty table gives
+    no rows.
+    """
     return docs.where(scorer(fit(docs, labels, most_labels))(F.col("text")) >= 0.5)

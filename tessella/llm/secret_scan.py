@@ -142,7 +142,11 @@ def redact(text: str | None, scope: int = 300) -> str | None:
 
 
 def redact_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
-    """``docs`` with secrets in text replaced; n_chars, where it exists, follows the new text."""
+    """``docs`` with secrets in text replaced; n_chars, where it exists, follows the new text.
+
+    Null and empty texts stay as they are, the n_chars of a null text is null. Repeated rows get equal
+    texts; further columns are unchanged; an empty table gives no rows.
+    """
 
     @F.pandas_udf("string")
     def clean(text: pd.Series) -> pd.Series:

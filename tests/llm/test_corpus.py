@@ -62,6 +62,15 @@ def test_quality_odd(spark, odd, docs):
     assert quality.score_quality(empty(docs), labels).count() == 0
 
 
+def test_keep_good_odd(spark, odd, docs):
+    labels = spark.createDataFrame([(4, 1), (6, 0), (7, None), (8, 3)], "doc_id long, quality int")
+    good = {(r.doc_id, r.score) for r in quality.score_quality(odd, labels).collect() if r.predicted}
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in good}
+    assert quality.keep_good(odd, labels.limit(0)).count() == len(awkward())
+    assert quality.keep_good(empty(docs), labels).count() == 0
+
+
 def test_ranking_prefers_by_pairs():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, len(quality.NAMES)))
@@ -587,6 +596,23 @@ def test_leaks_verification(spark, docs):
     assert decontam.find_leaks(rows, items.limit(0)).count() == 0 and decontam.find_leaks(empty(docs), items).count() == 0
 
 
+def test_leaks_odd(spark, odd, docs):
+    """Repeated rows and items, a very long text, null and wordless ones, clashing columns."""
+    words = [f"term{i}" for i in range(30)]
+    item = " ".join(words)
+    items = spark.createDataFrame([(1, item, "a"), (1, item, "b"), (2, "", "c"), (3, None, "d"), (None, item, "e")], "item_id long, text string, doc_id string")
+    long = " ".join([*(f"p{i % 501}" for i in range(40_000)), *words, *(f"q{i % 77}" for i in range(40_000))])
+    rows = odd.unionByName(docs((20, item), (20, item), (21, long), (22, "term0"), (None, item)))
+    for size in (5_000, 1):
+        got = Counter((r.doc_id, r.item_id) for r in decontam.find_leaks(rows, items, shard_items=size).collect())
+        assert got == {(20, 1): 4, (21, 1): 2, (None, 1): 2}
+        clean = decontam.remove_leaks(rows, items, shard_items=size)
+        assert clean.columns == rows.columns
+        assert Counter(r.doc_id for r in clean.collect()) == Counter([*(i for i, _ in awkward()), 22])
+    assert decontam.remove_leaks(odd, items.where("item_id > 1")).count() == len(awkward())
+    assert decontam.remove_leaks(empty(docs), items).count() == 0
+
+
 def test_leaks_own_text():
     """Every item leaks in its own verbatim text, with its marker and whatever the length of its answer, across passage ends too."""
     texts = [
@@ -677,6 +703,19 @@ def test_embeddings_odd(spark):
     assert pq_dedup.near_embeddings(frame.limit(0)).count() == 0
 
 
+def test_embeddings_extreme_sizes(spark):
+    """Finite vectors count whatever their size, and repeated rows as vectors of their own."""
+    rows = [
+        (1, [1e300, 2e300], 1), (2, [1.0, 2.0], 1), (3, [1e-300, 2e-300], 1), (4, [5e-324, 0.0], 1), (5, [-1e300, -2e300], 1),
+        (6, [3.0, 1.0], 2), (6, [3.0, 1.0], 2),
+    ]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pq_dedup.near_embeddings(frame).collect())
+    assert got == [
+        (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 1, 6, True), (6, 1, 6, True)
+    ]
+
+
 # SQL
 
 
@@ -691,6 +730,27 @@ def test_sql(spark, name):
 # Pipeline
 
 
+def test_redact_odd(odd, docs):
+    out = secret_scan.redact_secrets(odd)
+    assert out.columns == odd.columns
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in out.collect())
+    want = [(i, "[hex]" if t == "a" * 3000 else t) for i, t in awkward()]  # 3,000 times a is a hexadecimal run
+    assert got == Counter((i, t, None if t is None else len(t)) for i, t in want)
+    rows = secret_scan.redact_secrets(docs((1, "password = hunter2secret"), (1, "password = hunter2secret"))).collect()
+    assert rows[0].text == rows[1].text and "hunter2secret" not in rows[0].text and rows[0].n_chars == len(rows[0].text)
+    assert secret_scan.redact_secrets(empty(docs)).count() == 0
+
+
+def test_stages_odd(spark, odd, docs):
+    """Every stage takes null, empty, repeated and clashing rows, and tables without rows."""
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (odd, empty(docs)):
+            out = stage(spark, frame, SF)
+            assert out.columns[: len(frame.columns)] == frame.columns, name
+            ids = {r.doc_id for r in out.collect()}
+            assert ids <= {i for i, _ in awkward()} and (frame is odd) == bool(ids), name
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     at, kept = docs, [docs.count()]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     class_lm,
     decontam,
+    fill_middle,
     license_scan,
     line_dedup,
     minhash,
@@ -65,11 +66,20 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_licenses, op3_secrets, op4_near_duplicates, op5_mix, op6_substrings, op7_lines,
-        op8_class_lm, op9_leaks, op10_embeddings,
+        op8_class_lm, op9_leaks, op10_embeddings, op12_fill_middle,
     )
 }
 
@@ -79,4 +89,5 @@ ORACLE_SQL = {
     "op6_substrings": oracle.SUBSTRINGS,
     "op7_lines": oracle.LINES,
     "op10_embeddings": pq_dedup.LINKS_SQL,
+    "op12_fill_middle": fill_middle.CUTS_SQL,
 }

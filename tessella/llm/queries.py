@@ -18,6 +18,7 @@ from . import (
     quality,
     secret_scan,
     suffix_dedup,
+    warc,
 )
 from .common import table
 
@@ -75,11 +76,19 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_bundles(warc.archive(spark, table(spark, sf_dir, "pages")))
+    return found.select(
+        "page_id", "payload_bytes", F.col("sha1").alias("payload_digest"), F.col("type").alias("record_type"),
+        F.col("refers_page").alias("refers_to"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_licenses, op3_secrets, op4_near_duplicates, op5_mix, op6_substrings, op7_lines,
-        op8_class_lm, op9_leaks, op10_embeddings, op12_fill_middle,
+        op8_class_lm, op9_leaks, op10_embeddings, op12_fill_middle, op13_warc,
     )
 }
 
@@ -90,4 +99,5 @@ ORACLE_SQL = {
     "op7_lines": oracle.LINES,
     "op10_embeddings": pq_dedup.LINKS_SQL,
     "op12_fill_middle": fill_middle.CUTS_SQL,
+    "op13_warc": warc.RECORDS_SQL,
 }

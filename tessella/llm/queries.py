@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     class_lm,
     decontam,
+    divergence,
     fill_middle,
     license_scan,
     line_dedup,
@@ -67,6 +68,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     again = fill_middle.restored(F.col("output"), F.col("form"))
@@ -88,7 +93,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_licenses, op3_secrets, op4_near_duplicates, op5_mix, op6_substrings, op7_lines,
-        op8_class_lm, op9_leaks, op10_embeddings, op12_fill_middle, op13_warc,
+        op8_class_lm, op9_leaks, op10_embeddings, op11_divergence, op12_fill_middle, op13_warc,
     )
 }
 
@@ -98,6 +103,7 @@ ORACLE_SQL = {
     "op6_substrings": oracle.SUBSTRINGS,
     "op7_lines": oracle.LINES,
     "op10_embeddings": pq_dedup.LINKS_SQL,
+    "op11_divergence": divergence.AUDIT_SQL,
     "op12_fill_middle": fill_middle.CUTS_SQL,
     "op13_warc": warc.RECORDS_SQL,
 }

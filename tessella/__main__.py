@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .clients import HttpFetcher
 from .config import EngineConfig
 from .plans.engine import Engine
-from .schemas import CRAWLED_PAGE
 from .sources import pages
 
 
@@ -21,7 +20,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--pages", help="Parquet of landed pages (url, html and, for their order, ord)")
     p.add_argument("--sitemap", action="append", default=[], help="address of a sitemap; may be repeated")
     p.add_argument("--base", action="append", default=[], help="start of the addresses in scope; the first is read if no sitemap is")
-    p.add_argument("--cache", help="folder of pages read before")
+    p.add_argument("--cache", help="folder of pages read before, which pages read now are added to (default: beside the base)")
     p.add_argument("--max-pages", type=int, default=0)
     p.add_argument("--concurrency", type=int, default=10)
     p.add_argument("--delay", type=float, default=0.2)
@@ -33,6 +32,7 @@ def main(args: list[str] | None = None) -> int:
     engine = Engine(spark, a.kb, EngineConfig(crawl_max_pages=a.max_pages, crawl_concurrency=a.concurrency))
     if a.clear:
         engine.kb.reset()
+    found = {}
     if a.pages:
         raw = spark.read.parquet(a.pages)
         if a.max_pages > 0:  # in the order of the sitemap, if the landed pages know it
@@ -41,9 +41,9 @@ def main(args: list[str] | None = None) -> int:
     else:
         fetcher = HttpFetcher(delay=a.delay)
         urls = pages.seed_urls(spark, a.sitemap, fetcher, a.base, a.base[0])
-        cached = pages.read_cache(spark, a.cache) if a.cache else spark.createDataFrame([], CRAWLED_PAGE)
-        crawled = pages.crawl(urls, cached, fetcher, a.max_pages, a.concurrency)
-    print(engine.ingest_pages(crawled))
+        crawled, failed = pages.read_through(urls, a.cache or f"{a.kb.rstrip('/')}_pages", fetcher, a.max_pages, a.concurrency)
+        found = {"found": urls.count(), "failed": failed.count()}
+    print({**found, **engine.ingest_pages(crawled)})
     return 0
 
 

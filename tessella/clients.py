@@ -21,10 +21,13 @@ def _get(url: str, timeout: float, data: bytes | None = None, headers: dict | No
 
 
 class HttpFetcher:
-    """Pages as text; redirects are followed, errors raise, other content than text gives None."""
+    """Pages as text; redirects are followed, errors raise, other content than text gives None.
 
-    def __init__(self, timeout: float = 30.0, delay: float = 0.2):
-        self.timeout, self.delay = timeout, delay
+    An answer longer than ``most_bytes`` raises: a page is held whole.
+    """
+
+    def __init__(self, timeout: float = 30.0, delay: float = 0.2, most_bytes: int = 64 << 20):
+        self.timeout, self.delay, self.most_bytes = timeout, delay, most_bytes
 
     def fetch(self, url: str) -> str | None:
         time.sleep(self.delay)  # politeness, for each partition
@@ -32,13 +35,22 @@ class HttpFetcher:
             kind = answer.headers.get_content_type()
             if not re.match(r"text/|application/(xhtml\+)?xml", kind):
                 return None
-            return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+            body = answer.read(self.most_bytes + 1)
+            if len(body) > self.most_bytes:
+                raise ValueError(f"the answer is longer than {self.most_bytes} bytes")
+            return body.decode(answer.headers.get_content_charset() or "utf-8", "replace")
 
 
 class _Endpoint:
     def __init__(self, base: str, model: str, key_variable: str, timeout: float = 120.0):
         self.base, self.model, self.key_variable, self.timeout = base.rstrip("/"), model, key_variable, timeout
 
+    @property
+    def identity(self) -> str:
+        """What an answer depends on, for the call ledger: neither key nor timeout."""
+        settings = {k: v for k, v in sorted(vars(self).items()) if k not in ("key_variable", "timeout")}
+        return f"{type(self).__name__}:{json.dumps(settings)}"
+
     def post(self, path: str, body: dict) -> dict:
         key = os.environ.get(self.key_variable)
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
@@ -82,6 +94,10 @@ class JsonWebSearch:
     def __init__(self, address: str, timeout: float = 30.0):
         self.address, self.timeout = address, timeout
 
+    @property
+    def identity(self) -> str:
+        return f"JsonWebSearch:{self.address}"
+
     def search(self, query: str, limit: int) -> list[dict]:
         asked = urllib.parse.urlencode({"q": query, "limit": limit})
         with _get(f"{self.address}?{asked}", self.timeout) as answer:

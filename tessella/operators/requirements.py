@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import text as T
 from ..functions.model_json import confidence, field, items_of, parse
+from ..ledger import CallLedger
 from ..providers import LLMProvider, completed
 from . import search as S
 from . import verdicts as V
@@ -65,13 +66,13 @@ def records(answers: Column) -> Column:
     return run(answers)
 
 
-def extract_requirements(documents: DataFrame, llm: LLMProvider, size: int = 6000) -> DataFrame:
+def extract_requirements(documents: DataFrame, llm: LLMProvider, size: int = 6000, ledger: CallLedger | None = None) -> DataFrame:
     """Requirements of ``documents`` (document_name, text): packed to chunks, asked for, cleaned, numbered.
 
     Texts under three characters are left out and take no number; unknown categories become 'other'.
     """
     parts = documents.select("document_name", F.posexplode(T.packed(F.col("text"), size)).alias("chunk", "part"))
-    asked = completed(parts.select("document_name", "chunk", filled(EXTRACT, text=F.col("part")).alias("prompt")), llm)
+    asked = completed(parts.select("document_name", "chunk", filled(EXTRACT, text=F.col("part")).alias("prompt")), llm, ledger=ledger)
     found = asked.select("document_name", "chunk", F.posexplode(records(F.col("answer"))).alias("item", "r"))
     good = found.select(
         "document_name", "chunk", "item", "r.section", "r.text", V.valid_category(F.col("r.category")).alias("category"), "r.tables"
@@ -131,7 +132,9 @@ def parsed_answers(answered: DataFrame, config: EngineConfig) -> DataFrame:
     )
 
 
-def analyze(requirements: DataFrame, hits: DataFrame, llm: LLMProvider, config: EngineConfig, mode: str = "rag") -> DataFrame:
+def analyze(
+    requirements: DataFrame, hits: DataFrame, llm: LLMProvider, config: EngineConfig, mode: str = "rag", ledger: CallLedger | None = None
+) -> DataFrame:
     """Verdicts on ``requirements``, with ``hits`` (document_name, requirement_id, rank, source, url, title, content).
 
     In mode 'rag' the requirements of a document are asked in batches with their pooled context, in
@@ -151,7 +154,7 @@ def analyze(requirements: DataFrame, hits: DataFrame, llm: LLMProvider, config:
     asked = blocks.join(context, ["document_name", "batch_id"], "left").withColumn(
         "prompt", filled(ASSESS, requirements=F.col("requirements"), context=F.coalesce("context", F.lit("Nothing found.")))
     )
-    answered = completed(asked.select("document_name", "only", "prompt"), llm)
+    answered = completed(asked.select("document_name", "only", "prompt"), llm, ledger=ledger)
     items = parsed_answers(answered, config)
     if mode == "live":  # the answer is about the one requirement asked for, and its first item counts
         first = F.row_number().over(W.partitionBy("document_name", "only").orderBy("item"))
@@ -163,7 +166,7 @@ def analyze(requirements: DataFrame, hits: DataFrame, llm: LLMProvider, config:
     return merged.withColumn("source_urls", T.merged_links(F.col("source_urls"), F.col("searched"))).drop("searched")
 
 
-def summaries(verdicts: DataFrame, llm: LLMProvider) -> DataFrame:
+def summaries(verdicts: DataFrame, llm: LLMProvider, ledger: CallLedger | None = None) -> DataFrame:
     """Metrics of each document and a model's summary of them."""
     m = V.metrics(verdicts).join(V.top_mismatches(verdicts, "document_name"), "document_name", "left")
     prompt = filled(
@@ -171,15 +174,16 @@ def summaries(verdicts: DataFrame, llm: LLMProvider) -> DataFrame:
         mismatch=F.col("mismatch_count"), clarification=F.col("clarification_count"), percentage=F.col("compliance_percentage"),
         mismatches=F.coalesce("top_mismatches", F.lit("-")),
     )
-    out = completed(m.withColumn("prompt", prompt), llm)
+    out = completed(m.withColumn("prompt", prompt), llm, ledger=ledger)
     return out.withColumnRenamed("answer", "summary").drop("prompt", "top_mismatches")
 
 
-def search_keywords(requirements: DataFrame, llm: LLMProvider | None = None) -> DataFrame:
+def search_keywords(requirements: DataFrame, llm: LLMProvider | None = None, ledger: CallLedger | None = None) -> DataFrame:
     """``requirements`` (query_id, text) as (query_id, kw_ord, keyword): asked for, else words of the text."""
     words = T.fallback_keywords(F.col("text"))
     if llm is not None:
-        requirements = completed(requirements.withColumn("prompt", filled(KEYWORDS, text=T.truncated(F.col("text"), 500))), llm)
+        asked = requirements.withColumn("prompt", filled(KEYWORDS, text=T.truncated(F.col("text"), 500)))
+        requirements = completed(asked, llm, ledger=ledger)
         listed = T.listed_keywords(F.col("answer"))
         words = F.when(F.size(listed) > 0, listed).otherwise(words)
     return requirements.select("query_id", F.posexplode(words).alias("kw_ord", "keyword"))

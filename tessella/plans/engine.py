@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..config import EngineConfig
+from ..ledger import CallLedger
 from ..operators import requirements as R
 from ..operators import search as S
 from ..operators import verdicts as V
@@ -22,31 +22,29 @@ from .kb import KnowledgeBase
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, config: EngineConfig = EngineConfig(), llm: LLMProvider | None = None, embeddings: EmbeddingProvider | None = None, web: WebSearchProvider | None = None):
         self.spark, self.config, self.llm, self.web = spark, config, llm or ReplayLLM(), web
-        self.kb = KnowledgeBase(spark, folder, config, embeddings)
+        self.ledger = CallLedger(spark, f"{folder.rstrip('/')}_ledger")
+        self.kb = KnowledgeBase(spark, folder, config, embeddings, self.ledger)
 
     def status(self) -> dict:
         """Health: settings and the size of the knowledge base."""
         return {"status": "ok", "model": self.config.embedding_model, **self.kb.status().first().asDict()}
 
     def ingest_pages(self, crawled: DataFrame, source: str = "docs") -> dict:
-        """Indexes crawled pages. They are held while this runs, as a fetch is not to be repeated for the counts."""
-        crawled = crawled.persist(StorageLevel.DISK_ONLY)
-        try:
-            documents = pages.to_documents(crawled, source)
-            self.kb.add(documents)
-            return {"crawled": crawled.count(), "indexed": documents.count(), **self.kb.status().first().asDict()}
-        finally:
-            crawled.unpersist()
+        """Indexes crawled pages. They are written first, so that neither counts nor a lost executor fetch them again."""
+        crawled = storage.keep(crawled, f"{storage.scratch(self.spark)}/crawled")
+        documents = pages.to_documents(crawled, source)
+        self.kb.add(documents)
+        return {"crawled": crawled.count(), "indexed": documents.count(), **self.kb.status().first().asDict()}
 
     def ingest_files(self, path: str) -> DataFrame:
         """Indexes the files of a folder; returns their summary."""
-        parsed = files.read_files(self.spark, path, files.UPLOADS)
+        parsed = storage.keep(files.read_files(self.spark, path, files.UPLOADS), f"{storage.scratch(self.spark)}/parsed")
         self.kb.add(files.to_documents(parsed))
         return files.summary(parsed)
 
     def extract(self, path: str) -> DataFrame:
         documents = files.to_documents(files.read_files(self.spark, path)).withColumnRenamed("doc_key", "document_name")
-        return R.extract_requirements(documents, self.llm, self.config.extraction_chunk)
+        return R.extract_requirements(documents, self.llm, self.config.extraction_chunk, self.ledger)
 
     def rag_hits(self, requirements: DataFrame) -> DataFrame:
         """The nearest chunks of each requirement."""
@@ -61,7 +59,8 @@ class Engine:
         c = self.config
         ident = F.xxhash64("document_name", "id")
         asked = requirements.select(ident.alias("query_id"), "document_name", F.col("id").alias("requirement_id"), "category", R.query_text().alias("text"))
-        words = R.search_keywords(asked.select("query_id", "text"), self.llm)
+        folder = storage.scratch(self.spark)
+        words = storage.keep(R.search_keywords(asked.select("query_id", "text"), self.llm, self.ledger), f"{folder}/words")
         kind = lambda *names: asked.where(F.col("category").isin(*names)).select("query_id")
         none = self.spark.createDataFrame([], "query_id long, rank int, url string, title string, snippet string, content string, source_type string")
 
@@ -81,7 +80,7 @@ class Engine:
             if self.web is None:
                 return none
             ask = asked.join(where, "query_id").select("query_id", F.concat(F.lit(prefix), F.substring("text", 1, 200)).alias("query"))
-            found = searched(ask, self.web, limit, scope)
+            found = searched(ask, self.web, limit, scope, ledger=self.ledger)
             return found.where(S.T.trusted(F.col("url"), c.trusted_domains))
 
         def rag(where: DataFrame) -> DataFrame:
@@ -99,17 +98,16 @@ class Engine:
             .unionByName(web(left.join(kind(*others), "query_id"), None, f"{site} ").withColumn("branch", F.lit(1))),
             lambda left: rag(left).withColumn("branch", F.lit(0)),
         ]
-        folder = f"{self.kb.folder}_search/{uuid.uuid4().hex}"
         found = S.route(S.staged(asked.select("query_id"), tiers, folder), limit)
         return found.join(asked.select("query_id", "document_name", "requirement_id"), "query_id").withColumn("source", F.col("url")).drop("query_id", "tier", "branch")
 
     def analyze(self, requirements: DataFrame, mode: str = "rag", hits: DataFrame | None = None) -> DataFrame:
         if requirements.isEmpty():
             raise ValueError("no requirements")
-        return R.analyze(requirements, hits if hits is not None else self.rag_hits(requirements), self.llm, self.config, mode)
+        return R.analyze(requirements, hits if hits is not None else self.rag_hits(requirements), self.llm, self.config, mode, self.ledger)
 
     def summarise(self, verdicts: DataFrame) -> DataFrame:
-        return R.summaries(verdicts, self.llm)
+        return R.summaries(verdicts, self.llm, self.ledger)
 
     def markdown(self, verdicts: DataFrame, generated_at: Column, summaries: DataFrame | None = None) -> DataFrame:
         return report.markdown(verdicts, generated_at, self.config, summaries)

@@ -1,16 +1,19 @@
-"""Knowledge base: chunk, embed, append, search, status. Chunks are a Parquet table."""
+"""Knowledge base: chunk, embed, add, search, status. Chunks are a versioned table, keyed by model and document."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..config import EngineConfig
 from ..functions import text as T
 from ..functions.chunk import chunks
+from ..ledger import CallLedger
 from ..operators import search as S
 from ..providers import EmbeddingProvider, embedded
 from ..schemas import CHUNK
+from .versioned import VersionedTable
 
 
 def chunked(documents: DataFrame, config: EngineConfig) -> DataFrame:
@@ -26,37 +29,64 @@ def status_of(chunks_: DataFrame) -> DataFrame:
     return counted.withColumn("ready", F.col("vectors") > 0)
 
 
+def digests(documents: DataFrame, config: EngineConfig) -> DataFrame:
+    """(doc_key, digest) of what the chunks of each document depend on: its texts, in any order of rows, and settings.
+
+    Metadata are not part of it: a document with the same texts keeps those that it was added with.
+    """
+    how = f"{config.chunk_size}:{config.chunk_overlap}"
+    row = F.md5(F.concat_ws("\x1f", F.lit(how), F.col("text")))
+    half = lambda at: F.bit_xor(F.conv(F.substring("row", at, 15), 16, 10).cast("long"))
+    rows = documents.select("doc_key", row.alias("row")).distinct()
+    return rows.groupBy("doc_key").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), half(1).cast("string"), half(17).cast("string")).alias("digest"))
+
+
 class KnowledgeBase:
-    """A folder of chunks, stamped with the embedding model; appends are idempotent by chunk id."""
+    """A folder of chunks, by embedding model and document; a document that is added again replaces its former chunks.
 
-    def __init__(self, spark: SparkSession, folder: str, config: EngineConfig = EngineConfig(), provider: EmbeddingProvider | None = None):
-        self.spark, self.folder, self.config, self.provider = spark, folder.rstrip("/"), config, provider
+    With a ``ledger`` a provider embeds each text once, in whatever run.
+    """
 
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(path) and any(s.getPath().getName().startswith("model=") for s in fs.listStatus(path))
-
-    def chunks(self) -> DataFrame:
-        """All chunks of the configured model; an absent base is an empty table."""
-        schema = CHUNK + ", model string"
-        if not self._exists():
-            return self.spark.createDataFrame([], schema).drop("model")
-        return self.spark.read.schema(schema).parquet(self.folder).where(F.col("model") == self.config.embedding_model).drop("model")
-
-    def add(self, documents: DataFrame, dedup: bool = True) -> None:
-        """Chunks, embeds and appends; with ``dedup`` chunks that are there already are left out."""
-        new = chunked(documents.where(T.not_blank(F.col("text"))), self.config)
-        if dedup:
-            new = new.dropDuplicates(["chunk_id"])
-            if self._exists():
-                new = new.join(self.chunks().select("chunk_id"), "chunk_id", "left_anti")
-        rows = embedded(new, self.provider, self.config.embedding_dim, self.config.embedding_batch)
-        rows.withColumn("model", F.lit(self.config.embedding_model)).write.mode("append").partitionBy("model").parquet(self.folder)
-
-    def reset(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def __init__(
+        self, spark: SparkSession, folder: str, config: EngineConfig = EngineConfig(), provider: EmbeddingProvider | None = None,
+        ledger: CallLedger | None = None,
+    ):
+        self.spark, self.folder, self.config, self.provider = spark, folder.rstrip("/"), config, provider
+        self.ledger = ledger if ledger is not None or provider is None else CallLedger(spark, f"{self.folder}_ledger")
+        self.table = VersionedTable(spark, self.folder, CHUNK + ", model string", ["model", "doc_key"])
+
+    def _own(self, rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("model") == self.config.embedding_model).drop("model")
+
+    def chunks(self, version: int | None = None) -> DataFrame:
+        """The chunks of the configured model in a version (by default the last); an absent base is an empty table."""
+        return self._own(self.table.rows(version))
+
+    def add(self, documents: DataFrame) -> int:
+        """Chunks, embeds and adds ``documents`` (doc_key, text, metadata); returns the version that has them.
+
+        Documents that are there unchanged are left alone. A document whose text is blank now has no chunks.
+        """
+        model = F.lit(self.config.embedding_model).alias("model")
+        columns = [documents["doc_key"].cast("string").alias("doc_key"), "text", "metadata"]
+        given = storage.keep(documents.select(*columns).where("doc_key is not null"), f"{storage.scratch(self.spark)}/given")
+        there = self._own(self.table.live_keys()).select("doc_key", "digest")
+        keys = storage.keep(digests(given, self.config).join(there, ["doc_key", "digest"], "left_anti"), f"{storage.scratch(self.spark)}/keys")
+        changed = given.where(T.not_blank(F.col("text"))).join(keys.select("doc_key"), "doc_key", "left_semi")
+        new = chunked(changed, self.config).dropDuplicates(["chunk_id"])
+        rows = embedded(new, self.provider, self.config.embedding_dim, self.config.embedding_batch, self.ledger)
+        return self.table.put(rows.withColumn("model", model), keys.withColumn("model", model))
+
+    def remove(self, documents: DataFrame) -> int:
+        """Removes the chunks of ``documents`` (doc_key)."""
+        return self.table.remove(documents.select("doc_key", F.lit(self.config.embedding_model).alias("model")))
+
+    def compact(self) -> int:
+        return self.table.compact()
+
+    def reset(self) -> int:
+        """Empties the base; former versions stay readable until ``table.vacuum``."""
+        return self.table.reset()
 
     def status(self) -> DataFrame:
         return status_of(self.chunks())
@@ -65,7 +95,8 @@ class KnowledgeBase:
         """The k nearest chunks of ``queries`` (query_id, text): rank, distance, content, metadata, source, title."""
         if not queries.where(~T.not_blank(F.col("text"))).isEmpty():
             raise ValueError("a query is empty")
-        asked = embedded(queries.select("query_id", "text"), self.provider, self.config.embedding_dim)
+        asked = embedded(queries.select("query_id", "text"), self.provider, self.config.embedding_dim, ledger=self.ledger)
+        asked = storage.keep(asked.select("query_id", "embedding"), f"{storage.scratch(self.spark)}/asked")
         base = self.chunks().withColumn("id", F.xxhash64("chunk_id"))
         hits = S.top_k(asked, base, k or self.config.top_k)
         joined = hits.join(base.select("id", "text", "metadata"), "id")

@@ -1,7 +1,8 @@
 """Pluggable models, fetchers and web search, with deterministic offline defaults.
 
 Providers run on executors, in partitions: they must pickle. Retries with linear backoff are part
-of ``retried``; a task that fails all the same is retried by Spark.
+of ``retried``; a task that fails all the same is retried by Spark. With a ledger each input is
+asked once, whatever is evaluated again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType, StringType, StructField, StructType
 
 from .functions.vectors import hashed_embedding
+from .ledger import CallLedger, identity
 
 
 class LLMProvider(Protocol):
@@ -90,11 +92,15 @@ def _with(df: DataFrame, name: str, kind: DataType) -> StructType:
     return StructType([*df.schema.fields, StructField(name, kind)])
 
 
-def completed(df: DataFrame, llm: LLMProvider, prompt: str = "prompt", batch: int = 10) -> DataFrame:
-    """``df`` with a column ``answer``, asked in batches; a null answer becomes ''.
+def completed(df: DataFrame, llm: LLMProvider, prompt: str = "prompt", batch: int = 10, ledger: CallLedger | None = None) -> DataFrame:
+    """``df`` with a column ``answer``; a null answer becomes ''.
 
-    Write the result before using it twice: a provider is asked again with every evaluation.
+    With a ledger each distinct prompt is asked once and by itself, so that a failure loses no other
+    answer. Without one prompts are asked in batches, again with every evaluation.
     """
+    if ledger is not None:
+        call = lambda prompts: [a or "" for a in retried(llm.complete, prompts)]
+        return ledger.ask(df, prompt, "chat", "string", identity(llm), call)
     names = df.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -107,10 +113,13 @@ def completed(df: DataFrame, llm: LLMProvider, prompt: str = "prompt", batch: in
     return df.mapInPandas(run, _with(df, "answer", StringType()))
 
 
-def embedded(df: DataFrame, provider: EmbeddingProvider | None = None, dim: int = 64, batch: int = 50) -> DataFrame:
-    """``df`` with a column ``embedding`` of its text: by the provider, else by hashing."""
+def embedded(df: DataFrame, provider: EmbeddingProvider | None = None, dim: int = 64, batch: int = 50, ledger: CallLedger | None = None) -> DataFrame:
+    """``df`` with a column ``embedding`` of its text: by the provider, with a ledger once for each text, else by hashing."""
     if provider is None:
         return df.withColumn("embedding", hashed_embedding(F.coalesce("text", F.lit("")), dim))
+    if ledger is not None:
+        call = lambda texts: [[float(x) for x in v] for v in retried(provider.embed, texts)]
+        return ledger.ask(df, "text", "embedding", "array<float>", identity(provider), call, batch, "embedding")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for frame in frames:
@@ -122,26 +131,42 @@ def embedded(df: DataFrame, provider: EmbeddingProvider | None = None, dim: int
     return df.mapInPandas(run, _with(df, "embedding", ArrayType(FloatType())))
 
 
-def searched(df: DataFrame, provider: WebSearchProvider, limit: int = 5, scope: str | None = None, query: str = "query") -> DataFrame:
+_RESULTS = "array<struct<href: string, title: string, body: string>>"
+
+
+def searched(
+    df: DataFrame, provider: WebSearchProvider, limit: int = 5, scope: str | None = None, query: str = "query", ledger: CallLedger | None = None
+) -> DataFrame:
     """Web results of ``df`` (query_id, query): query_id, rank, url, title, snippet, content, source_type.
 
-    A failing search gives nothing. The snippet is all the content there is.
+    A failing search gives nothing, and with a ledger is asked again next time. The snippet is all the
+    content there is.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for ident, text in zip(frame["query_id"], frame[query], strict=True):
+    def one(text: str) -> list[dict]:
+        found = provider.search(text, limit)[:limit]
+        return [{k: str(r.get(k) or "") for k in ("href", "title", "body")} for r in found]
+
+    scoped = F.concat(F.lit(f"site:{scope} "), F.col(query)) if scope else F.col(query)
+    asked = df.select("query_id", scoped.alias("asked"))
+    if ledger is not None:
+        name = f"{identity(provider)}\x1f{limit}"
+        found = ledger.ask(asked, "asked", "web", _RESULTS, name, lambda texts: [one(t) for t in texts], 1, "found", "null")
+    else:
+
+        @F.pandas_udf(_RESULTS)
+        def run(texts: pd.Series) -> pd.Series:
+            out = []
+            for text in texts:
                 try:
-                    found = provider.search(f"site:{scope} {text}" if scope else text, limit)
+                    out.append(one(text))
                 except Exception:
-                    found = []
-                rows += [
-                    (ident, i + 1, r.get("href", ""), r.get("title", ""), r.get("body", ""), r.get("body", ""), "web")
-                    for i, r in enumerate(found[:limit])
-                ]
-            yield pd.DataFrame(rows, columns=["query_id", "rank", "url", "title", "snippet", "content", "source_type"])
-
-    kind = df.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, rank int, url string, title string, snippet string, content string, source_type string"
-    return df.select("query_id", query).mapInPandas(run, schema)
+                    out.append([])
+            return pd.Series(out, dtype=object)
+
+        found = asked.withColumn("found", run("asked"))
+    rows = found.select("query_id", F.posexplode("found").alias("i", "r"))
+    return rows.select(
+        "query_id", (F.col("i") + 1).alias("rank"), F.col("r.href").alias("url"), "r.title", F.col("r.body").alias("snippet"),
+        F.col("r.body").alias("content"), F.lit("web").alias("source_type"),
+    )

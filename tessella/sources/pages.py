@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
 from ..functions.html import extracted, page
 from ..providers import Fetcher
@@ -119,10 +120,14 @@ def long_enough(pages: DataFrame, n: int = 50) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Cached pages; corrupt files and pages without content are misses."""
-    read = spark.read.schema(CRAWLED_PAGE + ", _corrupt string")
-    rows = read.option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(folder)
-    return rows.where("_corrupt is null and url is not null and content <> ''").drop("_corrupt")
+    """Cached pages; corrupt files and pages without content are misses.
+
+    Spark's own files (part-...) hold a page in each line, other ones one page, over as many lines as it takes.
+    """
+    read = spark.read.schema(CRAWLED_PAGE + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt")
+    lines = read.option("pathGlobFilter", "part-*").json(folder)
+    single = read.option("multiLine", True).option("pathGlobFilter", "{[!p]*,p[!a]*,pa[!r]*,par[!t]*,part[!-]*}").json(folder)
+    return lines.unionByName(single).where("_corrupt is null and url is not null and content <> ''").drop("_corrupt")
 
 
 def write_cache(pages: DataFrame, folder: str) -> None:
@@ -130,35 +135,66 @@ def write_cache(pages: DataFrame, folder: str) -> None:
     pages.withColumn("key", T.cache_key(F.col("url"))).write.mode("append").json(folder)
 
 
-def crawl(urls: DataFrame, cache: DataFrame, fetcher: Fetcher, max_pages: int = 0, concurrency: int = 10, parity: bool = False, least: int = 50) -> DataFrame:
-    """Pages of ``urls`` (ord, url): cached ones, the others fetched in ``concurrency`` partitions.
-
-    ``max_pages`` > 0 takes the first ones. A failing fetch gives nothing; short pages are left out.
-    Returns ord and the columns of a page.
-    """
-    if max_pages > 0:
-        urls = urls.orderBy("ord").limit(max_pages)
-    keyed = urls.select("ord", "url", T.cache_key(F.col("url")).alias("key"))
-    known = cache.where("content <> ''").withColumn("key", T.cache_key(F.col("url"))).dropDuplicates(["key"])
-    hits = keyed.join(known.drop("url"), "key").drop("key")
-    misses = keyed.join(known.select("key"), "key", "left_anti").select("ord", "url")
+def fetched(urls: DataFrame, fetcher: Fetcher, concurrency: int = 10, parity: bool = False) -> DataFrame:
+    """``urls`` (ord, url) with the columns of a page and ``error``: what went wrong, null for a page that was read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        columns = ["ord", "url", "title", "breadcrumbs", "content", "section_path"]
+        columns = ["ord", "url", "title", "breadcrumbs", "content", "section_path", "error"]
         for frame in frames:
             rows = []
             for ord_, url in zip(frame["ord"], frame["url"], strict=True):
                 try:
                     raw = fetcher.fetch(url)
-                except Exception:
-                    raw = None
-                if raw is not None:
-                    rows.append({"ord": ord_, "url": url, **page(raw, parity)})
-            yield pd.DataFrame(rows, columns=columns)
+                    found = {"error": "no text"} if raw is None else page(raw, parity)
+                except Exception as e:
+                    found = {"error": f"{type(e).__name__}: {e}"}
+                rows.append({"ord": ord_, "url": url, **found})
+            yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda x: x.notna(), None)
 
     kind = urls.schema["ord"].dataType.simpleString()
-    fetched = misses.repartition(concurrency).mapInPandas(run, f"ord {kind}, {CRAWLED_PAGE}")
-    return long_enough(hits.unionByName(fetched), least)
+    return urls.select("ord", "url").repartition(concurrency).mapInPandas(run, f"ord {kind}, {CRAWLED_PAGE}, error string")
+
+
+def split_by_cache(urls: DataFrame, cache: DataFrame, max_pages: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Hits with their pages and misses among ``urls`` (ord, url), of which ``max_pages`` > 0 takes the first ones."""
+    if max_pages > 0:
+        urls = urls.orderBy("ord").limit(max_pages)
+    keyed = urls.select("ord", "url", T.cache_key(F.col("url")).alias("key"))
+    known = cache.where("content <> ''").withColumn("key", T.cache_key(F.col("url"))).dropDuplicates(["key"])
+    hits = keyed.join(known.drop("url"), "key").drop("key")
+    return hits, keyed.join(known.select("key"), "key", "left_anti").select("ord", "url")
+
+
+def crawl(urls: DataFrame, cache: DataFrame, fetcher: Fetcher, max_pages: int = 0, concurrency: int = 10, parity: bool = False, least: int = 50) -> DataFrame:
+    """Pages of ``urls`` (ord, url): cached ones, the others fetched in ``concurrency`` partitions.
+
+    A failing fetch gives nothing; short pages are left out. Returns ord and the columns of a page. Pages
+    are fetched again whenever the result is evaluated; ``read_through`` fetches them once.
+    """
+    hits, misses = split_by_cache(urls, cache, max_pages)
+    read = fetched(misses, fetcher, concurrency, parity).where("error is null").drop("error")
+    return long_enough(hits.unionByName(read), least)
+
+
+def read_through(
+    urls: DataFrame, folder: str, fetcher: Fetcher, max_pages: int = 0, concurrency: int = 10, parity: bool = False, least: int = 50
+) -> tuple[DataFrame, DataFrame]:
+    """Pages of ``urls`` (ord, url) by the page cache in ``folder``, and the errors (url, error) of those not read.
+
+    What is not cached is fetched once, written to the cache, errors beside it, and read back: evaluating
+    the result again fetches nothing. Failures and pages without content are fetched again next time.
+    """
+    spark = urls.sparkSession
+    cache = read_cache(spark, folder) if storage.names(spark, folder) else spark.createDataFrame([], CRAWLED_PAGE)
+    base = storage.scratch(spark)
+    hits, misses = split_by_cache(storage.keep(urls.select("ord", "url"), f"{base}/urls"), cache, max_pages)
+    hits = storage.keep(hits, f"{base}/hits")  # before the cache grows
+    read = storage.keep(fetched(misses, fetcher, concurrency, parity), f"{base}/read")
+    good = read.where("error is null").drop("error")
+    failed = read.where("error is not null").select("url", "error")
+    write_cache(good.drop("ord").where("content <> ''"), folder)
+    failed.write.mode("append").json(f"{folder.rstrip('/')}/_errors")  # readers pass over names with an underscore
+    return long_enough(hits.unionByName(good), least), failed
 
 
 def to_documents(pages: DataFrame, source: str = "docs") -> DataFrame:

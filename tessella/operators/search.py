@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
+from . import grams
 
 #: Queries that one pass over the base holds; more are answered in further passes.
 QUERY_BLOCK = 4096
 #: Rows and queries that are compared at once.
 TILE = 1024
-#: Bytes of search strings that one scan looks for; more are searched in further scans.
+#: Bytes of search strings that may be broadcast; more are joined by a shuffle.
 NEEDLE_BYTES = 32 << 20
 
 
@@ -140,44 +139,12 @@ def match_keywords(keywords: DataFrame, index: DataFrame, limit: int = 10, prefi
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "url", "score", "rank")
 
 
-def _find(shared, needle: str, kind: str):
-    def run(batches):
-        needles = shared.value
-        tree = ahocorasick.Automaton()
-        for i, x in enumerate(needles):
-            tree.add_word(x, i)
-        tree.make_automaton()
-        for batch in batches:
-            at = batch.schema.get_field_index(kind)
-            row, found = [], []
-            for k, text in enumerate(batch.column(at).to_pylist()):
-                for i in {i for _, i in tree.iter(text)} if text else ():
-                    row.append(k)
-                    found.append(needles[i])
-            take = pa.array(row, pa.int64())
-            columns = [c.take(take) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *columns], names=[needle, *batch.schema.names])
-
-    return run
-
-
 def containing(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
-    """Rows of ``texts`` with each of the distinct ``needles`` that its column ``text`` contains.
+    """Rows of ``texts`` with each of the distinct ``needles`` that its column ``text`` contains; empty and null ones match nothing.
 
-    The strings of up to NEEDLE_BYTES go to every task as one automaton, which finds all of them in
-    one scan of the texts; more strings are found in further scans. Empty and null strings match nothing.
+    Strings meet texts at their rarest gram (see ``grams``), any number of them in the same two passes.
     """
-    spark = texts.sparkSession
-    wanted = needles.where(F.length(needle) > 0).select(needle).distinct()
-    size = wanted.agg(F.sum(F.octet_length(needle))).first()[0] or 0
-    blocks = max(1, -(-size // NEEDLE_BYTES))
-    schema = StructType([StructField(needle, StringType()), *texts.schema.fields])
-    out = None
-    for b in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64(needle), F.lit(blocks)) == b).toArrow()[needle].to_pylist()
-        found = texts.mapInArrow(_find(spark.sparkContext.broadcast(sorted(part)), needle, text), schema) if part else None
-        out = found if out is None else out.union(found) if found is not None else out
-    return out if out is not None else spark.createDataFrame([], schema)
+    return grams.containing(needles, texts, needle, text, NEEDLE_BYTES)
 
 
 def contained(items: DataFrame, docs: DataFrame) -> DataFrame:

@@ -70,6 +70,7 @@ class Engine:
 
         def documents(where: DataFrame) -> DataFrame:
             narrow = S.match_keywords(words.join(where, "query_id"), index, limit * 2, "documents/")
+            narrow = storage.keep(narrow, f"{folder}/narrow")
             rest = where.join(narrow.select("query_id").distinct(), "query_id", "left_anti")
             broad = S.match_keywords(words.join(rest, "query_id"), index, limit * 2).where(F.contains("url", F.lit("/documents/")))
             rank = F.row_number().over(S.W.partitionBy("query_id").orderBy("rank"))

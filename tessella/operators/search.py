@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import grams
+from . import nearest as N
 
 #: Queries that one pass over the base holds; more are answered in further passes.
 QUERY_BLOCK = 4096
@@ -19,96 +20,58 @@ TILE = 1024
 NEEDLE_BYTES = 32 << 20
 
 
-def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """Ranking distances of queries x to rows y: squared L2, or 1 - cosine (rows of norm 0 have none)."""
-    if metric == "cosine":
-        norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]
-        return 1 - (x @ y.T) / np.where(norms > 0, norms, np.nan)
-    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None], 0)
-
-
-def _exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """The same for rows of x and y taken together, free of cancellation."""
-    if metric == "cosine":
-        return 1 - np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-    return ((x - y) ** 2).sum(1)
-
-
-def _vectors(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of the rows without nulls that have the dimension, from the Arrow buffers."""
-    column = batch.column(1)
-    flat = column.flatten()
-    sizes = np.diff(column.offsets.to_numpy())
-    holes = np.zeros(len(column), dtype=bool)
-    if flat.null_count:
-        row = np.repeat(np.arange(len(column)), sizes)
-        holes[row[~flat.is_valid().to_numpy(zero_copy_only=False)]] = True
-    good = column.is_valid().to_numpy(zero_copy_only=False) & (sizes == dim) & ~holes
-    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
-    starts = (column.offsets.to_numpy() - column.offsets[0].as_py())[:-1][good]
-    return batch.column(0).to_numpy()[good], values[starts[:, None] + np.arange(dim)] if len(starts) else np.zeros((0, dim))
-
-
 def _scan(shared, k: int, metric: str):
     """Partial top-k of a partition: k rows for each query at most."""
 
     def run(batches):
-        ids, x = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        asked, x = shared.value
+        found = None
         for batch in batches:
-            base, y = _vectors(batch, x.shape[1])
+            good, y = N.numbers(batch.column(1), x.shape[1])
+            ids = N.names(batch.column(0))[good]
             if metric == "cosine":  # a zero vector has no direction
                 some = (y * y).sum(1) > 0
-                base, y = base[some], y[some]
-            for at in range(0, len(base), TILE):
-                part, rows = base[at : at + TILE], y[at : at + TILE]
-                for first in range(0, len(ids), TILE):
-                    rough = _distances(x[first : first + TILE], rows, metric)
-                    k_ = min(k, len(part)) - 1
-                    kth = np.partition(rough, k_, axis=1)[:, k_]
-                    for q in range(len(rough)):
-                        near = np.flatnonzero(rough[q] <= kth[q] + 1e-6)
-                        own = x[first + q]
-                        d = np.concatenate((best[first + q][0], _exact(np.broadcast_to(own, rows[near].shape), rows[near], metric)))
-                        i = np.concatenate((best[first + q][1], part[near]))
-                        order = np.lexsort((i, d))[:k]
-                        best[first + q] = d[order], i[order]
-        counts = [len(d) for d, _ in best]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([i for _, i in best])),
-                 pa.array(np.concatenate([d for d, _ in best]))],
-                names=["query_id", "id", "distance"],
-            )
+                ids, y = ids[some], y[some]
+            new = N.nearest(x, y, ids, k, metric, tile=TILE)
+            found = new if found is None else N.first_k(*(np.concatenate(z) for z in zip(found, new, strict=True)), k)
+        if found is not None and len(found[0]):
+            q, d, ids = found
+            yield pa.RecordBatch.from_arrays([N.arrow_names(asked[q]), N.arrow_names(ids), pa.array(d)], names=["query_id", "id", "distance"])
 
     return run
 
 
+def id_type(df: DataFrame, column: str) -> str:
+    """Ids are strings or, if they are any kind of number, longs."""
+    return "string" if df.schema[column].dataType.simpleString() == "string" else "long"
+
+
 def top_k(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "l2") -> DataFrame:
     """The k nearest rows of ``base`` (id, embedding) for each of ``queries`` (query_id, embedding).
 
-    Returns query_id, id, distance (squared L2, or 1 - cosine) and rank; ties go to the lower id.
-    The base is scanned once for each block of QUERY_BLOCK queries, and a partition gives k rows for
-    each query at most. Null vectors and those of another dimension than the block's are left out,
-    and by cosine zero vectors too, which have no direction.
+    Returns query_id, id, distance (squared L2, or 1 - cosine) and rank; ties go to the lower id. Ids
+    are numbers or strings. The base is scanned once for each block of QUERY_BLOCK queries, and a
+    partition gives k rows for each query at most; many queries are better asked of a ``VectorIndex``.
+    Null vectors and those of another dimension than the block's are left out, and by cosine zero
+    vectors too, which have no direction.
     """
     spark = base.sparkSession
-    queries = queries.where("embedding is not null and query_id is not null").select(F.col("query_id").cast("long"), "embedding")
+    asked_type, base_type = id_type(queries, "query_id"), id_type(base, "id")
+    queries = queries.where("embedding is not null and query_id is not null").select(F.col("query_id").cast(asked_type), "embedding")
     if metric == "cosine":
         queries = queries.where(F.exists("embedding", lambda v: v != 0))
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK)
-    found = spark.createDataFrame([], "query_id long, id long, distance double")
-    base = base.where("id is not null").select(F.col("id").cast("long"), "embedding")
+    found = spark.createDataFrame([], f"query_id {asked_type}, id {base_type}, distance double")
+    base = base.where("id is not null").select(F.col("id").cast(base_type), "embedding")
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
         by_dim: dict[int, list] = {}
-        for i, v in zip(part["query_id"].to_pylist(), part["embedding"].to_pylist(), strict=True):
+        for i, v in enumerate(part["embedding"].to_pylist()):
             by_dim.setdefault(len(v), []).append((i, v))
+        ids = N.names(part["query_id"])
         for some in by_dim.values():
-            shared = spark.sparkContext.broadcast(
-                (np.array([i for i, _ in some]), np.array([v for _, v in some], dtype=np.float64))
-            )
+            shared = spark.sparkContext.broadcast((ids[[i for i, _ in some]], np.array([v for _, v in some], dtype=np.float64)))
             found = found.union(base.mapInArrow(_scan(shared, k, metric), found.schema))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -48,7 +48,7 @@ class Engine:
 
     def rag_hits(self, requirements: DataFrame) -> DataFrame:
         """The nearest chunks of each requirement."""
-        ident = F.xxhash64("document_name", "id")
+        ident = F.md5(F.concat_ws("\x1f", "document_name", F.col("id").cast("string")))
         asked = requirements.select(ident.alias("query_id"), "document_name", F.col("id").alias("requirement_id"), R.query_text().alias("text"))
         found = self.kb.search(asked.select("query_id", "text")).join(asked.drop("text"), "query_id")
         url = F.coalesce(F.element_at("metadata", "url"), F.element_at("metadata", "source"), F.lit(""))
@@ -57,12 +57,12 @@ class Engine:
     def live_hits(self, requirements: DataFrame, index: DataFrame, cached: DataFrame, limit: int = 5) -> DataFrame:
         """Routed search: site pages by keyword, else the web, else the knowledge base (see ROUTES)."""
         c = self.config
-        ident = F.xxhash64("document_name", "id")
+        ident = F.md5(F.concat_ws("\x1f", "document_name", F.col("id").cast("string")))
         asked = requirements.select(ident.alias("query_id"), "document_name", F.col("id").alias("requirement_id"), "category", R.query_text().alias("text"))
         folder = storage.scratch(self.spark)
         words = storage.keep(R.search_keywords(asked.select("query_id", "text"), self.llm, self.ledger), f"{folder}/words")
         kind = lambda *names: asked.where(F.col("category").isin(*names)).select("query_id")
-        none = self.spark.createDataFrame([], "query_id long, rank int, url string, title string, snippet string, content string, source_type string")
+        none = self.spark.createDataFrame([], "query_id string, rank int, url string, title string, snippet string, content string, source_type string")
 
         def matched(where: DataFrame, prefix: str, source_type: str) -> DataFrame:
             hits = S.match_keywords(words.join(where, "query_id"), index, limit * 2, prefix)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..ledger import CallLedger
 from ..operators import search as S
 from ..providers import EmbeddingProvider, embedded
 from ..schemas import CHUNK
+from .vector_index import VectorIndex
 from .versioned import VersionedTable
 
 
@@ -91,14 +94,36 @@ class KnowledgeBase:
     def status(self) -> DataFrame:
         return status_of(self.chunks())
 
+    def _index_folder(self) -> str:
+        """Where an index of the last version is: a change of the base or of the model leads elsewhere."""
+        c = self.config
+        model = hashlib.md5(f"{c.embedding_model}:{c.embedding_dim}".encode()).hexdigest()[:12]
+        return f"{self.folder}_index/{model}-{self.table.manifest()['version']:020d}"
+
+    def build_index(self) -> VectorIndex:
+        """Indexes the vectors of the last version; ``search`` uses the index until the base changes. Indexes of former versions go."""
+        folder = self._index_folder()
+        if not storage.exists(self.spark, f"{folder}/about.json"):
+            storage.delete(self.spark, folder)  # what an interrupted build left
+            VectorIndex.build(self.chunks().select(F.col("chunk_id").alias("id"), "embedding"), folder, dim=self.config.embedding_dim)
+        parent, name = folder.rsplit("/", 1)
+        for other in storage.names(self.spark, parent):
+            if other[:13] == name[:13] and other < name:
+                storage.delete(self.spark, f"{parent}/{other}")
+        return VectorIndex(self.spark, folder)
+
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """The k nearest chunks of ``queries`` (query_id, text): rank, distance, content, metadata, source, title."""
+        """The k nearest chunks of ``queries`` (query_id, text): rank, distance, content, metadata, source, title.
+
+        With an index of the last version only blocks in reach are read, else all chunks; the rows are the same.
+        """
         if not queries.where(~T.not_blank(F.col("text"))).isEmpty():
             raise ValueError("a query is empty")
         asked = embedded(queries.select("query_id", "text"), self.provider, self.config.embedding_dim, ledger=self.ledger)
         asked = storage.keep(asked.select("query_id", "embedding"), f"{storage.scratch(self.spark)}/asked")
-        base = self.chunks().withColumn("id", F.xxhash64("chunk_id"))
-        hits = S.top_k(asked, base, k or self.config.top_k)
+        base, k, folder = self.chunks().withColumnRenamed("chunk_id", "id"), k or self.config.top_k, self._index_folder()
+        indexed = storage.exists(self.spark, f"{folder}/about.json")
+        hits = VectorIndex(self.spark, folder).search(asked, k) if indexed else S.top_k(asked, base.select("id", "embedding"), k)
         joined = hits.join(base.select("id", "text", "metadata"), "id")
         return joined.select(
             "query_id", "rank", "distance", F.col("text").alias("content"), "metadata", S.hit_source(F.col("metadata")).alias("source"),

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tessella.plans import catalog, coverage  # noqa: F401  coverage adds to the catalog
+from tessella.plans import catalog, coverage, stored  # noqa: F401  coverage and stored add to the catalog
 
 SF = Path("/root/testdata/sf0.001")
 

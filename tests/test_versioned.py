@@ -139,3 +139,20 @@ def test_sources_indexed_again(spark, tmp_path):
     assert texts() == [("x", "short now"), ("z", "new")] and other.chunks().count() == 1
     kb.reset()
     assert kb.chunks().isEmpty()
+
+
+def test_search_by_an_index_of_the_version(spark, tmp_path):
+    kb = KnowledgeBase(spark, f"file://{tmp_path}/kb")
+    kb.add(docs(spark, *[(f"k{i}", f"text about subject number {i} and {i * 7}") for i in range(40)]))
+    asked = spark.createDataFrame([("q1", "subject number 3"), ("q2", "text 21")], "query_id string, text string")
+    rows = lambda: sorted((r.query_id, r["rank"], round(r.distance, 6), r.content) for r in kb.search(asked, 4).collect())
+    flat = rows()
+    index = kb.build_index()
+    assert index.about["rows"] == 40 and rows() == flat
+    (tmp_path / "kb_index").rename(tmp_path / "hidden")
+    assert rows() == flat
+    (tmp_path / "hidden").rename(tmp_path / "kb_index")
+    kb.add(docs(spark, ("new", "subject number 3")))
+    assert rows()[0][2:] == (0.0, "subject number 3")  # the index of the former version isn't asked
+    assert kb.build_index().about["rows"] == 41 and len(list((tmp_path / "kb_index").iterdir())) == 1
+    assert rows()[0][2:] == (0.0, "subject number 3") and [r[3] for r in rows()[1:4]] == [r[3] for r in flat[:3]]

@@ -1,4 +1,4 @@
-"""python -m tessella seed --kb DIR (--pages DIR | --sitemap URL --base URL) [--max-pages N] [--concurrency N] [--clear]"""
+"""python -m tessella seed --kb DIR (--pages DIR | --sitemap URL --base URL) [--checkpoint DIR] [--max-pages N] [--concurrency N] [--clear]"""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from .clients import HttpFetcher
 from .config import EngineConfig
 from .plans.engine import Engine
 from .sources import pages
+from .streaming import ingest
 
 
 def main(args: list[str] | None = None) -> int:
@@ -21,6 +22,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--sitemap", action="append", default=[], help="address of a sitemap; may be repeated")
     p.add_argument("--base", action="append", default=[], help="start of the addresses in scope; the first is read if no sitemap is")
     p.add_argument("--cache", help="folder of pages read before, which pages read now are added to (default: beside the base)")
+    p.add_argument("--checkpoint", help="read only pages that changed since the last run with this folder, a host at a time")
     p.add_argument("--max-pages", type=int, default=0)
     p.add_argument("--concurrency", type=int, default=10)
     p.add_argument("--delay", type=float, default=0.2)
@@ -32,7 +34,13 @@ def main(args: list[str] | None = None) -> int:
     engine = Engine(spark, a.kb, EngineConfig(crawl_max_pages=a.max_pages, crawl_concurrency=a.concurrency))
     if a.clear:
         engine.kb.reset()
-    found = {}
+    found: dict = {}
+    if a.checkpoint:
+        options = {"sitemaps": " ".join(a.sitemap), "base": " ".join(a.base), "delay": str(a.delay)}
+        for row in ingest.ingest_site(spark, options, engine.kb, a.checkpoint, report=print):
+            found = {k: found.get(k, 0) + v for k, v in row.items() if k != "batch"}
+        print({**found, **engine.kb.status().first().asDict()})
+        return 0
     if a.pages:
         raw = spark.read.parquet(a.pages)
         if a.max_pages > 0:  # in the order of the sitemap, if the landed pages know it
@@ -41,8 +49,8 @@ def main(args: list[str] | None = None) -> int:
     else:
         fetcher = HttpFetcher(delay=a.delay)
         urls = pages.seed_urls(spark, a.sitemap, fetcher, a.base, a.base[0])
-        crawled, failed = pages.read_through(urls, a.cache or f"{a.kb.rstrip('/')}_pages", fetcher, a.max_pages, a.concurrency)
-        found = {"found": urls.count(), "failed": failed.count()}
+        cache = a.cache or f"{a.kb.rstrip('/')}_pages"
+        crawled, _ = pages.read_through(urls, cache, fetcher, a.max_pages, a.concurrency, metrics=found)
     print({**found, **engine.ingest_pages(crawled)})
     return 0
 

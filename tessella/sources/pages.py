@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -177,19 +177,26 @@ def crawl(urls: DataFrame, cache: DataFrame, fetcher: Fetcher, max_pages: int =
 
 
 def read_through(
-    urls: DataFrame, folder: str, fetcher: Fetcher, max_pages: int = 0, concurrency: int = 10, parity: bool = False, least: int = 50
-) -> tuple[DataFrame, DataFrame]:
+    urls: DataFrame, folder: str, fetcher: Fetcher, max_pages: int = 0, concurrency: int = 10, parity: bool = False, least: int = 50,
+    metrics: dict | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Pages of ``urls`` (ord, url) by the page cache in ``folder``, and the errors (url, error) of those not read.
 
     What is not cached is fetched once, written to the cache, errors beside it, and read back: evaluating
     the result again fetches nothing. Failures and pages without content are fetched again next time.
+    ``metrics`` is given the counts found, cached, fetched and failed, observed in the passes that write.
     """
     spark = urls.sparkSession
     cache = read_cache(spark, folder) if storage.names(spark, folder) else spark.createDataFrame([], CRAWLED_PAGE)
     base = storage.scratch(spark)
-    hits, misses = split_by_cache(storage.keep(urls.select("ord", "url"), f"{base}/urls"), cache, max_pages)
-    hits = storage.keep(hits, f"{base}/hits")  # before the cache grows
-    read = storage.keep(fetched(misses, fetcher, concurrency, parity), f"{base}/read")
+    listed, cached, crawled = Observation("listed"), Observation("cached"), Observation("crawled")
+    urls = storage.keep(urls.select("ord", "url").observe(listed, F.count(F.lit(1)).alias("found")), f"{base}/urls")
+    hits, misses = split_by_cache(urls, cache, max_pages)
+    hits = storage.keep(hits.observe(cached, F.count(F.lit(1)).alias("cached")), f"{base}/hits")  # before the cache grows
+    counted = [F.count_if(F.col("error").isNull()).alias("fetched"), F.count_if(F.col("error").isNotNull()).alias("failed")]
+    read = storage.keep(fetched(misses, fetcher, concurrency, parity).observe(crawled, *counted), f"{base}/read")
+    if metrics is not None:
+        metrics |= listed.get | cached.get | crawled.get
     good = read.where("error is null").drop("error")
     failed = read.where("error is not null").select("url", "error")
     write_cache(good.drop("ord").where("content <> ''"), folder)

@@ -175,5 +175,7 @@ def test_pages_are_written_through(spark, provider, tmp_path):
     assert [x.rsplit("/")[-1] for x in provider.asked("page")] == ["a", "b", "bad", "bad", "c", "d"]
     (tmp_path / "pages" / "single.json").write_text(json.dumps({"url": "https://e.example/z", "title": "t", "content": "z" * 60}, indent=2))
     assert pages.read_cache(spark, folder).count() == 6
-    got, _ = pages.read_through(more, folder, provider, max_pages=2)
+    counts = {}
+    got, _ = pages.read_through(more, folder, provider, max_pages=2, metrics=counts)
+    assert counts == {"found": 5, "cached": 2, "fetched": 0, "failed": 0}
     assert [r.ord for r in got.orderBy("ord").collect()] == [0, 1] and len(provider.asked("page")) == 6

@@ -6,7 +6,10 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
+from tessella import __main__ as command
+from tessella.plans.kb import KnowledgeBase
 from tessella.sources import web
+from tessella.streaming.ingest import ingest_site
 
 
 class Site(BaseHTTPRequestHandler):
@@ -98,3 +101,25 @@ def test_stream_starts_again(spark, root, tmp_path):
     Site.log.clear()
     assert run() == sorted([*first, "/docs/2", "/docs/moved"])
     assert not [p for _, p in Site.log if p.startswith("/docs")]  # nothing changed, no page is read
+
+
+def test_site_is_indexed_as_it_changes(spark, root, tmp_path):
+    """Counts come from the pass that reads; unchanged pages are neither read nor indexed again."""
+    kb, reported = KnowledgeBase(spark, f"file://{tmp_path}/kb"), []
+    settings = {"sitemaps": f"{root}/index.xml", "base": f"{root}/docs", "delay": "0", "wait": "0"}
+    told = ingest_site(spark, settings, kb, f"{tmp_path}/at", reported.append)
+    assert told == reported and [{k: r[k] for k in ("found", "crawled", "failed", "short")} for r in told if r["found"]] == [{"found": 4, "crawled": 3, "failed": 1, "short": 0}]
+    assert sorted(r.doc_key.removeprefix(root) for r in kb.chunks().collect()) == ["/docs/1", "/docs/busy", "/docs/moved"]
+    assert spark.read.json(f"{tmp_path}/at_errors").first().url == f"{root}/docs/gone"
+    before = kb.table.manifest()["version"]
+    Site.log.clear()
+    Site.listed[0] = ("/docs/1", "2025-01-01")
+    told = ingest_site(spark, settings, kb, f"{tmp_path}/at")
+    assert sum(r["found"] for r in told) == 1 and [p for _, p in Site.log if p.startswith("/docs")] == ["/docs/1"]
+    assert kb.table.manifest()["version"] == before  # the page was read, its text is the same
+
+
+def test_seed_command_by_checkpoint(spark, root, tmp_path, capsys):
+    args = ["seed", "--kb", f"{tmp_path}/kb", "--sitemap", f"{root}/index.xml", "--base", f"{root}/docs", "--delay", "0", "--checkpoint", f"{tmp_path}/at"]
+    assert command.main(args) == 0
+    assert "'found': 4, 'crawled': 3, 'failed': 1" in capsys.readouterr().out

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..config import EngineConfig
 from ..functions import text as T
 from ..functions.model_json import confidence, field, items_of, parse
 from ..ledger import CallLedger
 from ..providers import LLMProvider, completed
+from . import answers as A
 from . import search as S
 from . import verdicts as V
 
@@ -66,17 +68,19 @@ def records(answers: Column) -> Column:
     return run(answers)
 
 
-def extract_requirements(documents: DataFrame, llm: LLMProvider, size: int = 6000, ledger: CallLedger | None = None) -> DataFrame:
+def extract_requirements(documents: DataFrame, llm: LLMProvider, size: int = 6000, ledger: CallLedger | None = None, quarantine: str | None = None) -> DataFrame:
     """Requirements of ``documents`` (document_name, text): packed to chunks, asked for, cleaned, numbered.
 
-    Texts under three characters are left out and take no number; unknown categories become 'other'.
+    Texts under three characters are left out and take no number; unknown categories become 'other'. Answers
+    that can't be read are appended to the table ``quarantine`` (document_name, chunk, answer, error), if given.
     """
     parts = documents.select("document_name", F.posexplode(T.packed(F.col("text"), size)).alias("chunk", "part"))
     asked = completed(parts.select("document_name", "chunk", filled(EXTRACT, text=F.col("part")).alias("prompt")), llm, ledger=ledger)
-    found = asked.select("document_name", "chunk", F.posexplode(records(F.col("answer"))).alias("item", "r"))
-    good = found.select(
-        "document_name", "chunk", "item", "r.section", "r.text", V.valid_category(F.col("r.category")).alias("category"), "r.tables"
-    ).where(F.length("text") >= 3)
+    asked = storage.keep(asked.select("document_name", "chunk", "answer"), f"{storage.scratch(documents.sparkSession)}/asked")
+    found, failed = A.records(asked, "answer", ALIASES)
+    if quarantine:
+        A.quarantine(failed, quarantine)
+    good = found.withColumn("category", V.valid_category(F.col("category"))).where(F.length("text") >= 3)
     return numbered(good)
 
 

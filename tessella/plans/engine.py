@@ -44,7 +44,7 @@ class Engine:
 
     def extract(self, path: str) -> DataFrame:
         documents = files.to_documents(files.read_files(self.spark, path)).withColumnRenamed("doc_key", "document_name")
-        return R.extract_requirements(documents, self.llm, self.config.extraction_chunk, self.ledger)
+        return R.extract_requirements(documents, self.llm, self.config.extraction_chunk, self.ledger, f"{self.kb.folder}_quarantine")
 
     def rag_hits(self, requirements: DataFrame) -> DataFrame:
         """The nearest chunks of each requirement."""

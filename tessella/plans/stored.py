@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..config import EngineConfig
+from ..operators import answers as A
+from ..operators import requirements as R
 from .catalog import _KNN, _L2, ORACLE_SQL, query, table
 from .kb import KnowledgeBase
 from .vector_index import VectorIndex
@@ -53,3 +55,15 @@ def kb_index_topk_l2(spark, sf_dir):
 @query(ORACLE_SQL["kb_topk_cosine"])
 def kb_index_topk_cosine(spark, sf_dir):
     return _indexed(spark, sf_dir, "cosine")
+
+
+@query("""
+SELECT event_id, event_type AS section, upper(event_type) AS text, event_id::varchar AS tables FROM events WHERE event_id % 3 <> 2
+""")
+def json_answer_records(spark, sf_dir):
+    """Records of answers of which a third are plain JSON, a third have talk and a trailing comma, a third can't be read."""
+    record = F.to_json(F.struct(F.col("event_type").alias("Clause"), F.lit(" ").alias("text"), F.upper("event_type").alias("Requirement"), F.col("event_id").alias("table")))
+    m = F.col("event_id") % 3
+    said = F.when(m == 0, F.concat(F.lit("["), record, F.lit(", 7]"))).when(m == 1, F.concat(F.lit('Here: {"requirements": ['), record, F.lit(",]}"))).otherwise(F.concat(record, record))
+    found, _ = A.records(table(spark, sf_dir, "events").select("event_id", said.alias("answer")), "answer", R.ALIASES)
+    return found.select("event_id", "section", "text", "tables")

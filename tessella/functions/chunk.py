@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 #: Separators, from the strongest to none.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -61,3 +63,25 @@ def chunks(text: Column, size: int = 500, overlap: int = 80) -> Column:
         return pd.Series([split(x, size, overlap) if x and x.strip() else [] for x in column], dtype=object)
 
     return run(text)
+
+
+class RecursiveChunks:
+    """The table function recursive_chunks(text, size, overlap): rows (pos, chunk), sizes 500 and 80 by default."""
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, size: AnalyzeArgument | None = None, overlap: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not isinstance(text.dataType, StringType):
+            raise ValueError("the first argument is a text")
+        for name, given, least in (("size", size, 1), ("overlap", overlap, 0)):
+            if given is not None and (not given.isConstantExpression or given.value is None or given.value < least):
+                raise ValueError(f"{name} is a constant of {least} or more")
+        return AnalyzeResult(StructType().add("pos", IntegerType()).add("chunk", StringType()))
+
+    def eval(self, text, size=500, overlap=80):
+        if text and text.strip():
+            yield from enumerate(split(text, size, overlap))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the table functions of the package known to the session's SQL, for use with LATERAL."""
+    spark.udtf.register("recursive_chunks", F.udtf(RecursiveChunks))

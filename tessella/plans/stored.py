@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..config import EngineConfig
+from ..ledger import CallLedger
 from ..operators import answers as A
 from ..operators import requirements as R
+from ..providers import completed
+from ..sources import pages as P
+from ..streaming import state
+from ..streaming.landing import Landing
 from .catalog import _KNN, _L2, ORACLE_SQL, query, table
 from .kb import KnowledgeBase
 from .vector_index import VectorIndex
@@ -61,9 +66,82 @@ def kb_index_topk_cosine(spark, sf_dir):
 SELECT event_id, event_type AS section, upper(event_type) AS text, event_id::varchar AS tables FROM events WHERE event_id % 3 <> 2
 """)
 def json_answer_records(spark, sf_dir):
-    """Records of answers of which a third are plain JSON, a third have talk and a trailing comma, a third can't be read."""
+    """Records of answers of which a third are plain JSON, a third have talk, a fence and a trailing comma, a third can't be read."""
     record = F.to_json(F.struct(F.col("event_type").alias("Clause"), F.lit(" ").alias("text"), F.upper("event_type").alias("Requirement"), F.col("event_id").alias("table")))
     m = F.col("event_id") % 3
-    said = F.when(m == 0, F.concat(F.lit("["), record, F.lit(", 7]"))).when(m == 1, F.concat(F.lit('Here: {"requirements": ['), record, F.lit(",]}"))).otherwise(F.concat(record, record))
+    said = F.when(m == 0, F.concat(F.lit("["), record, F.lit(", 7]"))).when(m == 1, F.concat(F.lit('Here:\n```json\n{"requirements": ['), record, F.lit(",]}\n```"))).otherwise(F.concat(record, record))
     found, _ = A.records(table(spark, sf_dir, "events").select("event_id", said.alias("answer")), "answer", R.ALIASES)
     return found.select("event_id", "section", "text", "tables")
+
+
+@query("""
+WITH d AS (SELECT doc_id::varchar AS doc_key, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t, source FROM documents),
+c AS (SELECT *, md5(doc_key || chr(31) || '0' || chr(31) || t) AS id FROM d WHERE t <> ''),
+r AS (
+  SELECT item_id AS query_id, c.*, ((length(c.t) - length(b.text)) * (length(c.t) - length(b.text)))::double AS distance,
+    row_number() OVER (PARTITION BY item_id ORDER BY abs(length(c.t) - length(b.text)), id)::int AS rank
+  FROM c, benchmark b
+)
+SELECT query_id, rank, distance, md5(t) AS content, source, 'title of ' || doc_key AS title FROM r WHERE rank <= 3
+""")
+def kb_search_endpoint(spark, sf_dir):
+    """Whole texts embedded by a provider and added, then searched for benchmark items by the base's index."""
+    base = KnowledgeBase(spark, f"{storage.scratch(spark)}/kb", EngineConfig(chunk_size=10**9, chunk_overlap=0, embedding_dim=1, embedding_model="sizes"), Sizes())
+    key = F.col("doc_id").cast("string")
+    metadata = F.create_map(F.lit("source"), F.col("source"), F.lit("title"), F.concat(F.lit("title of "), key)).alias("metadata")
+    base.add(table(spark, sf_dir, "documents").select(key.alias("doc_key"), "text", metadata))
+    base.build_index()
+    found = base.search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 3)
+    return found.select("query_id", "rank", "distance", F.md5("content").alias("content"), "source", "title")
+
+
+class Echo:
+    """A model that says what it was asked."""
+
+    identity = "echo"
+
+    def complete(self, prompts):
+        return [f"asked: {p}" for p in prompts]
+
+
+@query("SELECT conv_id, turn, 'asked: ' || role AS answer FROM conversations")
+def ledger_answers(spark, sf_dir):
+    """Answers by the call ledger: a prompt of many rows is asked once."""
+    ledger = CallLedger(spark, f"{storage.scratch(spark)}/ledger")
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("prompt"))
+    return completed(asked, Echo(), ledger=ledger).select("conv_id", "turn", "answer")
+
+
+@query("SELECT url, 'page ' || page_id::varchar AS title, md5(html) AS content FROM pages WHERE html <> ''")
+def page_cache_roundtrip(spark, sf_dir):
+    """Pages written to the cache and read back."""
+    folder = f"{storage.scratch(spark)}/cache"
+    title = F.concat(F.lit("page "), F.col("page_id").cast("string"))
+    found = table(spark, sf_dir, "pages").select("url", title.alias("title"), F.array(title).alias("breadcrumbs"), F.col("html").alias("content"), title.alias("section_path"))
+    P.write_cache(found, folder)
+    return P.read_cache(spark, folder).select("url", "title", F.md5("content").alias("content"))
+
+
+@query("""
+WITH u AS (SELECT DISTINCT doc_id % 50 AS n, sha256(text) AS sha256, strlen(text)::bigint AS bytes FROM documents)
+SELECT substr(sha256, 1, 16) || '_upload_' || n::varchar || '.txt' AS name, sha256, bytes FROM u
+""")
+def upload_landing(spark, sf_dir):
+    """Documents as uploads under fifty names, landed in two batches of which one comes twice."""
+    landing = Landing(spark, f"{storage.scratch(spark)}/landing")
+    n = (F.col("doc_id") % 50).cast("string")
+    given = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("dir/upload "), n, F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
+    for number in (0, 1, 0):
+        landing.land(given.where(F.col("doc_id") % 2 >= number), number)
+    return landing.files().select("name", "sha256", "bytes")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) < 14400 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts)::bigint AS session FROM g)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, session
+""")
+def ingest_session_windows(spark, sf_dir):
+    """Sessions by session windows, as a stream gives them too."""
+    found = state.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "240 minutes")
+    return found.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")

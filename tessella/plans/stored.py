@@ -67,7 +67,7 @@ SELECT event_id, event_type AS section, upper(event_type) AS text, event_id::var
 """)
 def json_answer_records(spark, sf_dir):
     """Records of answers of which a third are plain JSON, a third have talk, a fence and a trailing comma, a third can't be read."""
-    record = F.to_json(F.struct(F.col("event_type").alias("Clause"), F.lit(" ").alias("text"), F.upper("event_type").alias("Requirement"), F.col("event_id").alias("table")))
+    record = F.to_json(F.struct(F.col("event_type").alias("Clause"), F.lit(" ").alias("text"), F.upper("event_type").alias("Requirement"), F.col("event_id").cast("string").alias("table")))
     m = F.col("event_id") % 3
     said = F.when(m == 0, F.concat(F.lit("["), record, F.lit(", 7]"))).when(m == 1, F.concat(F.lit('Here:\n```json\n{"requirements": ['), record, F.lit(",]}\n```"))).otherwise(F.concat(record, record))
     found, _ = A.records(table(spark, sf_dir, "events").select("event_id", said.alias("answer")), "answer", R.ALIASES)

@@ -35,8 +35,8 @@ PIECE = 1 << 18
 CELL, PART, GRAM = 48, 16, 96
 #: Later offsets whose pointers refine the buckets, and the depth reached.
 LATER = ((96, 192), (144, 336))
-#: Sampled suffixes of a run, at most; a pointer is run x this + index.
-POINTS = 16
+#: Bytes of the longest strings that are told apart.
+LONGEST = 8192
 #: Parts of a cell.
 PARTS = CELL // PART
 _TABLE = np.random.default_rng(977).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,6 +44,15 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 20) - 1)
 
 
+def packing(length: int, short: int, q: int) -> tuple[int, int]:
+    """Sampled suffixes and starts of a run, at most: a pointer is run x the one + index.
+
+    An anchor is within ``short - q`` bytes of each of its run's starts, so a run has no more starts than that and one.
+    """
+    starts = short - q + 1
+    return (starts - 1 + length - GRAM) // CELL + 1, starts
+
+
 def gram_ids(raw: np.ndarray, q: int) -> np.ndarray:
     """64-bit identifiers of the q-grams at all positions, by doubling; q is a power of two."""
     ids, have = _TABLE[raw], 1
@@ -143,7 +152,7 @@ def _find_runs(length: int, short: int, q: int):
                 end = np.where(size - at >= length, end, at + more + short)
                 keys = [
                     xxhash.xxh3_128_digest(texts[i][a:b], s)
-                    for i, a, b, s in zip(index.tolist(), at.tolist(), end.tolist(), (ahead * 4096 + more).tolist(), strict=True)
+                    for i, a, b, s in zip(index.tolist(), at.tolist(), end.tolist(), (ahead * 2**20 + more).tolist(), strict=True)
                 ]
                 take = pa.array(index)
                 yield pa.RecordBatch.from_arrays(
@@ -181,16 +190,20 @@ def _contexts(length: int):
     return run
 
 
-def _grams(batches):
+def _grams(points: int):
     """The initial buckets: digests of the q-grams at the sampled suffixes, by their distance to the anchor."""
-    for batch in C.slices(batches):
-        runs, ahead, bucket = (batch.column(n).to_pylist() for n in ("run", "ahead", "bucket"))
-        points, keys = [], []
-        for r, near, b, data in zip(runs, ahead, bucket, batch.column("bytes").to_pylist(), strict=True):
-            for i, at in enumerate(range(near % CELL, len(data) - GRAM + 1, CELL)):
-                points.append(r * POINTS + i)
-                keys.append(xxhash.xxh3_128_digest(data[at : at + GRAM], (b + near // CELL - i) & (2**64 - 1)))
-        yield pa.RecordBatch.from_arrays([pa.array(points, pa.int64()), _digests(keys)], names=["point", "gram"])
+
+    def run(batches):
+        for batch in C.slices(batches):
+            runs, ahead, bucket = (batch.column(n).to_pylist() for n in ("run", "ahead", "bucket"))
+            places, keys = [], []
+            for r, near, b, data in zip(runs, ahead, bucket, batch.column("bytes").to_pylist(), strict=True):
+                for i, at in enumerate(range(near % CELL, len(data) - GRAM + 1, CELL)):
+                    places.append(r * points + i)
+                    keys.append(xxhash.xxh3_128_digest(data[at : at + GRAM], (b + near // CELL - i) & (2**64 - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), _digests(keys)], names=["point", "gram"])
+
+    return run
 
 
 def _cell_of(ahead: int, more: int, cell: int) -> range:
@@ -199,7 +212,7 @@ def _cell_of(ahead: int, more: int, cell: int) -> range:
     return range(max(0, at - PART + 1), min(at, more) + 1)
 
 
-def _cells(sizes: tuple[int, int]):
+def _cells(sizes: tuple[int, int], points: int):
     """Cells of the suffixes in buckets, for strings of both sizes: first start, number of starts, digest."""
 
     def run(batches):
@@ -215,7 +228,7 @@ def _cells(sizes: tuple[int, int]):
                             if len(own):
                                 key = data[own[0] : own[-1] + size]
                                 keys.append(xxhash.xxh3_128_digest(key, own[0] - ahead & 0xFFFF | len(own) << 16))
-                                cell = (level, PARTS * (r * POINTS + x["i"]) + part, PARTS * x["to"] + part, own[0], len(own), done)
+                                cell = (level, PARTS * (r * points + x["i"]) + part, PARTS * x["to"] + part, own[0], len(own), done)
                                 for column, value in zip(columns, cell, strict=True):
                                     column.append(value)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
@@ -227,8 +240,8 @@ def _cells(sizes: tuple[int, int]):
     return run
 
 
-def _strings(sizes: tuple[int, int]):
-    """Digests of the single strings of the cells asked for; ``at`` is run x 1024 + level x 512 + start."""
+def _strings(sizes: tuple[int, int], starts: int):
+    """Digests of the single strings of the cells asked for; ``at`` is (2 run + level) x starts + start."""
 
     def run(batches):
         for batch in C.slices(batches, 200):
@@ -239,9 +252,9 @@ def _strings(sizes: tuple[int, int]):
                     size = sizes[x["level"]]
                     for at in _cell_of(ahead, min(more, len(data) - size), x["cell"]):
                         done.append(x["done"])
-                        ats.append(r * 1024 + x["level"] * 512 + at)
-                        # Equal strings have one bucket, so it may be part of the digest.
-                        keys.append(xxhash.xxh3_128_digest(data[at : at + size], x["to"]))
+                        ats.append((2 * r + x["level"]) * starts + at)
+                        # Equal strings have one bucket, so it may be part of the digest; the size is, should both be one.
+                        keys.append(xxhash.xxh3_128_digest(data[at : at + size], 2 * x["to"] + x["level"] & 2**64 - 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ats, pa.int64()), pa.array(done, pa.bool_()), _digests(keys)], names=["at", "done", "key"]
             )
@@ -306,31 +319,32 @@ _CONTEXT = "doc_id long, th long, first long, more int, ahead int, bucket long,
 _SPANS = "array<struct<a: bigint, b: bigint>>"
 
 
-def _refined(points: DataFrame, by: list[str], path: str) -> DataFrame:
+def _refined(points: DataFrame, by: list[str], most: int, path: str) -> DataFrame:
     """One round: rows (run, buckets) with the new pointers ``to`` of the suffixes (index i) that share
     a bucket, that is, all columns ``by``, with others. The pointer of a bucket is its least suffix."""
     least = points.groupBy(*by).agg(F.count(F.lit(1)).alias("c"), F.min("point").alias("least")).where("c > 1").drop("c")
     named = points.join(least, by).select(
-        F.expr(f"point div {POINTS}").alias("run"), F.expr(f"cast(point % {POINTS} as int)").alias("i"), F.col("least").alias("to")
+        F.expr(f"point div {most}").alias("run"), F.expr(f"cast(point % {most} as int)").alias("i"), F.col("least").alias("to")
     )
-    # A run has at most POINTS suffixes.
+    # A run has at most that many suffixes.
     return C.keep(named.groupBy("run").agg(F.collect_list(F.struct("i", "to")).alias("buckets")), path)
 
 
-def _later(found: DataFrame, offset: int) -> DataFrame:
+def _later(found: DataFrame, offset: int, most: int) -> DataFrame:
     """Rows (point, to, later): suffixes with their pointer and that of the suffix ``offset`` bytes on."""
     ahead = found.withColumn("by", F.map_from_entries("buckets")).select("run", "by", F.explode("buckets").alias("x"))
     later = F.element_at("by", F.col("x.i") + offset // CELL)
     return ahead.select(
-        (F.col("run") * POINTS + F.col("x.i")).alias("point"), F.col("x.to").alias("to"), later.alias("later")
+        (F.col("run") * most + F.col("x.i")).alias("point"), F.col("x.to").alias("to"), later.alias("later")
     ).where("later is not null")
 
 
-def _counted(context: DataFrame, found: DataFrame, sizes: tuple[int, int], folder: str) -> DataFrame:
+def _counted(context: DataFrame, found: DataFrame, sizes: tuple[int, int], pack: tuple[int, int], folder: str) -> DataFrame:
     """Rows (run, level, start, starts): repeated strings of either size of runs that have suffixes in buckets."""
     spark = context.sparkSession
+    points, starts = pack
     kinds = "level int, cell long, to long, start int, starts int, done boolean, key binary"
-    cells = C.keep(context.join(found, "run").mapInArrow(_cells(sizes), kinds), f"{folder}/cells")
+    cells = C.keep(context.join(found, "run").mapInArrow(_cells(sizes, points), kinds), f"{folder}/cells")
     groups = cells.groupBy("level", "to", "key").agg(
         F.count(F.lit(1)).alias("c"), F.min("cell").alias("one"), F.max("done").alias("done")
     )
@@ -338,20 +352,20 @@ def _counted(context: DataFrame, found: DataFrame, sizes: tuple[int, int], folde
     C.release(spark)
     again = groups.where("c > 1").select("level", "to", "key")
     whole = cells.where("not done").join(again, ["level", "to", "key"])
-    whole = whole.select(F.expr(f"cell div {PARTS * POINTS}").alias("run"), "level", "start", "starts")
+    whole = whole.select(F.expr(f"cell div {PARTS * points}").alias("run"), "level", "start", "starts")
     known = F.col("done") | (F.col("c") > 1)
     open_ = groups.groupBy("level", "to").agg(F.count(F.lit(1)).alias("n"), F.min(known).alias("all"))
     asked = groups.join(open_.where("n > 1 and not all").select("level", "to"), ["level", "to"]).select(
-        F.expr(f"one div {PARTS * POINTS}").alias("run"),
-        F.struct("level", F.expr(f"cast(one % {PARTS * POINTS} as int)").alias("cell"), "to", known.alias("done")).alias("cell"),
+        F.expr(f"one div {PARTS * points}").alias("run"),
+        F.struct("level", F.expr(f"cast(one % {PARTS * points} as int)").alias("cell"), "to", known.alias("done")).alias("cell"),
     )
     asked = asked.groupBy("run").agg(F.collect_list("cell").alias("cells"))
-    strings = context.join(asked, "run").mapInArrow(_strings(sizes), "at long, done boolean, key binary")
+    strings = context.join(asked, "run").mapInArrow(_strings(sizes, starts), "at long, done boolean, key binary")
     strings = C.keep(strings, f"{folder}/strings")
     twice = strings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     single = strings.where("not done").join(twice, "key").select(
-        F.expr("at div 1024").alias("run"), F.expr("cast(at % 1024 div 512 as int)").alias("level"),
-        F.expr("cast(at % 512 as int)").alias("start"), F.lit(1).alias("starts"),
+        F.expr(f"at div {2 * starts}").alias("run"), F.expr(f"cast(at % {2 * starts} div {starts} as int)").alias("level"),
+        F.expr(f"cast(at % {starts} as int)").alias("start"), F.lit(1).alias("starts"),
     )
     spans = C.keep(whole.union(single), f"{folder}/spans")
     for x in ("cells", "equal", "strings"):
@@ -366,10 +380,13 @@ def repeated_spans(
     ``length`` bytes, and by strings of ``short``, that start anywhere else too.
 
     q < short <= length, a power of two; short >= 239 and length >= 383, so that the depths of the
-    refinement fit in.
+    refinement fit in, and length <= 8192.
     """
     if short < LATER[0][1] + CELL - 1 or length < LATER[1][1] + CELL - 1 or not q < short <= length:
         raise ValueError("strings are too short for the depths of the refinement")
+    if length > LONGEST:
+        raise ValueError(f"strings are longer than {LONGEST} bytes")
+    pack = packing(length, short, q)
     spark = docs.sparkSession
     kept = C.scratch(spark)
     folder = f"{kept}/work"
@@ -405,12 +422,12 @@ def repeated_spans(
     context = texts.select("d.doc_id", "d.th", "d.text", "a.asked").mapInArrow(_contexts(length), _CONTEXT)
     # Repeated rows are asked twice; what stands for them is done, so that their strings only mark others.
     context = C.keep(context.withColumn("run", F.monotonically_increasing_id()), f"{folder}/context")
-    found = [_refined(context.mapInArrow(_grams, "point long, gram binary"), ["gram"], f"{folder}/round0")]
+    found = [_refined(context.mapInArrow(_grams(pack[0]), "point long, gram binary"), ["gram"], pack[0], f"{folder}/round0")]
     for i, (offset, _) in enumerate(LATER):
-        found.append(_refined(_later(found[-1], offset), ["to", "later"], f"{folder}/round{i + 1}"))
+        found.append(_refined(_later(found[-1], offset, pack[0]), ["to", "later"], pack[0], f"{folder}/round{i + 1}"))
     C.release(spark)
     both = found[1].withColumnRenamed("buckets", "short").join(found[2].withColumnRenamed("buckets", "long"), "run", "left")
-    spans = _counted(context, both, (short, length), folder).join(context.select("run", "doc_id", "th", "first"), "run")
+    spans = _counted(context, both, (short, length), pack, folder).join(context.select("run", "doc_id", "th", "first"), "run")
     start, end = F.col("first") + F.col("start"), F.col("first") + F.col("start") + F.col("starts") - 1
     spans = whole.union(
         spans.select(

@@ -15,6 +15,10 @@ from . import common as C
 
 #: Digits of md5 that make a uniform number; 16^13 = 2^52 is exact in a double.
 DIGITS = 13
+#: Means up to which terms are added from 0 on.
+SMALL_MEAN = 1000.0
+#: Rate from which on the copies of a document are dealt over tasks before they are made, and copies of a lot.
+HEAVY, LOT = 1_000_000.0, 100_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -23,11 +27,16 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_count(mean: Column, u: Column) -> Column:
-    """The Poisson distribution with this mean, inverted at u: how many of P(X <= 0), P(X <= 1), ... are at most u.
+    """The Poisson distribution with this mean, inverted at u: how many of P(X <= 0), P(X <= 1), ... are at most u. A long.
 
-    The terms go as far as a double can tell from 1. One fold, without arrays of them: documents of a
-    source with n rows take rate x n steps together, which is the number of copies that they make.
+    The terms go as far as a double can tell from 1. One fold, without sums of logarithms where they would drift:
+    up to SMALL_MEAN from 0 on, beyond from twelve standard deviations below the mean, each term by itself. So a
+    document takes some 24 sqrt(mean) steps at most, fewer than the copies that it makes.
     """
+    return F.when(u <= 0, F.lit(0)).when(mean <= 0, F.lit(0)).when(mean <= SMALL_MEAN, _from_zero(mean, u)).otherwise(_from_below(mean, u)).cast("long")
+
+
+def _from_zero(mean: Column, u: Column) -> Column:
     terms = F.sequence(F.lit(0), (mean + 12 * F.sqrt(mean) + 30).cast("int"))
     # What all steps share stands in the accumulator, so that it is evaluated once for a document.
     start = F.struct(
@@ -40,7 +49,35 @@ def poisson_count(mean: Column, u: Column) -> Column:
         n = acc["n"] + F.when(total <= acc["u"], 1).otherwise(0)
         return F.struct(now.alias("log_p"), total.alias("sum"), n.alias("n"), acc["u"].alias("u"), acc["log_mean"].alias("log_mean"))
 
-    return F.when(mean > 0, F.aggregate(terms, start, step, lambda acc: acc["n"])).otherwise(F.lit(0))
+    return F.aggregate(terms, start, step, lambda acc: acc["n"])
+
+
+def _term(k: Column, mean: Column) -> Column:
+    """P(X = k) for a large k near the mean, by Stirling's series and the deviance, whose leading parts cancel in no subtraction."""
+    d = k - mean
+    v = d / (k + mean)
+    series, square = F.lit(0.0), v * v
+    for j in range(12, 0, -1):
+        series = square * (F.lit(1.0 / (2 * j + 1)) + series)
+    deviance = d * v + 2 * k * v * series
+    rest = 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * k * k * k * k * k)
+    return F.exp(-rest - deviance) / F.sqrt(2 * F.pi() * k)
+
+
+def _from_below(mean: Column, u: Column) -> Column:
+    """The terms below the first one together are less than any u above 0 that a double hash can draw."""
+    reach = 12 * F.sqrt(mean) + 30
+    first = F.floor(mean - reach).cast("long")
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("low"), first.alias("n"), u.alias("u"), mean.alias("mean"))
+
+    def step(acc, k):
+        # The sum carries what its roundings lose.
+        term = _term(k.cast("double"), acc["mean"]) - acc["low"]
+        total = acc["sum"] + term
+        n = acc["n"] + F.when(total <= acc["u"], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.struct(total.alias("sum"), ((total - acc["sum"]) - term).alias("low"), n.alias("n"), acc["u"].alias("u"), acc["mean"].alias("mean"))
+
+    return F.aggregate(F.sequence(first, F.ceil(mean + reach).cast("long")), start, step, lambda acc: acc["n"])
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -72,8 +109,9 @@ def mix_sources(
 ) -> DataFrame:
     """Replicates ``docs`` (doc_id, source, ...) to the target weights and shuffles the copies.
 
-    Returns the columns of docs and copy (1, 2, ...) and order_key (a double in [0, 1); ascending
-    within every partition). Rows that share a doc_id get the same count. A null doc_id counts as
+    Returns the columns of docs and copy (1, 2, ..., an int, or a long if a source's rate is beyond 1e9)
+    and order_key (a double in [0, 1); ascending within every partition). Copies of documents whose rate
+    is beyond HEAVY are dealt over tasks in lots before they are made. Rows that share a doc_id get the same count. A null doc_id counts as
     ''. Columns of docs with the names copy and order_key are replaced. The rates are broadcast up to
     ``broadcast_rows`` sources; beyond, rates are joined over 64 salts of each source. An empty
     table gives no rows.
@@ -85,15 +123,28 @@ def mix_sources(
         F.coalesce("source", F.lit("")).alias("__key"),
         ident.alias("__id"),
     )
-    if found.count() <= broadcast_rows:
+    told = found.agg(F.count(F.lit(1)).alias("n"), F.max("__rate").alias("most")).first()
+    most = told.most or 0.0
+    if told.n <= broadcast_rows:
         joined = marked.join(F.broadcast(found), F.expr("__key = __source"))
     else:
         marked = marked.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(64)))
         salted = found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(63))))
         joined = marked.join(salted, F.expr("__key = __source and __salt = __part"))
     u = uniform(F.lit(str(seed)), F.col("__id"))
-    copies = joined.withColumn("__n", poisson_count(F.col("__rate"), u)).where("__n > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    kind = "int" if most < 1e9 else "long"
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__n", poisson_count(F.col("__rate"), u).cast(kind)).where("__n > 0")
+
+    if most <= HEAVY:
+        copies = counted(joined).withColumn("copy", F.explode(F.sequence(F.lit(1).cast(kind), F.col("__n"))))
+    else:
+        light = counted(joined.where(F.col("__rate") <= HEAVY)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast(kind), F.col("__n"))))
+        lots = counted(joined.where(F.col("__rate") > HEAVY)).withColumn("__lot", F.explode(F.expr(f"sequence(0L, ({LOT} + __n - 1) div {LOT} - 1)")))
+        lots = lots.repartition("__id", "__lot")
+        own_lot = F.expr(f"sequence(cast(__lot * {LOT} + 1 as {kind}), cast(least(__n, (__lot + 1) * {LOT}) as {kind}))")
+        copies = light.unionByName(lots.withColumn("copy", F.explode(own_lot)).drop("__lot"))
     copies = copies.withColumn("order_key", uniform(F.lit(str(seed)), F.col("__id"), F.col("copy").cast("string")))
     own = [F.col(f"__row.`{c}`") for c in docs.columns if c.lower() not in ("copy", "order_key")]
     copies = copies.select(*own, "copy", "order_key")

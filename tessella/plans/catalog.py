@@ -194,8 +194,8 @@ def page_breadcrumb_path(spark, sf_dir):
 @query("""
 WITH words AS (
   SELECT item_id AS query_id, list_distinct_ordered.w AS keyword, list_distinct_ordered.i AS kw_ord
-  FROM (SELECT item_id, unnest(list_transform(range(1, least(5, len(ws)) + 1), lambda i: {'w': ws[i], 'i': i - 1})) AS list_distinct_ordered
-        FROM (SELECT item_id, list_transform(regexp_extract_all(lower(text), '([а-яёa-z]{4,})', 1), lambda w: substr(w, 1, 4)) AS ws FROM benchmark))
+  FROM (SELECT item_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'w': ws[i], 'i': i - 1})) AS list_distinct_ordered
+        FROM (SELECT item_id, regexp_extract_all(lower(text), '([а-яёa-z]{4,})', 1) AS ws FROM benchmark))
 ),
 paths AS (SELECT lower(replace(url, 'https://', '')) AS path, url, page_id AS ord FROM pages),
 hits AS (SELECT query_id, url, kw_ord, ord FROM words JOIN paths
@@ -205,10 +205,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, url, score, rank FROM ranked WHERE rank <= 10
 """)
 def keyword_url_match(spark, sf_dir, prefix=None):
-    """Keywords are the first four letters of words of the items, so that some occur in urls."""
+    """Keywords are all words of the items of four letters or more."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([а-яёa-z]{4,})"), F.lit(1))
-    few = F.slice(F.transform(words, lambda w: F.substring(w, 1, 4)), 1, 5)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(few).alias("kw_ord", "keyword"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(words).alias("kw_ord", "keyword"))
     urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), "url")
     return S.match_keywords(asked, S.url_index(urls, "https://"), 10, prefix)
 
@@ -487,11 +486,11 @@ def report_markdown(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT source AS document_name, doc_id, text FROM documents WHERE length(text) >= 20)
+WITH r AS (SELECT source AS document_name, doc_id, text FROM documents WHERE length(text) >= 3)
 SELECT document_name, doc_id, row_number() OVER (PARTITION BY document_name ORDER BY doc_id)::int AS id FROM r
 """)
 def requirement_ids(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 3)
     records = d.select(
         F.col("source").alias("document_name"), F.lit(0).alias("chunk"), F.col("doc_id").alias("item"), F.col("doc_id").alias("section"),
         F.lit("").alias("text"), F.lit("").alias("category"), F.lit("").alias("tables"),

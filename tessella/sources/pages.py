@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -23,8 +24,9 @@ _LOC = "/text()"
 def sitemap_urls(sitemaps: DataFrame, root: str) -> DataFrame:
     """Urls (ord, url) of a sitemap in landed ``sitemaps`` (url, xml): those of nested sitemaps first.
 
-    Levels are resolved by joins; a sitemap that was read before is not read again, so cycles end.
-    Order is depth-first, as a recursive reader would give; repeats stay.
+    Nesting is followed by a recursive query; a sitemap is not followed again below itself, so cycles end. It may
+    go as deep and as wide as spark.sql.cteRecursionLevelLimit and cteRecursionRowLimit let it (100 levels, a
+    million sitemaps). Order is depth-first, as a recursive reader would give; repeats stay.
     """
     spark = sitemaps.sparkSession
     sm = sitemaps.select(
@@ -32,30 +34,24 @@ def sitemap_urls(sitemaps: DataFrame, root: str) -> DataFrame:
         F.transform(F.xpath("xml", F.lit("/sitemapindex/sitemap/loc" + _LOC)), T.strip).alias("nested"),
         F.transform(F.xpath("xml", F.lit("/*/url/loc" + _LOC)), T.strip).alias("own"),
     )
-    level = spark.createDataFrame([(root, [], [root])], "at string, path array<int>, seen array<string>")
-    parts = []
-    while not level.isEmpty():
-        here = level.join(sm, "at")
-        # A nested sitemap's entries sort before the parent's own ones, which go by the largest step.
-        parts.append(
-            here.select("path", F.posexplode("own").alias("i", "url")).select(
-                F.concat("path", F.array(F.lit(2**31 - 1), F.col("i"))).alias("path"), "url"
-            )
+    view = f"sitemaps_{uuid.uuid4().hex}"
+    sm.select("at", F.posexplode("nested").alias("i", "next")).createOrReplaceTempView(view)
+    walk = spark.sql(
+        f"""
+        WITH RECURSIVE walk(at, path, seen) AS (
+          SELECT :root, cast(array() AS array<int>), array(:root)
+          UNION ALL
+          SELECT n.next, array_append(w.path, n.i), array_append(w.seen, n.next)
+          FROM walk w JOIN {view} n ON w.at = n.at WHERE NOT array_contains(w.seen, n.next)
         )
-        level = (
-            here.select("path", "seen", F.posexplode("nested").alias("i", "next"))
-            .where(~F.array_contains("seen", F.col("next")))
-            .select(
-                F.col("next").alias("at"),
-                F.array_append("path", F.col("i")).alias("path"),
-                F.array_append("seen", F.col("next")).alias("seen"),
-            )
-        )
-        level = level.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else level
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    ordered = every.orderBy("path")
+        SELECT at, path FROM walk
+        """,
+        args={"root": root},
+    )
+    spark.catalog.dropTempView(view)
+    # A nested sitemap's entries sort before the parent's own ones, which go by the largest step.
+    rows = walk.join(sm, "at").select("path", F.posexplode("own").alias("i", "url"))
+    ordered = rows.select(F.concat("path", F.array(F.lit(2**31 - 1), F.col("i"))).alias("path"), "url").orderBy("path")
     return ordered.select(F.monotonically_increasing_id().alias("ord"), "url")
 
 

@@ -89,16 +89,19 @@ class EmbeddingModel(_Endpoint):
 
 
 class JsonWebSearch:
-    """Web search by an endpoint that answers with a JSON list of objects with href, title and body."""
+    """Web search by an endpoint that answers with a JSON list of objects with href, title and body.
 
-    def __init__(self, address: str, timeout: float = 30.0):
-        self.address, self.timeout = address, timeout
+    ``region`` (such as 'ru-ru') is passed on if given.
+    """
+
+    def __init__(self, address: str, timeout: float = 30.0, region: str | None = None):
+        self.address, self.timeout, self.region = address, timeout, region
 
     @property
     def identity(self) -> str:
-        return f"JsonWebSearch:{self.address}"
+        return f"JsonWebSearch:{self.address}:{self.region}"
 
     def search(self, query: str, limit: int) -> list[dict]:
-        asked = urllib.parse.urlencode({"q": query, "limit": limit})
-        with _get(f"{self.address}?{asked}", self.timeout) as answer:
+        asked = {"q": query, "limit": limit} | ({"region": self.region} if self.region else {})
+        with _get(f"{self.address}?{urllib.parse.urlencode(asked)}", self.timeout) as answer:
             return [x for x in json.load(answer) if isinstance(x, dict)][:limit]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..ledger import CallLedger
 from ..operators import requirements as R
 from ..operators import search as S
 from ..operators import verdicts as V
-from ..providers import EmbeddingProvider, LLMProvider, ReplayLLM, WebSearchProvider, searched
+from ..providers import EmbeddingProvider, Fetcher, LLMProvider, ReplayLLM, WebSearchProvider, searched
 from ..sinks import report
 from ..sources import files, pages
 from .kb import KnowledgeBase
@@ -43,8 +44,24 @@ class Engine:
         return files.summary(parsed)
 
     def extract(self, path: str) -> DataFrame:
-        documents = files.to_documents(files.read_files(self.spark, path)).withColumnRenamed("doc_key", "document_name")
-        return R.extract_requirements(documents, self.llm, self.config.extraction_chunk, self.ledger, f"{self.kb.folder}_quarantine")
+        return self.extract_with_summary(path)[0]
+
+    def extract_with_summary(self, path: str) -> tuple[DataFrame, DataFrame]:
+        """Requirements of the files of a folder, and for each file its size and how many were found in it."""
+        parsed = storage.keep(files.read_files(self.spark, path), f"{storage.scratch(self.spark)}/parsed")
+        documents = files.to_documents(parsed).withColumnRenamed("doc_key", "document_name")
+        found = R.extract_requirements(documents, self.llm, self.config.extraction_chunk, self.ledger, f"{self.kb.folder}_quarantine")
+        return found, files.summary(parsed, found)
+
+    def url_index(self, fetcher: Fetcher, refresh: bool = False) -> DataFrame:
+        """The site's urls by path (path, url, ord), read from its sitemap once and kept beside the base until ``refresh``."""
+        folder, c = f"{self.kb.folder}_urls", self.config
+        kept = [n for n in storage.names(self.spark, folder) if storage.exists(self.spark, f"{folder}/{n}/_SUCCESS")]
+        if refresh or not kept:
+            urls = pages.seed_urls(self.spark, [c.sitemap_url], fetcher, [c.docs_base, c.documents_base], c.docs_base)
+            kept.append(f"{len(kept):08d}-{uuid.uuid4().hex}")
+            S.url_index(urls, c.site_root).write.parquet(f"{folder}/{kept[-1]}")
+        return self.spark.read.parquet(f"{folder}/{kept[-1]}")
 
     def rag_hits(self, requirements: DataFrame) -> DataFrame:
         """The nearest chunks of each requirement."""

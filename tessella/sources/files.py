@@ -190,7 +190,10 @@ def to_documents(parsed: DataFrame) -> DataFrame:
     return parsed.where("error is null").select(F.col("filename").alias("doc_key"), text.alias("text"), "metadata").where(T.not_blank(F.col("text")))
 
 
-def summary(parsed: DataFrame) -> DataFrame:
-    return parsed.select(
-        "filename", F.length("text").alias("text_chars"), F.size("tables").alias("table_count"), "error"
-    )
+def summary(parsed: DataFrame, requirements: DataFrame | None = None) -> DataFrame:
+    """Each file's name, characters, tables and error; with ``requirements`` (document_name, ...) also how many were found in it."""
+    told = parsed.select("filename", F.length("text").alias("text_chars"), F.size("tables").alias("table_count"), "error")
+    if requirements is None:
+        return told
+    found = requirements.groupBy(F.col("document_name").alias("filename")).agg(F.count(F.lit(1)).alias("requirements_found"))
+    return told.join(found, "filename", "left").fillna(0, ["requirements_found"])

@@ -8,8 +8,10 @@ import pytest
 
 from tessella import __main__ as command
 from tessella import clients
+from tessella.config import EngineConfig
+from tessella.plans.engine import Engine
 from tessella.plans.kb import KnowledgeBase
-from tessella.providers import completed, embedded
+from tessella.providers import RuleLLM, completed, embedded
 from tessella.sources import files, pages
 
 
@@ -88,6 +90,37 @@ def test_models(spark, root, monkeypatch):
     asked = completed(frame.withColumnRenamed("text", "prompt"), clients.ChatModel(f"{root}/v1", "m", "NO_SUCH_KEY"))
     assert {r.id: r.answer for r in asked.collect()} == {1: "[bb]", 2: "[c]"}
     assert clients.JsonWebSearch(f"{root}/find").search("x y", 5) == [{"href": "u", "title": "t", "body": "/find?q=x+y&limit=5"}]
+    near = clients.JsonWebSearch(f"{root}/find", region="ru-ru")
+    assert near.search("x", 1)[0]["body"] == "/find?q=x&limit=1&region=ru-ru" and near.identity != clients.JsonWebSearch(f"{root}/find").identity
+
+
+def test_url_index_is_read_once(spark, root, tmp_path):
+    class Noting(clients.HttpFetcher):
+        asked: list = []
+
+        def fetch(self, url):
+            self.asked.append(url)
+            return super().fetch(url)
+
+    config = EngineConfig(site_root=f"{root}/", sitemap_url=f"{root}/index.xml", docs_base=f"{root}/docs", documents_base=f"{root}/documents")
+    engine = Engine(spark, f"file://{tmp_path}/kb", config)
+    for _ in range(2):
+        got = engine.url_index(Noting(delay=0)).orderBy("ord").collect()
+        assert [r.path for r in got] == ["docs/1", "docs/2", "docs/moved", "docs/short"]
+    once = len(Noting.asked)
+    assert once == 3  # the index, its nested sitemap, the one that is gone
+    assert engine.url_index(Noting(delay=0), refresh=True).count() == 4 and len(Noting.asked) == 2 * once
+
+
+def test_summary_counts_requirements(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in {"a.txt": "first text", "b.txt": "second", "c.txt": " "}.items():
+        (tmp_path / "in" / name).write_text(text)
+    llm = RuleLLM(lambda p: json.dumps([{"text": "one"}, {"text": "two"}]) if "first" in p else "[]")
+    engine = Engine(spark, f"file://{tmp_path}/kb", llm=llm)
+    found, told = engine.extract_with_summary(f"{tmp_path}/in")
+    assert sorted((r.filename, r.text_chars, r.requirements_found) for r in told.collect()) == [("a.txt", 10, 2), ("b.txt", 6, 0), ("c.txt", 1, 0)]
+    assert engine.extract(f"{tmp_path}/in").count() == found.count() == 2
 
 
 def test_seed_urls(spark, root):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def latest_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -14,10 +15,14 @@ def latest_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_minutes: int) -> DataFrame:
-    """Sessions of each key: events less than the gap apart."""
-    w = W.partitionBy(key).orderBy(ts)
-    gap = F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.lag(ts).over(w).cast("timestamp"))
-    started = F.sum(F.when(gap.isNull() | (gap >= gap_minutes * 60), 1).otherwise(0)).over(w)
+    """Sessions of each key: events less than the gap apart, to the microsecond."""
+    w = W.partitionBy(key).orderBy(F.asc_nulls_last(ts))
+    at, before = F.col(ts), F.lag(ts).over(w)
+    if isinstance(events.schema[ts].dataType, TimestampNTZType):  # whatever the session's time zone
+        apart = at - before >= F.make_dt_interval(mins=F.lit(gap_minutes))
+    else:
+        apart = F.unix_micros(at.cast("timestamp")) - F.unix_micros(before.cast("timestamp")) >= gap_minutes * 60_000_000
+    started = F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(w)
     return events.withColumn("session", started).groupBy(key, "session").agg(
         F.count(F.lit(1)).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")
     )

@@ -41,6 +41,12 @@ def repeated_pages():
     return {"pages": pa.table({"page_id": list(range(len(urls))), "url": urls, "html": html}), "benchmark": pa.table({"item_id": [1, 2, 3], "text": WORDS})}
 
 
+def test_keywords_of_repeated_urls(spark, tmp_path):
+    got, want = same(spark, tmp_path, "keyword_url_match", **repeated_pages())
+    assert got == want
+    assert (1, "https://www.x.org/docs", 6, 1) in got
+
+
 def test_prefix_of_repeated_urls(spark, tmp_path):
     got, want = same(spark, tmp_path, "keyword_prefix_match", **repeated_pages())
     assert got == want and got

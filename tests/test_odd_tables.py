@@ -50,3 +50,8 @@ def test_keywords_of_repeated_urls(spark, tmp_path):
 def test_prefix_of_repeated_urls(spark, tmp_path):
     got, want = same(spark, tmp_path, "keyword_prefix_match", **repeated_pages())
     assert got == want and got
+
+
+def test_pages_of_repeated_urls(spark, tmp_path):
+    got, want = same(spark, tmp_path, "search_matched_pages", **repeated_pages())
+    assert got == want and got

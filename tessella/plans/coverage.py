@@ -211,8 +211,8 @@ def json_records(spark, sf_dir):
 def page_documents(spark, sf_dir):
     """Crawled pages as documents with their metadata."""
     p = table(spark, sf_dir, "pages")
-    crawled = p.select("url", F.lit("p").alias("title"), F.lit("s").alias("section_path"), F.col("html").alias("content"))
-    d = P.to_documents(crawled).join(p.select("page_id", F.col("url").alias("doc_key")), "doc_key")
+    crawled = p.select("page_id", "url", F.lit("p").alias("title"), F.lit("s").alias("section_path"), F.col("html").alias("content"))
+    d = P.to_documents(crawled, keep=("page_id",))
     return d.select("page_id", "doc_key", F.md5("text").alias("digest"), F.element_at("metadata", "source").alias("source"), F.element_at("metadata", "title").alias("title"))
 
 

@@ -200,8 +200,8 @@ def read_through(
     return long_enough(hits.unionByName(good), least), failed
 
 
-def to_documents(pages: DataFrame, source: str = "docs") -> DataFrame:
-    """Pages as documents (doc_key, text, metadata); blank ones are left out."""
+def to_documents(pages: DataFrame, source: str = "docs", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pages as documents (doc_key, text, metadata) with the columns ``keep``; blank ones are left out."""
     pairs = {"source": F.lit(source), "title": F.col("title"), "section_path": F.col("section_path"), "url": F.col("url")}
     metadata = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
-    return pages.where(T.not_blank(F.col("content"))).select(F.col("url").alias("doc_key"), F.col("content").alias("text"), metadata.alias("metadata"))
+    return pages.where(T.not_blank(F.col("content"))).select(F.col("url").alias("doc_key"), F.col("content").alias("text"), metadata.alias("metadata"), *keep)

@@ -55,3 +55,8 @@ def test_prefix_of_repeated_urls(spark, tmp_path):
 def test_pages_of_repeated_urls(spark, tmp_path):
     got, want = same(spark, tmp_path, "search_matched_pages", **repeated_pages())
     assert got == want and got
+
+
+def test_documents_of_repeated_urls(spark, tmp_path):
+    got, want = same(spark, tmp_path, "page_documents", pages=repeated_pages()["pages"])
+    assert got == want and len(got) == 8

@@ -1,8 +1,9 @@
 """A ledger of provider calls: what was asked once is read, not asked again.
 
-An answer is kept under the digest of the provider and its input. A frame of inputs is anti-joined
-with the ledger, only what is absent is asked, each input once however many rows have it; answers are
-appended and all rows read theirs from the ledger. So a plan that is evaluated again, a later run and
+An answer is kept under the digest of the provider and its input. The digests of a frame of inputs are
+anti-joined with the ledger, only what is absent is asked, each input once however many rows have it;
+answers are appended and all rows read theirs from the ledger. Inputs themselves are shuffled to find
+one of several equal or absent ones only where there are such. So a plan that is evaluated again, a later run and
 a lost executor after the write cost no call.
 
 A call that fails after its retries gives a row with an error instead of failing its task, so the
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from . import storage
 
+#: Distinct inputs up to which each partition asks equally many; more are dealt by their digests.
+EVEN = 10_000
+
 
 class CallsFailed(RuntimeError):
     """Some inputs have no answer; those that have one are in the ledger."""
@@ -73,10 +77,21 @@ class CallLedger:
         """
         key = F.sha2(F.concat(F.lit(f"{kind}\x1f{provider}\x1f"), F.col(column)), 256)
         keyed = df.withColumn("_key", key)
-        wanted = keyed.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.first(column).alias("input"))
-        wanted = storage.keep(wanted, f"{storage.scratch(self.spark)}/wanted")
-        absent = wanted.join(self.answers(kind, value).select("key"), "key", "left_anti")
-        failed = self._add(absent, kind, value, call, batch)
+        inputs = keyed.where("_key is not null").select(F.col("_key").alias("key"), F.col(column).alias("input"))
+        folder = storage.scratch(self.spark)
+        wanted = storage.keep(inputs.groupBy("key").agg(F.count(F.lit(1)).alias("n")), f"{folder}/wanted")
+        absent = storage.keep(wanted.join(self.answers(kind, value).select("key"), "key", "left_anti"), f"{folder}/absent")
+        told = absent.agg(F.count(F.lit(1)).alias("keys"), F.max("n").alias("most")).first()
+        if told.keys < wanted.count():
+            inputs = inputs.join(absent.select("key"), "key", "left_semi")
+        one = F.first("input").alias("input")
+        if not told.keys or told.most == 1:
+            inputs = inputs.repartition(self.concurrency)
+        elif told.keys > EVEN:  # one shuffle finds equal inputs and deals them to the partitions that ask
+            inputs = inputs.repartition(self.concurrency, "key").groupBy("key").agg(one)
+        else:
+            inputs = inputs.groupBy("key").agg(one).repartition(self.concurrency)
+        failed = self._add(inputs, kind, value, call, batch) if told.keys else None
         if failed and failing == "raise":
             raise CallsFailed(f"{failed[0]} calls of {kind} failed, the first one: {failed[1]}")
         found = self.answers(kind, value).join(wanted.select("key"), "key", "left_semi")
@@ -84,7 +99,7 @@ class CallLedger:
         return keyed.join(found, "_key", "left").select(*df.columns, out)
 
     def _add(self, absent: DataFrame, kind: str, value: str, call: Callable, batch: int) -> tuple[int, str] | None:
-        """Asks what is absent and appends it; how many failed and how."""
+        """Asks what is absent, in the partitions that it has, and appends it; how many failed and how."""
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
             for frame in frames:
@@ -101,7 +116,7 @@ class CallLedger:
 
         name = uuid.uuid4().hex
         path = f"{self.folder}/{kind}/round={name}"
-        asked = absent.repartition(self.concurrency).mapInPandas(run, f"key string, value {value}, error string, asked_at double")
+        asked = absent.mapInPandas(run, f"key string, value {value}, error string, asked_at double")
         asked.write.parquet(path)
         errors = self.calls(kind, value).where((F.col("round") == name) & F.col("error").isNotNull())
         told = errors.agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("first")).first()

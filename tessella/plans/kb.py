@@ -16,7 +16,7 @@ from ..operators import search as S
 from ..providers import EmbeddingProvider, embedded
 from ..schemas import CHUNK
 from .vector_index import VectorIndex
-from .versioned import VersionedTable
+from .versioned import BROADCAST_ROWS, VersionedTable
 
 
 def chunked(documents: DataFrame, config: EngineConfig) -> DataFrame:
@@ -75,8 +75,14 @@ class KnowledgeBase:
         given = storage.keep(documents.select(*columns).where("doc_key is not null"), f"{storage.scratch(self.spark)}/given")
         there = self._own(self.table.live_keys()).select("doc_key", "digest")
         keys = storage.keep(digests(given, self.config).join(there, ["doc_key", "digest"], "left_anti"), f"{storage.scratch(self.spark)}/keys")
-        changed = given.where(T.not_blank(F.col("text"))).join(keys.select("doc_key"), "doc_key", "left_semi")
-        new = chunked(changed, self.config).dropDuplicates(["chunk_id"])
+        many = keys.count()
+        if not many:
+            return self.table.manifest()["version"]
+        changed = given.where(T.not_blank(F.col("text")))
+        if many == given.count():  # all documents are changed and each is one row: no text needs a shuffle
+            new = chunked(changed, self.config)
+        else:  # one shuffle, by document, serves both
+            new = chunked(changed.join(keys.select("doc_key"), "doc_key", "left_semi"), self.config).dropDuplicates(["doc_key", "chunk_id"])
         rows = embedded(new, self.provider, self.config.embedding_dim, self.config.embedding_batch, self.ledger)
         return self.table.put(rows.withColumn("model", model), keys.withColumn("model", model))
 
@@ -124,7 +130,10 @@ class KnowledgeBase:
         base, k, folder = self.chunks().withColumnRenamed("chunk_id", "id"), k or self.config.top_k, self._index_folder()
         indexed = storage.exists(self.spark, f"{folder}/about.json")
         hits = VectorIndex(self.spark, folder).search(asked, k) if indexed else S.top_k(asked, base.select("id", "embedding"), k)
-        joined = hits.join(base.select("id", "text", "metadata"), "id")
+        hits = storage.keep(hits, f"{storage.scratch(self.spark)}/hits")
+        if hits.count() <= BROADCAST_ROWS:  # the texts stay where they are
+            hits = F.broadcast(hits)
+        joined = base.select("id", "text", "metadata").join(hits, "id")
         return joined.select(
             "query_id", "rank", "distance", F.col("text").alias("content"), "metadata", S.hit_source(F.col("metadata")).alias("source"),
             F.coalesce(F.element_at("metadata", "title"), F.lit("")).alias("title"),

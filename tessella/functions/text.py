@@ -50,9 +50,14 @@ def packed(c: Column, size: int) -> Column:
     return F.when(F.length(c) <= size, F.array(c)).otherwise(folded)
 
 
+def lowered(c: Column) -> Column:
+    """Lower case by single code points, as in SQL engines: lower() makes two of the dotted capital I, which cut words in two."""
+    return F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
+
+
 def fallback_keywords(c: Column, n: int = 5) -> Column:
     """The first ``n`` different words of four letters or more, Cyrillic or Latin, in order of appearance."""
-    found = F.regexp_extract_all(F.lower(c), F.lit("([а-яёa-z]{4,})"), F.lit(1))
+    found = F.regexp_extract_all(lowered(c), F.lit("([а-яёa-z]{4,})"), F.lit(1))
     return F.slice(F.array_distinct(found), 1, n)
 
 
@@ -63,7 +68,7 @@ def listed_keywords(c: Column, n: int = 5) -> Column:
 
 
 def keyword_key(c: Column) -> Column:
-    return F.translate(F.lower(c), " -", "")
+    return F.translate(lowered(c), " -", "")
 
 
 def path_key(c: Column) -> Column:
@@ -71,7 +76,7 @@ def path_key(c: Column) -> Column:
 
 
 def url_path(url: Column, root: str) -> Column:
-    return F.lower(F.replace(url, F.lit(root), F.lit("")))
+    return lowered(F.replace(url, F.lit(root), F.lit("")))
 
 
 def host(url: Column) -> Column:

@@ -60,3 +60,25 @@ def test_pages_of_repeated_urls(spark, tmp_path):
 def test_documents_of_repeated_urls(spark, tmp_path):
     got, want = same(spark, tmp_path, "page_documents", pages=repeated_pages()["pages"])
     assert got == want and len(got) == 8
+
+
+def dotted_pages():
+    """Urls and items with a capital that lower() makes two code points of."""
+    urls = ["https://İSTANBUL.org/kelvin", "https://x.org/istanbul", "https://x.org/STANBUL"]
+    rows = {"page_id": list(range(len(urls))), "url": urls, "html": ["<p>x</p>" * 400] * len(urls)}
+    return {"pages": pa.table(rows), "benchmark": pa.table({"item_id": [1, 2], "text": ["İSTANBUL kelvin", "stanbul KİLO"]})}
+
+
+def test_keywords_with_a_dotted_capital(spark, tmp_path):
+    got, want = same(spark, tmp_path, "keyword_url_match", **dotted_pages())
+    assert got == want
+    assert (1, "https://İSTANBUL.org/kelvin", 2, 1) in got
+
+
+def test_words_with_a_dotted_capital(spark, tmp_path):
+    documents = pa.table({"doc_id": [1, 2], "text": ["İSTANBUL KİLO istanbul", "ЁЛКА İİİİ"]})
+    for name in ("doc_keyword_counts", "doc_fallback_keywords"):
+        got, want = same(spark, tmp_path, name, documents=documents)
+        assert got == want
+    got, want = same(spark, tmp_path, "page_url_path", pages=dotted_pages()["pages"])
+    assert got == want

@@ -82,3 +82,9 @@ def test_words_with_a_dotted_capital(spark, tmp_path):
         assert got == want
     got, want = same(spark, tmp_path, "page_url_path", pages=dotted_pages()["pages"])
     assert got == want
+
+
+def test_pages_with_a_dotted_capital(spark, tmp_path):
+    got, want = same(spark, tmp_path, "search_matched_pages", **dotted_pages())
+    assert got == want
+    assert (1, 1, "https://İSTANBUL.org/kelvin", "page 0") in [r[:4] for r in got]

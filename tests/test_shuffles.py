@@ -51,6 +51,24 @@ def test_documents_that_are_new_are_shuffled_once(spark, base, tmp_path):
     assert {r.doc_key: r.text for r in base.chunks().collect()} == want
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_many_texts_are_embedded_where_they_are(spark, base, tmp_path, monkeypatch, repeated):
+    """Joins by key, as of tables that are too large to broadcast."""
+    monkeypatch.setattr(ledger, "EVEN", 10)
+    docs, want = documents(spark, tmp_path, repeated)
+    docs = docs.dropDuplicates(["doc_key"]).repartition(4).localCheckpoint() if repeated else docs
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        base.add(docs)
+        assert shuffled(spark) - before < 0.5 * SIZE * COUNT
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert {r.doc_key: (r.text, r.embedding[0]) for r in base.chunks().collect()} == {k: (t, float(len(t))) for k, t in want.items()}
+    assert base.ledger.calls("embedding", "array<float>").count() == COUNT
+
+
 @pytest.mark.parametrize("even", [ledger.EVEN, 10])
 def test_repeated_texts_and_rows(spark, base, tmp_path, monkeypatch, even):
     monkeypatch.setattr(ledger, "EVEN", even, raising=False)

@@ -83,6 +83,7 @@ class KnowledgeBase:
             new = chunked(changed, self.config)
         else:  # one shuffle, by document, serves both
             new = chunked(changed.join(keys.select("doc_key"), "doc_key", "left_semi"), self.config).dropDuplicates(["doc_key", "chunk_id"])
+        new = storage.keep(new, f"{storage.scratch(self.spark)}/chunks")  # texts are cut once, and not in the tasks that embed
         rows = embedded(new, self.provider, self.config.embedding_dim, self.config.embedding_batch, self.ledger)
         return self.table.put(rows.withColumn("model", model), keys.withColumn("model", model))
 
